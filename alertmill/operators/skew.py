@@ -111,3 +111,34 @@ def heavy_keys(df: DataFrame, key: str, row_id: str, permille: int, chunk_rows:
         .filter(F.col("_key").isNotNull() & (F.col("n_rows") * 1000 >= F.col("n_total") * permille))
         .select(F.col("_key").alias(key), "n_rows")
     )
+
+
+def prefix_sums(df: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
+    """Running totals ``<value>_cum`` of the values in order within by, inclusive. order is unique within by.
+
+    Range partitions hold contiguous stretches, whose totals are summed up first; a group that fills many partitions is
+    therefore never gathered in one task, as it would be in a plain window. Null values of by are a group.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    placed = materialize(df.repartitionByRange(parts, *by, order).withColumn("_part", F.spark_partition_id()), "prefix")
+    totals = placed.groupBy("_part", *by).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        F.col("_part").alias("_p2"), *[F.col(b).alias(f"_b_{b}") for b in by],
+        *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values],
+    )
+    match = F.col("_part") == F.col("_p2")
+    for b in by:
+        match = match & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
+    inside = Window.partitionBy("_part", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.join(offsets, match)
+    for v in values:
+        out = out.withColumn(f"{v}_cum", F.col(f"_o_{v}") + F.sum(v).over(inside))
+    return out.drop("_part", "_p2", *[f"_b_{b}" for b in by], *[f"_o_{v}" for v in values])
+
+
+def rank_within(df: DataFrame, by: str | None, order: list[str], name: str = "rank") -> DataFrame:
+    """1-based position within by (of the whole table without it) in the given order, without a task per group."""
+    keyed = df.withColumn("_all", F.lit(0)) if by is None else df
+    ranked = keyed_chunks(keyed, by or "_all", order).withColumnRenamed("_n", name)
+    return ranked.drop("_chunk", "_all") if by is None else ranked.drop("_chunk")
