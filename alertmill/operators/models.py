@@ -46,16 +46,18 @@ def always_attack(test: DataFrame) -> DataFrame:
     return test.withColumn("pred", F.lit(ATTACK))
 
 
-def char_ngrams(text: str = "text", low: int = 3, high: int = 5):  # noqa: ANN201
-    """All character n-grams of a text after runs of white space are collapsed, as an array. Null and short texts give none.
+def with_char_ngrams(df: DataFrame, text: str = "text", low: int = 3, high: int = 5, name: str = "grams") -> DataFrame:
+    """Adds all character n-grams of a text after runs of white space are collapsed. Null and short texts give none.
 
-    The text is taken apart into code points once: a substring by position would walk it from its start each time.
+    The text is taken apart into code points first, in a column of its own: a substring by position would walk the text
+    from its start, and an expression inside the lambda would be evaluated anew, for every position.
     """
     chars = F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s\s+", " "), F.lit("(?s)."), F.lit(0))
+    c = F.col("_chars")
     grams = lambda n: F.when(
-        F.size(chars) >= n, F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+        F.size(c) >= n, F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)]))
     ).otherwise(F.array().cast("array<string>"))
-    return F.concat(*[grams(n) for n in range(low, high + 1)])
+    return df.withColumn("_chars", chars).withColumn(name, F.concat(*[grams(n) for n in range(low, high + 1)])).drop("_chars")
 
 
 def tfidf_logistic(train: DataFrame, test: DataFrame, text: str = "text", label: str = "label", n_features: int = 1 << 16, max_iter: int = 100) -> DataFrame:
@@ -69,7 +71,7 @@ def tfidf_logistic(train: DataFrame, test: DataFrame, text: str = "text", label:
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.linalg import Vectors
 
-    grams = lambda d: d.withColumn("_chars", F.col(text)).withColumn("_grams", char_ngrams("_chars")).drop("_chars")
+    grams = lambda d: with_char_ngrams(d, text, name="_grams")
     tf = HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=n_features)
     sublinear = F.udf(lambda v: Vectors.sparse(v.size, v.indices, [1.0 + float(x) for x in __import__("numpy").log(v.values)]), _vector_type())
     counted = lambda d: tf.transform(grams(d)).withColumn("_sub", sublinear("_tf")).drop("_grams", "_tf")
