@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_hot_aware
 from ..session import materialize
 
 #: The code of a word set has BLOCKS segments of SEGMENT bytes; a byte holds the low bits of one min-wise hash, so bytes of
@@ -25,7 +26,7 @@ def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, words: list<long>, not empty) -> (id, f1, f2, blocks)."""
+    """Adds f1, f2 and blocks to batches with a column words: list<long>, none of them empty."""
     a, b = _family(BLOCKS * SEGMENT)
     for batch in batches:
         words = batch.column("words")
@@ -48,18 +49,25 @@ def encode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = (key << np.uint64(8)) | code[k * SEGMENT + i]
             keys[:, k] = key.view(np.int64)
         blocks = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BLOCKS, dtype=np.int32)), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints[0]), pa.array(prints[1]), blocks], ["id", "f1", "f2", "blocks"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints[0]), pa.array(prints[1]), blocks], [*batch.schema.names, "f1", "f2", "blocks"])
 
 
-def word_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs (id, side, words array<string>) -> members (id, side, cls) and classes (cls, n, words, in_train, in_eval).
+#: Class ids whose word sets are fetched by broadcast, 8 bytes each; more are fetched by a shuffled semi-join.
+BROADCAST_IDS = 1_000_000
 
-    A class holds the records with equal word sets; cls is its least id. Records without a word are left out.
+
+def word_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs (id, side, words array<string>) -> members (id, side, cls), codes and words of one record per class.
+
+    A class holds the records with equal word sets; cls is its least id. Records without a word are left out. codes:
+    (cls, n, f1, f2, blocks, in_train, in_eval); words: (id, words) of all records, of which only those of candidates are
+    ever moved. Sets are hashed, coded and written once; what is shuffled to form classes is 50 bytes a record.
     """
     h = F.transform("words", lambda w: F.xxhash64(w))
     some = docs.filter(F.size("words") > 0).select("id", "side", h.alias("words"))
     add = lambda xs, mix: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + F.shiftright(F.xxhash64(x, F.lit(mix)), 20))
-    rows = materialize(some.select("id", "side", "words", F.size("words").alias("n"), add("words", 0).alias("_a"), add("words", 1).alias("_b")), "words")
+    wide = some.select("id", "side", "words", F.size("words").alias("n"), add("words", 0).alias("_a"), add("words", 1).alias("_b"))
+    rows = materialize(wide.mapInArrow(encode_sets, f"id {dict(docs.dtypes)['id']}, side string, words array<long>, n int, _a long, _b long, f1 long, f2 long, blocks array<long>"), "words")
     key = ["n", "_a", "_b"]
     groups = materialize(
         rows.groupBy(*key).agg(
@@ -68,34 +76,35 @@ def word_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
         "classes",
     )
-    members = rows.select("id", "side", *key).join(groups.select(*key, "cls"), key).select("id", "side", "cls")
-    classes = groups.select("cls", "n", "in_train", "in_eval").join(rows.select(F.col("id").alias("cls"), "words"), "cls")
-    return members, classes
+    members = join_hot_aware(rows.select("id", "side", *key), groups.select(*key, "cls", "m"), key, "m", rows.count()).select("id", "side", "cls")
+    flags = groups.select("cls", "in_train", "in_eval")
+    codes = rows.select(F.col("id").alias("cls"), "n", "f1", "f2", "blocks").join(flags, "cls")
+    return members, codes, rows.select("id", "words")
 
 
-def similar_classes(classes: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
+def similar_classes(codes: DataFrame, words: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     """(train_cls, eval_cls) of different classes with Jaccard similarity of at least num / den, one in train, one in eval.
 
     Candidates share a whole segment of their codes and lie within the Hamming radius; they are verified on their word
     sets. The number of blocks is set for num / den = 3/4 or more. A segment that many classes share is split by AQE's
     skew join; every candidate is followed, there is no cap.
     """
-    codes = classes.select(F.col("cls").alias("id"), "words").mapInArrow(encode_sets, f"id {dict(classes.dtypes)['cls']}, f1 long, f2 long, blocks array<long>")
-    codes = materialize(
-        codes.join(classes.select(F.col("cls").alias("id"), "n", "in_train", "in_eval"), "id"), "codes"
-    )
+    codes = materialize(codes, "codes")
     side = lambda flag, p: codes.filter(flag).select(
-        F.explode("blocks").alias("key"), F.col("id").alias(f"{p}_cls"), F.col("f1").alias(f"{p}1"), F.col("f2").alias(f"{p}2"), F.col("n").alias(f"{p}_n")
+        F.explode("blocks").alias("key"), F.col("cls").alias(f"{p}_cls"), F.col("f1").alias(f"{p}1"), F.col("f2").alias(f"{p}2"), F.col("n").alias(f"{p}_n")
     )
     t, e = side("in_train", "train"), side("in_eval", "eval")
     near = F.bit_count(F.col("train1").bitwiseXOR(F.col("eval1"))) + F.bit_count(F.col("train2").bitwiseXOR(F.col("eval2"))) <= RADIUS
     size_fits = F.least("train_n", "eval_n") * den >= F.greatest("train_n", "eval_n") * num
     cand = t.join(e.hint("merge"), "key").filter(near & size_fits & (F.col("train_cls") != F.col("eval_cls"))).select("train_cls", "eval_cls").distinct()
     cand = materialize(cand, "candidates")
-    w = classes.select("cls", "words")
+    need = materialize(cand.select(F.col("train_cls").alias("id")).union(cand.select("eval_cls")).distinct(), "need")
+    if need.count() <= BROADCAST_IDS:
+        need = F.broadcast(need)
+    w = materialize(words.join(need, "id", "left_semi"), "needed")
     pairs = (
-        cand.join(w.select(F.col("cls").alias("train_cls"), F.col("words").alias("tw")), "train_cls")
-        .join(w.select(F.col("cls").alias("eval_cls"), F.col("words").alias("ew")), "eval_cls")
+        cand.join(w.select(F.col("id").alias("train_cls"), F.col("words").alias("tw")), "train_cls")
+        .join(w.select(F.col("id").alias("eval_cls"), F.col("words").alias("ew")), "eval_cls")
         .withColumn("common", F.size(F.array_intersect("tw", "ew")))
     )
     union = F.size("tw") + F.size("ew") - F.col("common")

@@ -136,8 +136,8 @@ def published_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def published_overlap(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    members, classes = overlap.word_classes(published_sides(spark, sf_dir))
-    return members, overlap.similar_classes(classes)
+    members, codes, words = overlap.word_classes(published_sides(spark, sf_dir))
+    return members, overlap.similar_classes(codes, words)
 
 
 def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
