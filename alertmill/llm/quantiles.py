@@ -2,82 +2,109 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 
-DIGIT = 16
-#: A level's list of followed prefixes is broadcast up to this many rows (about 30 bytes each), else joined by shuffle.
-BROADCAST_ROWS = 100_000
+DIGIT, DIGITS = 16, 4
+#: A level's list of followed bins is broadcast up to this many rows (24 bytes each), else joined by shuffle.
+BROADCAST_ROWS = 500_000
+#: A followed bin of at most so many rows is finished by sorting them (8 bytes each, in one list).
+LIST_ROWS = 4096
 _FLIP = np.int64(0x7FFF_FFFF_FFFF_FFFF)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def ordered_bits(x: pd.Series) -> pd.Series:
     """Doubles as signed integers in the same order; -0.0 counts as 0.0."""
     b = (x.to_numpy(np.float64) + 0.0).view(np.int64)
     return pd.Series(np.where(b < 0, b ^ _FLIP, b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def from_ordered_bits(k: pd.Series) -> pd.Series:
     b = k.to_numpy(np.int64)
     return pd.Series(np.where(b < 0, b ^ _FLIP, b).view(np.float64))
 
 
-def exact_percentiles(df: DataFrame, groups: list[str], value: str, permilles: list[int], digits: int = 4) -> DataFrame:
+def ordered(c: Column) -> Column:
+    """A number as its ordered integer; null and NaN give null."""
+    x = c.cast("double")
+    ok = x.isNotNull() & ~F.isnan(x)
+    return F.when(ok, ordered_bits(F.when(ok, x).otherwise(0.0)))
+
+
+def exact_percentiles(df: DataFrame, groups: list[str], value: str, permilles: list[int], digits: int = DIGITS) -> DataFrame:
+    """select_ranks over a numeric column; nulls and NaN are left out."""
+    return select_ranks(df.select(*groups, ordered(F.col(value)).alias("_k")).filter("_k is not null"), groups, "_k", permilles, digits)
+
+
+def select_ranks(df: DataFrame, groups: list[str], bits_col: str, permilles: list[int], digits: int = DIGITS) -> DataFrame:
     """(groups, permille, n, value, lo, hi): the value of rank max(1, ceil(n * permille / 1000)) in each group.
 
     Radix selection: every level histograms 16 more bits of the ordered integer form, but only of rows whose bits so far
-    hold some target rank, and then follows the digit in which the rank falls. Four digits give the exact value
+    hold some target rank, and then follows the digit in which the rank falls. A followed bin of at most LIST_ROWS rows is
+    finished at once by sorting its values; larger ones go on to the next digit. All four digits give the exact value
     (lo = hi = value). With fewer, lo and hi are the ends of the followed bin and value is its low end; two digits (20
-    bits of mantissa) bound the relative error by 2**-20. Nulls and NaN are left out; a group without a number has no
-    row; null group values are a group. Work per level is one map-side-combined count, so a hot group or a constant
-    group costs no more than its distinct digits.
+    bits of mantissa) bound the relative error by 2**-20. A group without a number has no row; null group values are a
+    group. Each level is one map-side-combined count, so a hot or constant group costs no more than its distinct digits.
+    Groups travel as 16-byte ids.
     """
-    thin = df.select(*groups, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    keyed = materialize(thin.select(*groups, ordered_bits("_x").alias("_k")), "radix")
+    ids = [F.xxhash64(F.lit(seed), *[F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit("null")) for g in groups]) for seed in (0, 1)]
+    keyed = materialize(df.select(*groups, ids[0].alias("_g1"), ids[1].alias("_g2"), F.col(bits_col).alias("_k")), "radix")
+    g = ["_g1", "_g2"]
+    rows = keyed.select(*g, "_k")
+    names = keyed.select(*g, *groups).distinct()
     bits = lambda d: F.shiftright("_k", 64 - DIGIT * d)
-    targets = None
+    targets, done = None, []
     for d in range(1, digits + 1):
         if d == 1:
-            hist = keyed.groupBy(*groups, bits(1).alias("_p")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_q", F.lit(0).cast("long"))
-            ns = hist.groupBy(*groups).agg(F.sum("_c").alias("n"))
+            hist = rows.groupBy(*g, bits(1).alias("_p")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_q", F.lit(0).cast("long"))
+            hist = materialize(hist, "digit0")
+            ns = hist.groupBy(*g).agg(F.sum("_c").alias("n"))
             asked = ns.withColumn("permille", F.explode(F.array(*[F.lit(int(p)) for p in permilles])))
             rank = F.greatest(F.lit(1), F.floor((F.col("n") * F.col("permille") + 999) / 1000))
-            targets = asked.select(*groups, "permille", "n", rank.cast("long").alias("_r"), F.lit(0).cast("long").alias("_q"))
+            targets = asked.select(*g, "permille", "n", rank.cast("long").alias("_r"), F.lit(0).cast("long").alias("_q"))
         else:
-            followed = targets.select(*[F.col(c).alias(f"f{c}") for c in [*groups, "_q"]]).distinct()
-            if followed.count() <= BROADCAST_ROWS:
-                followed = F.broadcast(followed)
-            rows = keyed.withColumn("_q", bits(d - 1))
-            kept = rows.join(followed, reduce(and_, [F.col(c).eqNullSafe(F.col(f"f{c}")) for c in [*groups, "_q"]]), "left_semi")
-            hist = kept.groupBy(*groups, "_q", bits(d).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+            kept = _followed(rows.withColumn("_q", bits(d - 1)), targets, [*g, "_q"])
+            hist = kept.groupBy(*g, "_q", bits(d).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
         # at most 65,536 bins in any window
-        w = Window.partitionBy(*groups, "_q").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-        cum = hist.withColumn("_cum", F.sum("_c").over(w)).select(*[F.col(c).alias(f"h{c}") for c in [*groups, "_q", "_p", "_c", "_cum"]])
-        hit = reduce(and_, [F.col(c).eqNullSafe(F.col(f"h{c}")) for c in [*groups, "_q"]])
-        hit = hit & (F.col("h_cum") >= F.col("_r")) & (F.col("h_cum") - F.col("h_c") < F.col("_r"))
-        followed_on = targets.join(cum, hit)
-        targets = materialize(
-            followed_on.select(*groups, "permille", "n", (F.col("_r") - F.col("h_cum") + F.col("h_c")).alias("_r"), F.col("h_p").alias("_q")), f"digit{d}"
-        )
-    low = F.shiftleft("_q", 64 - DIGIT * digits)
-    high = low + F.lit((1 << (64 - DIGIT * digits)) - 1)
-    lo, hi = from_ordered_bits(low), from_ordered_bits(high)
-    return targets.select(*groups, "permille", "n", lo.alias("value"), lo.alias("lo"), hi.alias("hi"))
+        w = Window.partitionBy(*g, "_q").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+        cum = hist.withColumn("_cum", F.sum("_c").over(w))
+        hit = targets.drop("_c").join(cum, [*g, "_q"]).filter((F.col("_cum") >= F.col("_r")) & (F.col("_cum") - F.col("_c") < F.col("_r")))
+        # _c: rows in the followed bin
+        targets = materialize(hit.select(*g, "permille", "n", (F.col("_r") - F.col("_cum") + F.col("_c")).alias("_r"), F.col("_p").alias("_q"), "_c"), f"digit{d}")
+        if digits == DIGITS and d < digits:
+            small = targets.filter(F.col("_c") <= LIST_ROWS)
+            lists = _followed(rows.withColumn("_q", bits(d)), small, [*g, "_q"]).groupBy(*g, "_q").agg(F.sort_array(F.collect_list("_k")).alias("_v"))
+            done.append(small.join(lists, [*g, "_q"]).select(*g, "permille", "n", F.element_at("_v", F.col("_r").cast("int")).alias("_q")))
+            targets = targets.filter(F.col("_c") > LIST_ROWS)
+    out = targets.select(*g, "permille", "n", F.shiftleft("_q", 64 - DIGIT * digits).alias("_q"))
+    for x in done:
+        out = out.unionByName(x)
+    lo = from_ordered_bits("_q")
+    hi = from_ordered_bits(F.col("_q") + F.lit((1 << (64 - DIGIT * digits)) - 1))
+    return out.join(names, g).select(*groups, "permille", "n", lo.alias("value"), lo.alias("lo"), hi.alias("hi"))
+
+
+def _followed(rows: DataFrame, targets: DataFrame, key: list[str]) -> DataFrame:
+    """Rows in followed bins. The list of bins is broadcast up to BROADCAST_ROWS, beyond that the semi-join is shuffled."""
+    bins = targets.select(*key).distinct()
+    return rows.join(F.broadcast(bins) if bins.count() <= BROADCAST_ROWS else bins, key, "left_semi")
 
 
 def histogram(df: DataFrame, groups: list[str], value: str, mantissa_bits: int = 8) -> DataFrame:
+    """bit_histogram over a numeric column; nulls and NaN are left out."""
+    return bit_histogram(df.select(*groups, ordered(F.col(value)).alias("_k")).filter("_k is not null"), groups, "_k", mantissa_bits)
+
+
+def bit_histogram(df: DataFrame, groups: list[str], bits_col: str, mantissa_bits: int = 8) -> DataFrame:
     """The mergeable summary: (groups, bin, c) with bins of relative width 2**-mantissa_bits. At most 2**(12+bits) bins a group."""
-    thin = df.select(*groups, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    return thin.groupBy(*groups, F.shiftright(ordered_bits("_x"), 52 - mantissa_bits).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    return df.groupBy(*groups, F.shiftright(bits_col, 52 - mantissa_bits).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
 
 
 def merge_histograms(parts: DataFrame, groups: list[str]) -> DataFrame:

@@ -49,24 +49,32 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(scope, key, day, measure, x): every call under its rule and under its day, once for each measure."""
+    """(rule_name, day, seconds, prompt_tokens): the measures as ordered integers, null where there is no number."""
     t = table(spark, sf_dir, "throughput_qwen3_4b").select("rule_name", F.to_date("called_at").cast("string").alias("day"), "seconds", "prompt_tokens")
-    one = lambda scope, key, m: F.struct(F.lit(scope).alias("scope"), F.col(key).alias("key"), F.lit(m).alias("measure"), F.col(m).cast("double").alias("x"))
-    wide = F.array(*[one(s, k, m) for s, k in (("rule", "rule_name"), ("day", "day")) for m in ("seconds", "prompt_tokens")])
-    return t.select("day", F.explode(wide).alias("v")).select("v.scope", "v.key", "day", "v.measure", "v.x")
+    return t.select("rule_name", "day", *[quantiles.ordered(F.col(m)).alias(m) for m in ("seconds", "prompt_tokens")])
 
 
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = quantiles.exact_percentiles(call_measures(spark, sf_dir), ["scope", "key", "measure"], "x", PERMILLES)
-    return got.select("scope", "key", "measure", "permille", F.col("n").alias("n_values"), "value")
+    """Per rule, per day, and per rule and day (scope): the columns that a scope does not group by are null."""
+    wide = call_measures(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    scopes = (("rule", F.col("rule_name"), none), ("day", none, F.col("day")), ("rule_day", F.col("rule_name"), F.col("day")))
+    one = [
+        F.struct(F.lit(s).alias("scope"), r.alias("rule_name"), d.alias("day"), F.lit(m).alias("measure"), F.col(m).alias("k"))
+        for s, r, d in scopes for m in ("seconds", "prompt_tokens")
+    ]
+    long = wide.select(F.explode(F.array(*one)).alias("v")).select("v.*").filter("k is not null")
+    got = quantiles.select_ranks(long, ["scope", "rule_name", "day", "measure"], "k", PERMILLES)
+    return got.select("scope", "rule_name", "day", "measure", "permille", F.col("n").alias("n_values"), "value")
 
 
 def p2_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per rule from histograms of its days, merged: each exact percentile lies in [lo, hi], which differ by 2**-8 at most."""
-    calls = call_measures(spark, sf_dir).filter("scope = 'rule'")
-    daily = materialize(quantiles.histogram(calls, ["key", "day", "measure"], "x"), "daily")
-    merged = quantiles.merge_histograms(daily, ["key", "measure"])
-    return quantiles.histogram_percentiles(merged, ["key", "measure"], PERMILLES)
+    one = [F.struct(F.lit(m).alias("measure"), F.col(m).alias("k")) for m in ("seconds", "prompt_tokens")]
+    long = call_measures(spark, sf_dir).select("rule_name", "day", F.explode(F.array(*one)).alias("v")).select("rule_name", "day", "v.*").filter("k is not null")
+    daily = materialize(quantiles.bit_histogram(long, ["rule_name", "day", "measure"], "k"), "daily")
+    merged = quantiles.merge_histograms(daily, ["rule_name", "measure"])
+    return quantiles.histogram_percentiles(merged, ["rule_name", "measure"], PERMILLES)
 
 
 # -- 4: splits --------------------------------------------------------------------------------------------------------
@@ -261,12 +269,11 @@ SQL = {
         SELECT src, min(id) AS first_id, count(*) AS n_copies FROM u GROUP BY src, {_FIELDS}""",
     "p2_percentiles": f"""
         WITH t AS (SELECT rule_name, CAST(CAST(called_at AS DATE) AS VARCHAR) AS day, seconds, CAST(prompt_tokens AS DOUBLE) AS prompt_tokens FROM throughput_qwen3_4b),
-        v AS (SELECT 'rule' AS scope, rule_name AS key, 'seconds' AS measure, seconds AS x FROM t
-          UNION ALL SELECT 'rule', rule_name, 'prompt_tokens', prompt_tokens FROM t
-          UNION ALL SELECT 'day', day, 'seconds', seconds FROM t UNION ALL SELECT 'day', day, 'prompt_tokens', prompt_tokens FROM t),
-        r AS (SELECT *, row_number() OVER (PARTITION BY scope, key, measure ORDER BY x) AS rn, count(*) OVER (PARTITION BY scope, key, measure) AS n
+        m AS (SELECT rule_name, day, 'seconds' AS measure, seconds AS x FROM t UNION ALL SELECT rule_name, day, 'prompt_tokens', prompt_tokens FROM t),
+        v AS (SELECT 'rule' AS scope, rule_name, NULL AS day, measure, x FROM m UNION ALL SELECT 'day', NULL, day, measure, x FROM m UNION ALL SELECT 'rule_day', rule_name, day, measure, x FROM m),
+        r AS (SELECT *, row_number() OVER (PARTITION BY scope, rule_name, day, measure ORDER BY x) AS rn, count(*) OVER (PARTITION BY scope, rule_name, day, measure) AS n
           FROM v WHERE x IS NOT NULL AND NOT isnan(x))
-        SELECT scope, key, measure, p.permille::INTEGER AS permille, n AS n_values, x AS value
+        SELECT scope, rule_name, day, measure, p.permille::INTEGER AS permille, n AS n_values, x AS value
         FROM r JOIN (SELECT unnest({PERMILLES}) AS permille) p ON rn = greatest(1, (n * p.permille + 999) // 1000)""",
     "p4_found": _P4 + f"""
         SELECT s.sample_id, i.rule_id FROM shared_sample s JOIN ids i ON i.name = {PLAIN_SQL.format('s.rule_name')} WHERE i.n_ids >= 2""",
