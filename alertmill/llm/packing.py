@@ -89,15 +89,13 @@ def _pack(shares: dict[int, float], capacity: int, level: int, last: bool, pdf:
     for k, box in enumerate(closed):
         at = 0
         for n, i in box:
-            out.append({**rows[i], "container": (level << 56) | (bucket << 24) | k, "slot": at})
+            out.append({**rows[i], "id": rows[i]["ord"], "container": (level << 56) | (bucket << 24) | k, "slot": at})
             at += n
-    out += [{**rows[i], "container": None, "slot": None} for _, i in left]
+    out += [{**rows[i], "id": rows[i]["ord"], "container": None, "slot": None} for _, i in left]
     out += [{"id": None, "ord": 0, "mix": 0, "q": q, "part": -1, "start": 0, "n": 0, "owed": d, "bucket": bucket, "container": None, "slot": None} for q, d in deficits.items()]
     cols = ["id", "ord", "mix", "q", "part", "start", "n", "owed", "bucket", "container", "slot"]
-    res = pd.DataFrame(out, columns=cols)
-    for c in ("id", "container", "slot"):
-        res[c] = res[c].astype("Int64")
-    return res
+    # nullable integers, made from the values themselves: as floats, large ids would lose their last bits
+    return pd.DataFrame({c: pd.array([o[c] for o in out], dtype="Int64") if c in ("id", "container", "slot") else [o[c] for o in out] for c in cols})
 
 
 def pack(items: DataFrame, id_col: str, size: str, source: str, capacity: int, proportions: dict | None = None) -> DataFrame:
