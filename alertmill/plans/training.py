@@ -9,6 +9,7 @@ from ..functions.text import plain_form, uid_form
 from ..operators.diff import diff_tables
 from ..operators.skew import heavy_keys, per_key_profile
 from ..schema import CONTENT_FIELDS, RECORD_AS_TEXT
+from ..session import spread
 
 #: A rule is heavy from this many thousandths of the rows.
 HEAVY_PERMILLE = 40
@@ -27,14 +28,14 @@ def p3_rule_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert_side(df: DataFrame) -> DataFrame:
-    return df.select(
+    return spread(df.select("uid", *CONTENT_FIELDS, "label", "ingested_at", "row_index")).select(
         uid_form(F.col("uid")).alias("uid"), *[plain_form(F.col(f)).alias(f) for f in CONTENT_FIELDS],
         plain_form(F.col("label")).alias("label"), "ingested_at", "row_index",
     )
 
 
 def published_side(df: DataFrame) -> DataFrame:
-    r = df.withColumn("r", F.from_json("record", RECORD_AS_TEXT))
+    r = spread(df.select("uid", "record", "true_label")).withColumn("r", F.from_json("record", RECORD_AS_TEXT))
     return r.select(
         uid_form(F.col("uid")).alias("uid"), *[plain_form(F.col(f"r.{f}")).alias(f) for f in CONTENT_FIELDS], plain_form(F.col("true_label")).alias("label")
     )
