@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Slots of the hashed letter-pair table: a fixed 2**20 counts (4 MB), whatever the corpus.
 SLOTS = 1 << 20
 #: A repair must lower the cost of a token by this many nats, and by the share below of its cost.
@@ -164,7 +166,7 @@ def pair_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         hit = np.flatnonzero(table)
         yield pd.DataFrame({"slot": hit, "c": table[hit]})
 
-    rows = docs.select(F.col(text).alias("t")).filter("t is not null").mapInPandas(count, "slot long, c long")
+    rows = spread(docs.select(F.col(text).alias("t")).filter("t is not null")).mapInPandas(count, "slot long, c long")
     out = np.zeros(SLOTS, np.int64)
     got = rows.groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
     out[got["slot"].to_numpy(np.int64)] = got["c"].to_numpy(np.int64)
@@ -196,7 +198,7 @@ def repair(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts)
     fn = partial(_with_broadcast, shared)
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(fn, f"id {kind}, garbled boolean, restored string")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).mapInPandas(fn, f"id {kind}, garbled boolean, restored string")
 
 
 def _with_broadcast(shared, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # noqa: ANN001

@@ -11,7 +11,7 @@ from ..functions.text import plain_form, record_words, uid_form
 from ..operators.skew import join_hot_aware
 from ..plans.training import PLAIN_SQL, UID_SQL, table
 from ..schema import CONTENT_FIELDS, RECORD_AS_TEXT
-from ..session import materialize
+from ..session import materialize, spread
 from . import balanced, components, copies, garbled, overlap, packing, quantiles, splits, tokens
 
 PERMILLES = [100, 250, 500, 750, 900, 990]
@@ -23,12 +23,13 @@ CAPACITY = 2048
 
 
 def alert_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "secalertbench").select(F.col("row_index").alias("id"), *[plain_form(F.col(f)).alias(f) for f in CONTENT_FIELDS])
+    t = spread(table(spark, sf_dir, "secalertbench").select("row_index", *CONTENT_FIELDS))
+    return t.select(F.col("row_index").alias("id"), *[plain_form(F.col(f)).alias(f) for f in CONTENT_FIELDS])
 
 
 def published_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record that is no JSON object has null fields."""
-    r = table(spark, sf_dir, "published").withColumn("r", F.from_json("record", RECORD_AS_TEXT))
+    r = spread(table(spark, sf_dir, "published").select("pred_id", "record")).withColumn("r", F.from_json("record", RECORD_AS_TEXT))
     return r.select(F.col("pred_id").alias("id"), *[plain_form(F.col(f"r.{f}")).alias(f) for f in CONTENT_FIELDS])
 
 
@@ -139,7 +140,7 @@ def _side(split: Column) -> Column:
 
 def published_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "published").select("pred_id", "record", _side(F.col("split")).alias("side")).filter("side is not null")
-    r = t.withColumn("r", F.from_json("record", RECORD_AS_TEXT))
+    r = spread(t).withColumn("r", F.from_json("record", RECORD_AS_TEXT))
     return r.select(F.col("pred_id").alias("id"), "side", record_words(F.concat_ws(" ", *[F.col(f"r.{f}") for f in CONTENT_FIELDS])).alias("words"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import join_hot_aware
-from ..session import materialize
+from ..session import materialize, spread
 
 #: The ranks of byte_bpe_50k; byte_bpe_50k.json gives the same ids and takes four times as long.
 DEFAULT_TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -140,7 +140,7 @@ def encode_corpus(docs: DataFrame, id_col: str, text: str = "text", tokenizer: s
     """
     path = tokenizer or default_path()
     kind = dict(docs.dtypes)[id_col]
-    split = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(
+    split = spread(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).mapInPandas(
         _split, f"id {kind}, joints array<string>, cores array<string>"
     )
     split = materialize(split, "pieces")
