@@ -61,6 +61,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def bind(f, *args):  # noqa: ANN001, ANN002, ANN201
+    """f with its first arguments fixed, as a plain function: applyInPandas looks at signatures, which a partial lacks."""
+
+    def run(pdf):  # noqa: ANN001, ANN202
+        return f(*args, pdf)
+
+    return run
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

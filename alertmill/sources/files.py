@@ -16,6 +16,7 @@ from ..functions.labels import valid_label
 from ..schema import FIELD_ORDER
 
 _CORRUPT = "_corrupt_record"
+NULL_TEXT = r"\N"
 
 
 def read_array_file(spark: SparkSession, path: str, schema: T.StructType, sha256: str | None = None) -> DataFrame:
@@ -122,12 +123,12 @@ def sha256_text(text: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Metric tables with a header; nulls as empty fields, empty strings quoted."""
-    df.write.mode("overwrite").option("header", True).option("emptyValue", '""').csv(path)
+    """Metric tables with a header; null is written as \\N, so that it differs from an empty string."""
+    df.write.mode("overwrite").option("header", True).option("nullValue", NULL_TEXT).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    return spark.read.schema(schema).option("header", True).option("nullValue", NULL_TEXT).option("mode", "FAILFAST").csv(path)
 
 
 def nested_key_counts(rows: DataFrame, json_column: str) -> DataFrame:
