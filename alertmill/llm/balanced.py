@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_form
-from ..session import materialize
+from ..session import bind, materialize
 
 #: Candidate records that one flight task holds, and flights merged into one on the level above.
 FLIGHT_ROWS, FAN_IN = 50_000, 32
@@ -114,7 +112,7 @@ def cube_sample(frame: DataFrame, sizes: DataFrame, seed: int = 29) -> DataFrame
     done, level = [sure], 0
     while True:
         schema = ", ".join(f"{c} {t}" for c, t in level_in.dtypes)
-        flown = materialize(level_in.groupBy("bucket").applyInPandas(partial(_fly, seed, level, n == 1), schema), f"flight{level}")
+        flown = materialize(level_in.groupBy("bucket").applyInPandas(bind(_fly, seed, level, n == 1), schema), f"flight{level}")
         done.append(flown.filter("p = 1").select(F.col("plan").alias("plan_id"), "s", "l", "unit"))
         if n == 1:
             break

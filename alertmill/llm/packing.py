@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import defaultdict
-from functools import partial
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import bind, materialize
 
 #: Containers that one packing task fills at most, and containers in a window of the round-robin.
 BUCKET_CONTAINERS, WINDOW = 1024, 16
@@ -131,7 +129,7 @@ def pack(items: DataFrame, id_col: str, size: str, source: str, capacity: int, p
     done, level = [], 0
     while True:
         last = n_buckets == 1
-        packed = materialize(level_in.groupBy("bucket").applyInPandas(partial(_pack, shares, capacity, level, last), schema), f"pack{level}")
+        packed = materialize(level_in.groupBy("bucket").applyInPandas(bind(_pack, shares, capacity, level, last), schema), f"pack{level}")
         done.append(packed.filter("container is not null"))
         if last:
             break
