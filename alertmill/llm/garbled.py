@@ -23,26 +23,30 @@ CAPITALS = 4.0
 LEAST_MEAN = 0.7
 #: A reading most of whose pairs stand nowhere in the corpus is an accident of the bytes.
 LEAST_KNOWN = 0.35
+#: ... but not if so many characters decode strictly as UTF-8: an inner layer may be new to the corpus.
+SURE_CHARACTERS = 4
 _SPACE = re.compile(r"([ \t\r\n]+)")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
+_CONTROL = re.compile(r"[\x00-\x1f\x7f-\x9f]")
+_DIGITS = str.maketrans("123456789", "000000000")
 
 #: Fixed values: (encoding the text was wrongly decoded with, encodings it may really be in). "sloppy" is cp1252 whose
 #: undefined bytes are the control characters of the same number, so it covers latin-1 as well.
 WRONG_TO_TRUE: dict[str, tuple[str, ...]] = {
-    "sloppy": ("utf-8", "cp1251", "koi8_r", "gbk", "cp932", "mac_roman", "cp1250", "iso8859_2", "big5", "euc_jp", "cp437", "cp850", "cp866"),
-    "latin_1": ("utf-8", "cp1251", "koi8_r", "gbk", "cp932", "mac_roman", "cp1250", "iso8859_2", "big5", "euc_jp", "cp437", "cp850", "cp866"),
-    "mac_roman": ("utf-8", "sloppy", "cp1251", "gbk", "cp932"),
+    "sloppy": ("utf-8", "cp1251", "koi8_r", "gb18030", "cp932", "mac_roman", "cp1250", "iso8859_2", "big5", "euc_jp", "cp437", "cp850", "cp866"),
+    "latin_1": ("utf-8", "cp1251", "koi8_r", "gb18030", "cp932", "mac_roman", "cp1250", "iso8859_2", "big5", "euc_jp", "cp437", "cp850", "cp866"),
+    "mac_roman": ("utf-8", "sloppy", "cp1251", "gb18030", "cp932"),
     "cp437": ("utf-8", "sloppy", "cp1251", "cp866"),
     "cp850": ("utf-8", "sloppy"),
     "cp1250": ("utf-8", "sloppy", "iso8859_2"),
     "iso8859_2": ("utf-8", "sloppy", "cp1250"),
-    "cp1251": ("utf-8", "koi8_r", "cp866", "sloppy", "gbk", "cp932"),
+    "cp1251": ("utf-8", "koi8_r", "cp866", "sloppy", "gb18030", "cp932"),
     "koi8_r": ("utf-8", "cp1251", "cp866"),
     "cp866": ("utf-8", "cp1251", "koi8_r"),
     "gbk": ("utf-8", "cp932", "big5", "cp1251", "sloppy"),
-    "big5": ("utf-8", "gbk"),
-    "cp932": ("utf-8", "gbk", "sloppy"),
-    "cp949": ("utf-8", "gbk", "cp932"),
+    "big5": ("utf-8", "gb18030"),
+    "cp932": ("utf-8", "gb18030", "sloppy"),
+    "cp949": ("utf-8", "gb18030", "cp932"),
 }
 #: Single-byte readings of UTF-8 whose high runs are repaired one by one inside a token.
 _RUN_WISE = ("sloppy", "latin_1", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866")
@@ -72,7 +76,7 @@ def decode(raw: bytes, name: str) -> str | None:
 
 def pair_slots(text: str) -> np.ndarray:
     """Slots of the adjacent character pairs of the text between two spaces; digits count as one character."""
-    cp = np.frombuffer((" " + re.sub(r"[0-9]", "0", text) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    cp = np.frombuffer((" " + text.translate(_DIGITS) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     mix = (cp[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (cp[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
     return ((mix * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)).astype(np.int64)
 
@@ -86,15 +90,17 @@ class Repairer:
         self.price = (np.log(total + 1) - np.log(counts + 0.3)).astype(np.float32)
         self.memo: dict[str, str] = {}
 
-    def cost(self, text: str) -> float:
-        """Capitals are rarer than the words they spell: a token costs no more than its small letters and a mark-up."""
-        as_is = float(self.price[pair_slots(text)].sum())
-        small = text.lower()
-        return as_is if small == text else min(as_is, float(self.price[pair_slots(small)].sum()) + CAPITALS)
+    def measure(self, text: str) -> tuple[float, float]:
+        """(cost, share of the pairs that the corpus has at all).
 
-    def known(self, text: str) -> float:
-        """Share of the pairs that the corpus has at all."""
-        return float((self.counts[pair_slots(text)] > 0).mean())
+        Capitals are rarer than the words they spell: a token costs no more than its small letters and a mark-up.
+        """
+        slots = pair_slots(text)
+        cost = float(self.price[slots].sum())
+        small = text.lower()
+        if small != text:
+            cost = min(cost, float(self.price[pair_slots(small)].sum()) + CAPITALS)
+        return cost, np.count_nonzero(self.counts[slots]) / len(slots)
 
     def _candidates(self, token: str) -> Iterator[tuple[str, bool]]:
         """Readings of the token, and whether strict decoding alone is weak evidence for them."""
@@ -121,17 +127,19 @@ class Repairer:
         known = self.memo.get(token)
         if known is not None:
             return known
-        now, price = token, self.cost(token)
+        now, price = token, self.measure(token)[0]
         for _ in range(LAYERS):
             best, best_price = now, price
+            tried = {now}
+            controls = _CONTROL.search(now)
             for option, weak in self._candidates(now):
-                if option == now or any(ord(c) < 32 or 127 <= ord(c) < 160 for c in option) and not any(127 <= ord(c) < 160 for c in now):
-                    continue
-                p = self.cost(option)
-                if self.known(option) < LEAST_KNOWN:
+                if option in tried or (not controls and _CONTROL.search(option)):
                     continue
+                tried.add(option)
+                p, known = self.measure(option)
                 # fewer characters are cheaper in sum: where any bytes decode, the cost of each pair must drop as well
-                if p < best_price and not (weak and p / (len(option) + 1) > price / (len(now) + 1) - LEAST_MEAN):
+                likely = known >= LEAST_KNOWN or (not weak and sum(c > "\x7f" for c in option) >= SURE_CHARACTERS)
+                if p < best_price and likely and not (weak and p / (len(option) + 1) > price / (len(now) + 1) - LEAST_MEAN):
                     best, best_price = option, p
             if price - best_price < max(LEAST_DROP, LEAST_SHARE * price):
                 break
@@ -161,8 +169,15 @@ def pair_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros(SLOTS, np.int64)
         for b in batches:
-            for t in b["t"]:
-                table += 0 if not t else np.bincount(pair_slots(_SPACE.sub(" ", t)), minlength=SLOTS) if len(t) > 20_000 else _sparse(table, t)
+            some, size = [], 0
+            for t in [*b["t"], None]:
+                if t:
+                    some.append(_SPACE.sub(" ", t))
+                    size += len(t)
+                # texts joined by a space have the pairs that each has between two spaces
+                if some and (t is None or size > 500_000):
+                    table += np.bincount(pair_slots(" ".join(some)), minlength=SLOTS)
+                    some, size = [], 0
         hit = np.flatnonzero(table)
         yield pd.DataFrame({"slot": hit, "c": table[hit]})
 
@@ -173,11 +188,6 @@ def pair_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
-def _sparse(table: np.ndarray, text: str) -> int:
-    np.add.at(table, pair_slots(_SPACE.sub(" ", text)), 1)
-    return 0
-
-
 def _repair_batches(counts: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     fix = Repairer(counts)
     for b in batches:
