@@ -28,6 +28,7 @@ SURE_CHARACTERS = 4
 _SPACE = re.compile(r"([ \t\r\n]+)")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 _CONTROL = re.compile(r"[\x00-\x1f\x7f-\x9f]")
+_REFERENCE = re.compile(r"&#(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));?")
 _DIGITS = str.maketrans("123456789", "000000000")
 
 #: Fixed values: (encoding the text was wrongly decoded with, encodings it may really be in). "sloppy" is cp1252 whose
@@ -74,6 +75,18 @@ def decode(raw: bytes, name: str) -> str | None:
         return None
 
 
+def _character(m: re.Match) -> str:
+    n = int(m[1], 16) if m[1] else int(m[2])
+    if 0x80 <= n < 0xA0:
+        return _SLOPPY_DECODE[n]  # as browsers read these numbers
+    return chr(n) if 0 < n < 0xD800 or 0xDFFF < n < 0x110000 else m[0]
+
+
+def resolve(text: str) -> str:
+    """The text with its numeric character references as characters; numbers that are no character stay."""
+    return _REFERENCE.sub(_character, text) if "&#" in text else text
+
+
 def pair_slots(text: str) -> np.ndarray:
     """Slots of the adjacent character pairs of the text between two spaces; digits count as one character."""
     cp = np.frombuffer((" " + text.translate(_DIGITS) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -150,12 +163,18 @@ class Repairer:
         return now
 
     def text(self, text: str | None) -> tuple[bool, str | None]:
-        """(is it garbled, its text as far as it can be restored)."""
-        if not text or text.isascii():
+        """(is it garbled, its text as far as it can be restored). Numeric references are judged as what they stand for."""
+        if not text or (text.isascii() and "&#" not in text):
             return False, text
-        parts = [p if p.isascii() else self.token(p) for p in _SPACE.split(text)]
-        fixed = "".join(parts)
-        return fixed != text or lost_characters(text), fixed
+        fixed = "".join(self._part(p) for p in _SPACE.split(text))
+        return fixed != text or lost_characters(resolve(text)), fixed
+
+    def _part(self, part: str) -> str:
+        plain = resolve(part)
+        if plain.isascii():
+            return part
+        fixed = self.token(plain) if plain is part else "".join(p if p.isascii() else self.token(p) for p in _SPACE.split(plain))
+        return part if fixed == plain else fixed  # references that are right stay as they are written
 
 
 def lost_characters(text: str) -> bool:
@@ -172,7 +191,7 @@ def pair_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
             some, size = [], 0
             for t in [*b["t"], None]:
                 if t:
-                    some.append(_SPACE.sub(" ", t))
+                    some.append(_SPACE.sub(" ", resolve(t)))
                     size += len(t)
                 # texts joined by a space have the pairs that each has between two spaces
                 if some and (t is None or size > 500_000):

@@ -129,5 +129,18 @@ def test_correct_texts_stay(repaired):
     assert all(not got[k]["garbled"] and got[k]["restored"] == t for k, t in [*natural, *fine])
 
 
+def test_garbling_in_numeric_references(spark):
+    natural = [(i * 100 + j, t) for i, t in enumerate(TEXT.values()) for j in range(60)]
+    refs = lambda t: t.encode("ascii", "xmlcharrefreplace").decode()
+    bad = {1000 + i: (TEXT[lang].encode().decode("latin_1"), TEXT[lang]) for i, lang in enumerate(("en", "de", "ru", "ja"))}
+    part = (2000, "étui " + refs("für schöne Tücher".encode().decode("latin_1")))
+    fine = [(3000 + i, refs(t)) for i, t in enumerate(TEXT.values())] + [(4000, "it&#146;s &#60;b&#62; &#0; &#xD800; &#9999999; &#"), (4001, "étui &#xe9;tui")]
+    rows = [*natural, *[(k, refs(b)) for k, (b, _) in bad.items()], part, *fine]
+    got = {r["id"]: r for r in garbled.repair(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    assert {k: got[k]["restored"] for k in bad} == {k: want for k, (_, want) in bad.items()} and all(got[k]["garbled"] for k in bad)
+    assert got[2000]["garbled"] and got[2000]["restored"] == "étui für schöne Tücher"
+    assert all(not got[k]["garbled"] and got[k]["restored"] == t for k, t in fine)
+
+
 def test_empty_table(spark):
     assert garbled.repair(spark.createDataFrame([], "doc_id long, text string"), "doc_id").count() == 0
