@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import materialize, spread
 
 #: Slots of the hashed letter-pair table: a fixed 2**20 counts (4 MB), whatever the corpus.
 SLOTS = 1 << 20
@@ -25,7 +25,13 @@ LEAST_MEAN = 0.7
 LEAST_KNOWN = 0.35
 #: ... but not if so many characters decode strictly as UTF-8: an inner layer may be new to the corpus.
 SURE_CHARACTERS = 4
+#: Nats for each place where the letters cannot stand together in writing, whatever the corpus holds: a source that is
+#: garbled throughout makes its own letter pairs cheap.
+ODD_PLACE = 8.0
+#: Copies of one text that count for the letter pairs, and the share of suspect words from which a text counts for none.
+COPIES, SUSPECT = 64, 0.25
 _SPACE = re.compile(r"([ \t\r\n]+)")
+_WORD = re.compile(r"[!-\x7f]*[^\x00-\x7f][^ ]*")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 _CONTROL = re.compile(r"[\x00-\x1f\x7f-\x9f]")
 _REFERENCE = re.compile(r"&#(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));?")
@@ -54,6 +60,29 @@ _RUN_WISE = ("sloppy", "latin_1", "mac_roman", "cp437", "cp850", "cp1250", "iso8
 #: Lead and continuation byte of UTF-8 in some single-byte reading, or a character that only damage leaves.
 _SLOPPY_DECODE = {b: bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 256)}
 _SLOPPY_ENCODE = {c: b for b, c in _SLOPPY_DECODE.items()}
+
+
+def _odd_places() -> re.Pattern[str]:
+    high = [chr(c) for c in range(0xC0, 0x180) if c not in (0xD7, 0xF7)]
+    small, large = "".join(c for c in high if c.islower()), "".join(c for c in high if c.isupper())
+    west = "À-ÖØ-öø-ÿŒœŠšŽžŸ"
+    cyrillic = [chr(c) for c in range(0x400, 0x460)]
+    small_c, large_c = "".join(c for c in cyrillic if c.islower()), "".join(c for c in cyrillic if c.isupper())
+    greek = "\u0391-\u03a9\u03b1-\u03c9"
+    latin, other = f"A-Za-z{small}{large}", f"{small_c}{large_c}{greek}"
+    # not quotes, dashes and dots, which may join two words
+    sign = "\x80-\x9f\xa1-\xa9\xab-\xac\xae-\xb9\xbb-\xbf\xd7\xf7\u0192\u02c6-\u02dd\u201a\u201e\u2020-\u2022\u2030\u2039-\u203a\u2044\u2070-\u209f\u20ac\u2122\u2200-\u22ff\u2310-\u2321\u2500-\u25ff\ue000-\uf8ff"
+    return re.compile(
+        f"(?<=[a-z{small}])[{large}]|(?<=[{small}])[A-Z]|(?<=[{small_c}])[{large_c}]"  # a capital inside a word
+        f"|(?<=[{west}]{{3}})[{west}]"  # no western word has four such letters in a row
+        "|(?<=[a-z])[\u4e00-\u9fff]|(?<=[\u4e00-\u9fff])[a-z]"
+        f"|(?<=[{latin}])[{other}]|(?<=[{other}])[{latin}]"  # two scripts in a word
+        f"|(?<=[{latin}{other}])(?<![lL](?=·))[{sign}‘’“”–—…\xa0\xad]*[{sign}][{sign}‘’“”–—…\xa0\xad]*(?=[{latin}{other}])"  # signs inside a word
+        f"|[ÂÃâã][{sign}]|[ÂÃ][\xa0\xad]"  # first bytes of UTF-8 read alone
+    )
+
+
+_ODD = _odd_places()
 LOST = "�"
 
 
@@ -75,6 +104,27 @@ def decode(raw: bytes, name: str) -> str | None:
         return None
 
 
+def odd_cost(text: str) -> float:
+    return ODD_PLACE * sum(1 for _ in _ODD.finditer(text))
+
+
+def evidence(text: str) -> str:
+    """What a text adds to the letter pairs: suspect words, those with odd places, leave a space, so none vouches for itself.
+
+    Where they are common, all words beyond ASCII are left out.
+    """
+    text = _SPACE.sub(" ", resolve(text))
+    if text.isascii():
+        return text
+    words = _WORD.findall(text)
+    odd = {w for w in words if _ODD.search(w)}
+    if not odd:
+        return text
+    if sum(w in odd for w in words) >= SUSPECT * len(words):
+        return _WORD.sub(" ", text)
+    return _WORD.sub(lambda m: " " if m.group() in odd else m.group(), text)
+
+
 def _character(m: re.Match) -> str:
     n = int(m[1], 16) if m[1] else int(m[2])
     if 0x80 <= n < 0xA0:
@@ -115,20 +165,28 @@ class Repairer:
             cost = min(cost, float(self.price[pair_slots(small)].sum()) + CAPITALS)
         return cost, np.count_nonzero(self.counts[slots]) / len(slots)
 
-    def _candidates(self, token: str) -> Iterator[tuple[str, bool]]:
-        """Readings of the token, and whether strict decoding alone is weak evidence for them."""
+    def _candidates(self, token: str) -> Iterator[tuple[str, bool, bool]]:
+        """Readings of the token, whether strict decoding alone is weak evidence for them, and whether it is proof."""
         for wrong, trues in WRONG_TO_TRUE.items():
             if wrong in _RUN_WISE:
-                yield _HIGH.sub(lambda m: self._run(m.group(), wrong), token), False
+                yield _HIGH.sub(lambda m: self._run(m.group(), wrong), token), False, False
             raw = encode(token, wrong)
             if raw is not None:
+                # two-byte characters of the East Asian encodings are often two bytes of UTF-8 too, seldom three
+                least = "\x7f" if wrong in _RUN_WISE else "\u07ff"
                 for true in trues:
                     out = decode(raw, true)
                     if out is not None:
-                        yield out, true != "utf-8"
+                        yield out, true != "utf-8", true == "utf-8" and sum(c > least for c in out) >= SURE_CHARACTERS
         # the case of a garbled text was changed afterwards
-        yield _HIGH.sub(lambda m: self._run(m.group().upper(), "sloppy").lower() if "µ" not in m.group() else m.group(), token), False
-        yield _HIGH.sub(lambda m: self._run(m.group().lower(), "sloppy").upper(), token), False
+        yield _HIGH.sub(lambda m: self._cased(m.group(), str.upper, str.lower) if "µ" not in m.group() else m.group(), token), False, False
+        yield _HIGH.sub(lambda m: self._cased(m.group(), str.lower, str.upper), token), False, False
+
+    @classmethod
+    def _cased(cls, run: str, there: Callable[[str], str], back: Callable[[str], str]) -> str:
+        moved = there(run)
+        out = cls._run(moved, "sloppy")
+        return run if out == moved else back(out)
 
     @staticmethod
     def _run(run: str, wrong: str) -> str:
@@ -140,28 +198,38 @@ class Repairer:
         known = self.memo.get(token)
         if known is not None:
             return known
-        now, price = token, self.measure(token)[0]
-        for _ in range(LAYERS):
-            best, best_price = now, price
-            tried = {now}
-            controls = _CONTROL.search(now)
-            for option, weak in self._candidates(now):
-                if option in tried or (not controls and _CONTROL.search(option)):
-                    continue
-                tried.add(option)
-                p, known = self.measure(option)
-                # fewer characters are cheaper in sum: where any bytes decode, the cost of each pair must drop as well
-                likely = known >= LEAST_KNOWN or (not weak and sum(c > "\x7f" for c in option) >= SURE_CHARACTERS)
-                if p < best_price and likely and not (weak and p / (len(option) + 1) > price / (len(now) + 1) - LEAST_MEAN):
-                    best, best_price = option, p
-            if price - best_price < max(LEAST_DROP, LEAST_SHARE * price):
-                break
-            now, price = best, best_price
+        now = self._search(token, LAYERS)[0]
         if len(self.memo) > 200_000:
             self.memo.clear()
         self.memo[token] = now
         return now
 
+    def _search(self, now: str, layers: int) -> tuple[str, float]:
+        """(cheapest reading within so many layers, its cost with odd places)."""
+        price = self.measure(now)[0] + odd_cost(now)
+        best, best_price, proven, deeper = now, price, False, False
+        tried: set[str] = {now}
+        controls = _CONTROL.search(now)
+        for option, weak, proof in self._candidates(now):
+            if (option in tried and not proof) or (not controls and _CONTROL.search(option)):
+                continue
+            tried.add(option)
+            p, known = self.measure(option)
+            o = odd_cost(option)
+            end, p = option, p + o
+            # an inner layer still has odd places or is new to the corpus: it counts as what it leads to
+            if (o or known < LEAST_KNOWN) and not weak and layers > 1:
+                end, p = self._search(option, layers - 1)
+            # fewer characters are cheaper in sum: where any bytes decode, the cost of each pair must drop as well
+            likely = known >= LEAST_KNOWN or end != option or (not weak and sum(c > "\x7f" for c in option) >= SURE_CHARACTERS)
+            if proof and (not proven or p < best_price):
+                best, best_price, proven, deeper = end, p, True, end != option
+            elif not proven and likely and p < best_price and not (weak and p / (len(option) + 1) > price / (len(now) + 1) - LEAST_MEAN):
+                best, best_price, deeper = end, p, end != option
+        if best == now or (not proven and price - best_price < max(LEAST_DROP, LEAST_SHARE * price)):
+            return now, price
+        return (best, best_price) if deeper or layers == 1 else self._search(best, layers - 1)
+
     def text(self, text: str | None) -> tuple[bool, str | None]:
         """(is it garbled, its text as far as it can be restored). Numeric references are judged as what they stand for."""
         if not text or (text.isascii() and "&#" not in text):
@@ -183,27 +251,43 @@ def lost_characters(text: str) -> bool:
 
 
 def pair_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """How often each slot occurs in all texts; partitions send at most SLOTS sums, the driver gets SLOTS numbers."""
+    """How often each slot occurs, copies damped; partitions send at most SLOTS sums, the driver gets SLOTS numbers.
+
+    All copies of a text count as COPIES of it at most, whatever share of the rows they are. Only hashes of texts that occur twice are joined, so texts stay where they are as long as
+    that list can be broadcast.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(SLOTS, np.int64)
+        table = np.zeros(SLOTS)
+        some: dict[int, list[str]] = {}
+        size = 0
+
+        def add() -> None:
+            # texts joined by a space have the pairs that each has between two spaces
+            for n, texts in some.items():
+                np.add(table, np.bincount(pair_slots(" ".join(texts)), minlength=SLOTS) * (min(n, COPIES) / n), out=table)
+            some.clear()
+
         for b in batches:
-            some, size = [], 0
-            for t in [*b["t"], None]:
+            for t, n in zip(b["t"], b["n"]):
                 if t:
-                    some.append(_SPACE.sub(" ", resolve(t)))
+                    some.setdefault(int(n), []).append(evidence(t))
                     size += len(t)
-                # texts joined by a space have the pairs that each has between two spaces
-                if some and (t is None or size > 500_000):
-                    table += np.bincount(pair_slots(" ".join(some)), minlength=SLOTS)
-                    some, size = [], 0
+                if size > 500_000:
+                    add()
+                    size = 0
+        add()
         hit = np.flatnonzero(table)
         yield pd.DataFrame({"slot": hit, "c": table[hit]})
 
-    rows = spread(docs.select(F.col(text).alias("t")).filter("t is not null")).mapInPandas(count, "slot long, c long")
+    texts = docs.select(F.col(text).alias("t")).filter("t is not null")
+    copied = materialize(texts.groupBy(F.xxhash64("t").alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copied")
+    weighed = texts.withColumn("h", F.xxhash64("t")).join(copied, "h", "left").select("t", F.coalesce("n", F.lit(1)).alias("n"))
+    rows = spread(weighed).mapInPandas(count, "slot long, c double")
     out = np.zeros(SLOTS, np.int64)
     got = rows.groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
-    out[got["slot"].to_numpy(np.int64)] = got["c"].to_numpy(np.int64)
+    # whole numbers but for the order of addition
+    out[got["slot"].to_numpy(np.int64)] = np.rint(got["c"].to_numpy(float)).astype(np.int64)
     return out
 
 
@@ -217,7 +301,8 @@ def _repair_batches(counts: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iter
 def repair(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """(id, garbled, restored) for every record.
 
-    The cost is learnt from all texts: character pairs that the corpus rarely has are dear. A token (a run without
+    The cost is learnt from all texts, copies damped and suspect words left out: character pairs that the corpus rarely has are
+    dear. Places that no writing has, and strict UTF-8, count whatever the corpus holds. A token (a run without
     white space) is re-encoded under each legacy encoding and strictly decoded as the intended one; high runs inside a
     token are tried alone, for texts that are garbled in part. The cheapest reading wins if the cost drops clearly, and
     the search repeats on it for nested layers. A text with replacement characters is garbled though what they stood

@@ -142,5 +142,22 @@ def test_garbling_in_numeric_references(spark):
     assert all(not got[k]["garbled"] and got[k]["restored"] == t for k, t in fine)
 
 
+@pytest.mark.parametrize(("lang", "true", "wrong"), [("ru", "cp1251", "latin_1"), ("es", "cp1252", "mac_roman"), ("de", "utf-8", "cp437"), ("fr", "cp1252", "mac_roman")])
+@pytest.mark.parametrize("copies", [True, False])
+def test_a_garbled_third_does_not_vouch_for_itself(spark, lang, true, wrong, copies):
+    bad = TEXT[lang].encode(true).decode(wrong)
+    rows = [(i * 100 + j, t) for i, t in enumerate(TEXT.values()) for j in range(60)]
+    rows += [(10_000 + k, bad if copies else f"{bad} No {k}.") for k in range(210)]
+    got = {r["id"]: r["garbled"] for r in garbled.repair(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    assert all(g == (k >= 10_000) for k, g in got.items())
+
+
+def test_copies_hardly_add_to_the_letter_pairs(spark):
+    one = spark.createDataFrame([("abc étui",), ("x",), (None,)], "text string")
+    many = spark.createDataFrame([("abc étui",)] * 700 + [("x",)] + [(None,)], "text string")
+    a, b = garbled.pair_counts(one), garbled.pair_counts(many)
+    assert b.sum() - a.sum() == 9 * (garbled.COPIES - 1) and ((a > 0) == (b > 0)).all()  # nine pairs
+
+
 def test_empty_table(spark):
     assert garbled.repair(spark.createDataFrame([], "doc_id long, text string"), "doc_id").count() == 0
