@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +94,13 @@ def tfidf_logistic(train: DataFrame, test: DataFrame, text: str = "text", label:
     return scored.select(*test.columns, "score", F.when(F.col("score") >= 0.5, ATTACK).otherwise(NON_ATTACK).alias("pred"))
 
 
+def cross_fit_tfidf(rows: DataFrame, fold: str = "fold", text: str = "text", label: str = "label", **fit: int) -> DataFrame:
+    """All rows with score and pred of the TF-IDF model fitted on the other folds; fit goes to tfidf_logistic."""
+    folds = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]
+    scored = [tfidf_logistic(rows.filter(F.col(fold) != k), rows.filter(F.col(fold) == k), text, label, **fit) for k in folds]
+    return reduce(DataFrame.unionByName, scored)
+
+
 def _vector_type():  # noqa: ANN202
     from pyspark.ml.linalg import VectorUDT
 

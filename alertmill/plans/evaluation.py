@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -284,13 +286,14 @@ def m5_always_attack(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def m4_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    """Hashed n-gram TF-IDF and logistic regression under condition c: fitted on one half of the rules' folds, scored on the other."""
-    folds = sampling.grouped_folds(frame(spark, d), "rule_name", 2, SEED)
+    """Hashed n-gram TF-IDF and logistic regression per condition, each of five folds of rules scored by the fit on the others."""
+    folds = sampling.grouped_folds(frame(spark, d), "rule_name", 5, SEED)
     a = alerts(spark, d)
     kinds = dict(a.dtypes)
-    texts = a.select("row_index", classifier_text(fields_of("c"), kinds).alias("text"))
-    rows = materialize(folds.join(texts, "row_index").select("uid", "label", "fold", "text"), "texts")
-    return models.tfidf_logistic(rows.filter("fold = 0"), rows.filter("fold = 1"), n_features=1 << 12, max_iter=15).select("uid", "label", "score", "pred")
+    texts = a.select("row_index", *[classifier_text(fields_of(c), kinds).alias(f"text_{c}") for c in CONDITIONS])
+    rows = materialize(folds.join(texts, "row_index").select("uid", "label", "fold", *[f"text_{c}" for c in CONDITIONS]), "texts")
+    scored = [models.cross_fit_tfidf(rows.select("uid", "label", "fold", F.col(f"text_{c}").alias("text"))).withColumn("condition", F.lit(c)) for c in CONDITIONS]
+    return reduce(DataFrame.unionByName, scored).select("uid", "condition", "fold", "label", "score", "pred")
 
 
 # -- joins and audits -------------------------------------------------------------------------------------------------

@@ -129,6 +129,37 @@ def test_tfidf_learns_and_keeps_test_rows(spark):
     assert got[1]["pred"] == A and got[2]["pred"] == N and set(got) == {1, 2, 3, 4}
 
 
+def test_tfidf_query_scores_every_row_under_every_condition(spark, monkeypatch):
+    import inspect
+
+    from alertmill.plans import evaluation
+    from alertmill.plans.bindings import frame
+
+    d, fits = "/root/testdata/sf0.001", []
+    signature = inspect.signature(models.tfidf_logistic)
+
+    def stub(*args, **kwargs):
+        b = signature.bind(*args, **kwargs)
+        b.apply_defaults()
+        train, test = b.arguments["train"], b.arguments["test"]
+        shared = train.select("uid").intersect(test.select("uid")).count()
+        fits.append((b.arguments["n_features"], b.arguments["max_iter"], train.count() + test.count(), shared))
+        return test.selectExpr("*", "0.5d AS score", "'Attack' AS pred")
+
+    monkeypatch.setattr(models, "tfidf_logistic", stub)
+    got = evaluation.QUERIES["m4_tfidf"](spark, d).select("uid", "condition").collect()
+    uids = {r["uid"] for r in frame(spark, d).collect()}
+    assert sorted(map(tuple, got)) == sorted((u, c) for u in uids for c in "abc")
+    assert fits == [(1 << 16, 100, len(uids), 0)] * 15
+
+
+def test_tfidf_cross_fit_learns_from_the_other_folds(spark):
+    rows = [(i, f"union select {i} password", A, i % 2) for i in range(12)] + [(i, f"index page {i} welcome", N, i % 2) for i in range(12, 36)]
+    df = spark.createDataFrame(rows, "i int, text string, label string, fold int")
+    got = models.cross_fit_tfidf(df, n_features=1 << 10, max_iter=10).collect()
+    assert sorted(r["i"] for r in got) == list(range(36)) and all(r["pred"] == r["label"] for r in got)
+
+
 def test_ngrams_cross_lines_and_collapse_space(spark):
     df = models.with_char_ngrams(spark.createDataFrame([("a\nb  c",), ("ab",), ("é\U0001f600xy",)], "text string"))
     g = [r["grams"] for r in df.collect()]
