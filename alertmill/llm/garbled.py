@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import lru_cache, partial
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,7 @@ COPIES, SUSPECT = 64, 0.25
 _SPACE = re.compile(r"([ \t\r\n]+)")
 _WORD = re.compile(r"[!-\x7f]*[^\x00-\x7f][^ ]*")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
+_EAST = re.compile("[\u2e80-\u9fff]")
 _CONTROL = re.compile(r"[\x00-\x1f\x7f-\x9f]")
 _REFERENCE = re.compile(r"&#(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));?")
 _DIGITS = str.maketrans("123456789", "000000000")
@@ -144,6 +146,18 @@ def pair_slots(text: str) -> np.ndarray:
     return ((mix * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)).astype(np.int64)
 
 
+@lru_cache(1 << 17)
+def _has(name: str, c: str) -> bool:
+    return encode(c, name) is not None
+
+
+def stretches(text: str, name: str) -> list[str]:
+    """The text cut where characters that the encoding has meet those that it lacks, if it is of a script without spaces."""
+    if not _EAST.search(text) or not any(c > "\x7f" and _has(name, c) for c in text):
+        return [text]
+    return ["".join(g) for _, g in groupby(text, lambda c: c < "\x80" or _has(name, c))]
+
+
 class Repairer:
     """Token by token; cost of a token is the sum over its character pairs of -log of the pair's share of the corpus."""
 
@@ -178,6 +192,12 @@ class Repairer:
                     out = decode(raw, true)
                     if out is not None:
                         yield out, true != "utf-8", true == "utf-8" and sum(c > least for c in out) >= SURE_CHARACTERS
+            elif len(parts := stretches(token, wrong)) > 1:
+                # correct text that the encoding lacks touches a garbled passage
+                for true in trues:
+                    out = "".join(p if p.isascii() or (raw := encode(p, wrong)) is None else decode(raw, true) or p for p in parts)
+                    if out != token:
+                        yield out, true != "utf-8", False
         # the case of a garbled text was changed afterwards
         yield _HIGH.sub(lambda m: self._cased(m.group(), str.upper, str.lower) if "µ" not in m.group() else m.group(), token), False, False
         yield _HIGH.sub(lambda m: self._cased(m.group(), str.lower, str.upper), token), False, False
@@ -191,7 +211,9 @@ class Repairer:
     @staticmethod
     def _run(run: str, wrong: str) -> str:
         raw = encode(run, wrong)
-        return run if raw is None else decode(raw, "utf-8") or run
+        if raw is None:
+            return "".join(decode(encode(p, wrong) or b"", "utf-8") or p for p in stretches(run, wrong))
+        return decode(raw, "utf-8") or run
 
     def token(self, token: str) -> str:
         """The token restored, or as it was. Nested layers are undone one after the other while the cost drops."""

@@ -159,5 +159,16 @@ def test_copies_hardly_add_to_the_letter_pairs(spark):
     assert b.sum() - a.sum() == 9 * (garbled.COPIES - 1) and ((a > 0) == (b > 0)).all()  # nine pairs
 
 
+@pytest.mark.parametrize(("lang", "true", "wrong"), [("zh", "utf-8", "latin_1"), ("ja", "utf-8", "cp1252"), ("zh", "gbk", "latin_1")])
+def test_correct_text_touching_a_garbled_passage(spark, lang, true, wrong):
+    passage = "花了三十元" if lang == "zh" else "三週間使い"
+    raw = passage.encode(true)
+    bad = garbled.decode(raw, "sloppy") if wrong == "cp1252" else raw.decode(wrong)
+    rows = [(i * 100 + j, t) for i, t in enumerate(TEXT.values()) for j in range(60)] + [(9000, passage + bad + passage), (9001, passage * 2)]
+    got = {r["id"]: r for r in garbled.repair(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    assert got[9000]["garbled"] and got[9000]["restored"] == passage * 3
+    assert not got[9001]["garbled"] and not any(got[k]["garbled"] for k, _ in rows if k < 9000)
+
+
 def test_empty_table(spark):
     assert garbled.repair(spark.createDataFrame([], "doc_id long, text string"), "doc_id").count() == 0
