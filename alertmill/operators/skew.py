@@ -2,61 +2,121 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import bind, materialize
 
 #: A key is hot when it holds at least this fraction of all rows; there are at most as many hot keys as its inverse.
 HOT_FRACTION = 1 / 1024
 
 
-def join_hot_aware(rows: DataFrame, groups: DataFrame, keys: list[str], count_col: str, total: int) -> DataFrame:
+def join_hot_aware(rows: DataFrame, groups: DataFrame, keys: list[str], count_col: str, total: int | None = None, null_safe: bool = False) -> DataFrame:
     """Inner join of rows with groups (unique on keys, count_col = rows of the key) without a hot reducer.
 
-    Groups with at least HOT_FRACTION of the total rows - by that definition no more than 1/HOT_FRACTION of them - are
-    broadcast; all others go through a shuffled join, in which no key then exceeds HOT_FRACTION of the rows.
-    Null keys never match, as in any equi-join.
+    Groups with at least HOT_FRACTION of the total rows (by default the sum of count_col) - by that definition no more than
+    1/HOT_FRACTION of them - are broadcast; all others go through a shuffled join, in which no key then exceeds
+    HOT_FRACTION of the rows. Null keys never match, as in any equi-join, unless null_safe. rows is read twice and groups
+    three times: pass scans or written tables.
+    """
+    share = groups.agg((F.sum(count_col) * HOT_FRACTION).alias("_t")) if total is None else groups.sparkSession.range(1).select(F.lit(total * HOT_FRACTION).alias("_t"))
+    marked = groups.crossJoin(F.broadcast(share))  # share: one row
+    is_hot = F.col(count_col) >= F.greatest(F.lit(1.0), F.col("_t"))
+    hot, cold = (F.broadcast(marked.filter(is_hot).drop("_t")), marked.filter(~is_hot).drop("_t"))
+
+    def join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+        if not null_safe:
+            return a.join(b, keys, how)
+        renamed = b.withColumnsRenamed({k: f"_{k}_2" for k in keys})
+        return a.join(renamed, reduce(lambda x, y: x & y, [a[k].eqNullSafe(renamed[f"_{k}_2"]) for k in keys]), how).drop(*[f"_{k}_2" for k in keys])
+
+    rest = join(join(rows, hot.select(*keys), "left_anti"), cold)
+    return join(rows, hot).unionByName(rest)
+
+
+def _runs(by: list[str], values: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers sorted batches: _part, _run (keys so far), _pos (1-based within the key), <value>_cum, _edge.
+
+    _edge marks the last row of the partition's first key and the last row of the partition. State of a task is one key,
+    its position and its sums, and one batch that is held back until its end is known.
+    """
+    part = TaskContext.get().partitionId()
+    run, pos, sums, last, held = -1, 0, [0] * len(values), None, None
+
+    def out(edge_at_end: bool) -> pa.RecordBatch:
+        batch, extra, edge = held
+        edge[-1] = edge_at_end
+        return pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x) for x in extra], pa.array(edge)], [*batch.schema.names, "_part", "_run", "_pos", *[f"{v}_cum" for v in values], "_edge"])
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        new = np.zeros(n, bool)
+        for c in by:
+            codes = pc.dictionary_encode(batch.column(c), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        first = [batch.column(c)[0].as_py() for c in by]
+        new[0] = last is None or any(a != b and (a == a or b == b) for a, b in zip(first, last))
+        if held is not None:
+            yield out(bool(new[0]) and run == 0)
+        last = [batch.column(c)[n - 1].as_py() for c in by]
+        begin = np.maximum.accumulate(np.where(new, np.arange(n), -1))  # -1: the key of the batch before goes on
+        at = np.arange(n) - np.maximum(begin, 0) + 1 + np.where(begin < 0, pos, 0)
+        runs = run + np.cumsum(new)
+        cums = []
+        for k, v in enumerate(values):
+            x = pc.fill_null(batch.column(v), 0).to_numpy(zero_copy_only=False)
+            c = np.cumsum(x)
+            c = np.where(begin < 0, c + sums[k], c - np.concatenate([[x.dtype.type(0)], c])[np.maximum(begin, 0)])
+            cums.append(c.astype(x.dtype))
+            sums[k] = c[-1]
+        edge = np.zeros(n, bool)
+        edge[:-1] = new[1:] & (runs[:-1] == 0)
+        run, pos = int(runs[-1]), int(at[-1])
+        held = batch, [np.full(n, part, np.int32), runs.astype(np.int64), at.astype(np.int64), *cums], edge
+    if held is not None:
+        yield out(True)
+
+
+def _numbered(df: DataFrame, by: list[str], order: list[str], values: list[str], what: str) -> DataFrame:
+    """df with _pos (1-based position within by) and <value>_cum (inclusive running sums), for keys of any size.
+
+    One shuffle: rows are range-partitioned by (by, order), numbered inside their partition while they are written, and
+    only keys that go on from the partition before get an offset: at most one a partition, so the offsets, and the edges
+    that they are summed from, are two rows a partition at most, which bounds the broadcast.
     """
-    floor = max(1.0, total * HOT_FRACTION)
-    hot = F.broadcast(groups.filter(F.col(count_col) >= floor))
-    cold = groups.filter(F.col(count_col) < floor)
-    rest = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys)
-    return rows.join(hot, keys).unionByName(rest)
+    extra = [T.StructField("_part", T.IntegerType()), T.StructField("_run", T.LongType()), T.StructField("_pos", T.LongType())]
+    extra += [T.StructField(f"{v}_cum", df.schema[v].dataType) for v in values] + [T.StructField("_edge", T.BooleanType())]
+    placed = df.repartitionByRange(*[F.col(c) for c in (*by, *order)]).sortWithinPartitions(*by, *order)
+    # written once, so that partition numbers and positions stay fixed whatever is recomputed later
+    placed = materialize(placed.mapInArrow(bind(_runs, by, values), T.StructType([*df.schema.fields, *extra])), what)
+    sums = {"_pos": "_o__pos"} | {f"{v}_cum": f"_o_{v}" for v in values}
+    before = Window.partitionBy(*by).orderBy("_part", "_run").rowsBetween(Window.unboundedPreceding, -1)
+    edges = placed.filter("_edge").select("_part", "_run", *[F.sum(c).over(before).alias(o) for c, o in sums.items()])
+    offsets = edges.filter("_run = 0 and _o__pos is not null").select(F.col("_part").alias("_p2"), *sums.values())
+    out = placed.join(F.broadcast(offsets), (F.col("_part") == F.col("_p2")) & (F.col("_run") == 0), "left")
+    return out.withColumns({c: F.col(c) + F.coalesce(o, F.lit(0)) for c, o in sums.items()}).drop("_part", "_run", "_edge", "_p2", *sums.values())
 
 
 def keyed_chunks(df: DataFrame, key: str, order: list[str], chunk_rows: int = 10_000) -> DataFrame:
     """Number the rows of each key in the given order and cut every key into chunks of equal size.
 
-    Exact offset chunking: rows are range-partitioned by (key, order), so a key of any size spreads over as many input
-    partitions as it fills; per partition and key only a count is aggregated; the prefix sum of those counts is the
-    offset at which each partition's rows of the key begin. Adds ``_n`` (1-based position within the key) and ``_chunk``.
-    Null keys form a key of their own. order must make rows of a key distinct for a reproducible numbering.
+    Exact offset chunking: rows are range-partitioned by (key, order), so a key of any size spreads over as many
+    partitions as it fills; counts of a key per partition, prefix-summed, are the offsets at which each partition's rows
+    of the key begin. Adds ``_n`` (1-based position within the key) and ``_chunk``. Null keys form a key of their own.
+    order must make rows of a key distinct for a reproducible numbering.
     """
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    placed = (
-        df.repartitionByRange(parts, key, *order)
-        .sortWithinPartitions(key, *order)
-        .withColumn("_at", F.monotonically_increasing_id())
-    )
-    # written once, so that partition numbers and positions stay fixed whatever is recomputed later
-    placed = materialize(
-        placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_pos", F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at"),
-        "chunks",
-    )
-    counts = placed.groupBy("_part", key).agg(F.count(F.lit(1)).alias("_c"), F.min("_pos").alias("_start"))
-    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).select(
-        "_part", F.col(key).alias("_k"), "_start", "_off"
-    )
-    # the join key holds the partition: no group in it is larger than one input partition
-    numbered = placed.join(offsets, (placed["_part"] == offsets["_part"]) & placed[key].eqNullSafe(offsets["_k"])).drop(offsets["_part"])
-    n = F.col("_off") + F.col("_pos") - F.col("_start") + 1
-    return (
-        numbered.withColumn("_n", n)
-        .withColumn("_chunk", F.floor((F.col("_n") - 1) / chunk_rows))
-        .drop("_k", "_start", "_off", "_part", "_pos")
-    )
+    rows = _numbered(df, [key], order, [], "chunks").withColumnRenamed("_pos", "_n")
+    return rows.withColumn("_chunk", F.floor((F.col("_n") - 1) / chunk_rows))
 
 
 def per_key_profile(
@@ -100,7 +160,8 @@ def per_key_profile(
 def heavy_keys(df: DataFrame, key: str, row_id: str, permille: int, chunk_rows: int = 10_000) -> DataFrame:
     """Non-null keys that hold at least permille thousandths of all rows (null keys count in the total).
 
-    Counts come from the chunk numbering: a key's row count is the sum of its chunks' sizes.
+    Each chunk of the numbering is counted on its own, and the chunks' counts are merged: no task sees more than a chunk
+    of a key at once.
     """
     rows = keyed_chunks(df.select(F.col(key).alias("_key"), F.col(row_id).alias("_id")), "_key", ["_id"], chunk_rows)
     chunk = rows.groupBy("_key", "_chunk").agg(F.count(F.lit(1)).alias("c"))
@@ -114,27 +175,12 @@ def heavy_keys(df: DataFrame, key: str, row_id: str, permille: int, chunk_rows:
 
 
 def prefix_sums(df: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
-    """Running totals ``<value>_cum`` of the values in order within by, inclusive. order is unique within by.
+    """Running totals ``<value>_cum`` of the values (long or double) in order within by, inclusive. order is unique within by.
 
-    Range partitions hold contiguous stretches, whose totals are summed up first; a group that fills many partitions is
-    therefore never gathered in one task, as it would be in a plain window. Null values of by are a group.
+    A group that fills many partitions is never gathered in one task, as it would be in a plain window. Null values of by
+    are a group; null values count as 0.
     """
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    placed = materialize(df.repartitionByRange(parts, *by, order).withColumn("_part", F.spark_partition_id()), "prefix")
-    totals = placed.groupBy("_part", *by).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        F.col("_part").alias("_p2"), *[F.col(b).alias(f"_b_{b}") for b in by],
-        *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values],
-    )
-    match = F.col("_part") == F.col("_p2")
-    for b in by:
-        match = match & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
-    inside = Window.partitionBy("_part", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.join(offsets, match)
-    for v in values:
-        out = out.withColumn(f"{v}_cum", F.col(f"_o_{v}") + F.sum(v).over(inside))
-    return out.drop("_part", "_p2", *[f"_b_{b}" for b in by], *[f"_o_{v}" for v in values])
+    return _numbered(df, by, [order], values, "prefix").drop("_pos")
 
 
 def rank_within(df: DataFrame, by: str | None, order: list[str], name: str = "rank") -> DataFrame:

@@ -41,14 +41,24 @@ def published_side(df: DataFrame) -> DataFrame:
     )
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff_tables(
         alert_side(table(spark, sf_dir, "secalertbench")), published_side(table(spark, sf_dir, "published")),
         "uid", [*CONTENT_FIELDS, "label"], ("secalertbench", "published"), newest_left=["ingested_at", "row_index"],
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_rule_profile": p3_rule_profile, "p5_found": p5_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ("only_secalertbench", "only_published", "differs")
+    return _differences(spark, sf_dir).filter(F.col("kind").isin(*kinds)).select("uid", "kind", "field_name")
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind and field: keys concerned and their rows, with versions of a key that disagree and rows without a key."""
+    return _differences(spark, sf_dir).groupBy("kind", "field_name").agg(F.count("uid").alias("n_keys"), F.sum("n_rows").alias("n_rows"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_rule_profile": p3_rule_profile, "p5_found": p5_found, "p5_report": p5_report}
 
 PLAIN_SQL = r"regexp_replace(lower(CAST({} AS VARCHAR)), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 UID_SQL = r"regexp_replace(regexp_replace(lower({}), '^[\s\p{{Z}}]+', ''), '[\s\p{{Z}}]+$', '')"
@@ -85,4 +95,20 @@ SQL = {
         """ + "".join(
         f" UNION ALL SELECT ua, 'differs', '{f}' FROM m WHERE ua IS NOT NULL AND ub IS NOT NULL AND d_{f}" for f in (*CONTENT_FIELDS, "label")
     ),
+    "p5_report": f"""
+        WITH a AS (
+          SELECT {UID_SQL.format('uid')} AS uid, {_plain_columns('{}')}, {PLAIN_SQL.format('label')} AS label,
+            row_number() OVER (PARTITION BY {UID_SQL.format('uid')} ORDER BY ingested_at DESC, row_index DESC) AS k, count(*) OVER (PARTITION BY {UID_SQL.format('uid')}) AS n FROM secalertbench),
+        b AS (SELECT {UID_SQL.format('uid')} AS uid, {_plain_columns("json_extract_string(record, '$.{}')")}, {PLAIN_SQL.format('true_label')} AS label FROM published),
+        l AS (SELECT * FROM a WHERE uid IS NOT NULL AND k = 1), r AS (SELECT uid, count(*) AS n FROM b WHERE uid IS NOT NULL GROUP BY uid),
+        v AS (SELECT DISTINCT uid, x.f, x.v FROM (SELECT uid, unnest([{", ".join(f"{{'f': '{f}', 'v': {f}}}" for f in (*CONTENT_FIELDS, "label"))}]) AS x FROM b WHERE uid IS NOT NULL)),
+        u AS (SELECT uid, f, v FROM v WHERE uid IN (SELECT uid FROM l) UNION SELECT uid, x.f, x.v FROM (SELECT uid, unnest([{", ".join(f"{{'f': '{f}', 'v': {f}}}" for f in (*CONTENT_FIELDS, "label"))}]) AS x FROM l WHERE uid IN (SELECT uid FROM r))),
+        c AS (
+          SELECT 'only_secalertbench' AS kind, 'row' AS field_name, uid, n FROM l WHERE uid NOT IN (SELECT uid FROM r)
+          UNION ALL SELECT 'only_published', 'row', uid, n FROM r WHERE uid NOT IN (SELECT uid FROM l)
+          UNION ALL SELECT 'differs', d.f, d.uid, l.n + r.n FROM (SELECT uid, f FROM u GROUP BY uid, f HAVING count(*) > 1) d JOIN l USING (uid) JOIN r USING (uid)
+          UNION ALL SELECT 'versions_published', d.f, d.uid, r.n FROM (SELECT uid, f FROM v GROUP BY uid, f HAVING count(*) > 1) d JOIN r USING (uid)
+          UNION ALL SELECT 'no_key_secalertbench', 'row', NULL, count(*) FROM a WHERE uid IS NULL HAVING count(*) > 0
+          UNION ALL SELECT 'no_key_published', 'row', NULL, count(*) FROM b WHERE uid IS NULL HAVING count(*) > 0)
+        SELECT kind, field_name, count(uid) AS n_keys, sum(n)::BIGINT AS n_rows FROM c GROUP BY kind, field_name""",
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,23 +41,46 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
+_TABLES: list[str] = []
+
+
 def materialize(df: DataFrame, what: str = "step") -> DataFrame:
     """Cut the lineage: write df as parquet into the shared folder and read it back.
 
-    A written table survives lost executors, is column-pruned by later readers and gives AQE real sizes. It is removed
-    when the driver ends.
+    A written table survives lost executors, is column-pruned by later readers and gives AQE real sizes. All tables of an
+    application lie in one folder named by its id, so those of a killed driver can be told and deleted. They are removed
+    by drop_tables or when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/alertmill-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _TABLES:
+        atexit.register(drop_tables, spark)
+    path = f"{scratch_dir(spark)}/alertmill-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    _TABLES.append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, since: int = 0) -> None:
+    """Remove the tables written so far (from the since-th on): to be called once a query's result has been used."""
+    while len(_TABLES) > since:
+        _remove(spark, _TABLES.pop())
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end, so a session that runs many queries keeps no more than one's."""
+    at = len(_TABLES)
+    try:
+        yield
+    finally:
+        drop_tables(spark, at)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, if its input has fewer partitions than there are cores; otherwise as it is.
 
     For costly work per row behind a small or unsplittable file. Large inputs have partitions enough and are not moved.
+    Meant for scans and projections of them, whose partitions are known from the plan alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
