@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,10 +13,8 @@ from pyspark.sql import types as T
 from ..session import materialize
 
 DIGIT, DIGITS = 16, 4
-#: A level's list of followed bins is broadcast up to this many rows (24 bytes each), else joined by shuffle.
+#: A level's list of followed bins is broadcast up to this many rows (24 bytes each, counted first), else joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: A followed bin of at most so many rows is finished by sorting them (8 bytes each, in one list).
-LIST_ROWS = 4096
 _FLIP = np.int64(0x7FFF_FFFF_FFFF_FFFF)
 
 
@@ -43,58 +43,74 @@ def exact_percentiles(df: DataFrame, groups: list[str], value: str, permilles: l
     return select_ranks(df.select(*groups, ordered(F.col(value)).alias("_k")).filter("_k is not null"), groups, "_k", permilles, digits)
 
 
-def select_ranks(df: DataFrame, groups: list[str], bits_col: str, permilles: list[int], digits: int = DIGITS) -> DataFrame:
-    """(groups, permille, n, value, lo, hi): the value of rank max(1, ceil(n * permille / 1000)) in each group.
+def _ids(kind: str, groups: list[str]) -> list[Column]:
+    """A group's 16-byte id."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit("null")) for g in groups]
+    return [F.xxhash64(F.lit(seed), F.lit(kind), *parts).alias(f"_g{seed + 1}") for seed in (0, 1)]
+
+
+def select_ranks(
+    df: DataFrame, groups: list[str], bits_col: str, permilles: list[int], digits: int = DIGITS, scopes: dict[str, list[str]] | None = None
+) -> DataFrame:
+    """(scope, groups, permille, n, value, lo, hi): the value of rank max(1, ceil(n * permille / 1000)) in each group.
 
     Radix selection: every level histograms 16 more bits of the ordered integer form, but only of rows whose bits so far
-    hold some target rank, and then follows the digit in which the rank falls. A followed bin of at most LIST_ROWS rows is
-    finished at once by sorting its values; larger ones go on to the next digit. All four digits give the exact value
-    (lo = hi = value). With fewer, lo and hi are the ends of the followed bin and value is its low end; two digits (20
-    bits of mantissa) bound the relative error by 2**-20. A group without a number has no row; null group values are a
-    group. Each level is one map-side-combined count, so a hot or constant group costs no more than its distinct digits.
-    Groups travel as 16-byte ids.
+    hold some target rank, and then follows the digit in which the rank falls. Each bin has its count, least and greatest
+    value; a rank that falls on the first or last row of its bin, or in a bin of one distinct value, is answered there.
+    Rows are counted once a level, by all the groups; histograms add, so each of the ``scopes`` (name -> some of the
+    groups, the others come out null) is rolled up from them, as histograms of days or partitions are. All four digits
+    give the exact value (lo = hi = value). With fewer, lo and hi are the ends of what the followed bin holds and value is
+    lo; two digits (20 bits of mantissa) bound the relative error by 2**-20. A group without a number has no row; null
+    group values are a group. Counts combine before the shuffle: a hot or constant group costs its distinct digits only.
+    Without scopes there is one, of all groups, and no column scope.
     """
-    ids = [F.xxhash64(F.lit(seed), *[F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit("null")) for g in groups]) for seed in (0, 1)]
-    keyed = materialize(df.select(*groups, ids[0].alias("_g1"), ids[1].alias("_g2"), F.col(bits_col).alias("_k")), "radix")
-    g = ["_g1", "_g2"]
-    rows = keyed.select(*g, "_k")
-    names = keyed.select(*g, *groups).distinct()
-    bits = lambda d: F.shiftright("_k", 64 - DIGIT * d)
-    targets, done = None, []
+    of = scopes or {"all": groups}
+    rows = df.select(*groups, F.col(bits_col).alias("_k"))
+    ids = ["_g1", "_g2"]
+    each = F.explode(F.array(*[F.struct(*_ids(s, gs)) for s, gs in of.items()])).alias("_i")
+    prefix = lambda d: F.shiftright("_k", 64 - DIGIT * d)
+    targets, done, names = None, [], None
     for d in range(1, digits + 1):
-        if d == 1:
-            hist = rows.groupBy(*g, bits(1).alias("_p")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_q", F.lit(0).cast("long"))
-            hist = materialize(hist, "digit0")
-            ns = hist.groupBy(*g).agg(F.sum("_c").alias("n"))
-            asked = ns.withColumn("permille", F.explode(F.array(*[F.lit(int(p)) for p in permilles])))
-            rank = F.greatest(F.lit(1), F.floor((F.col("n") * F.col("permille") + 999) / 1000))
-            targets = asked.select(*g, "permille", "n", rank.cast("long").alias("_r"), F.lit(0).cast("long").alias("_q"))
-        else:
-            kept = _followed(rows.withColumn("_q", bits(d - 1)), targets, [*g, "_q"])
-            hist = kept.groupBy(*g, "_q", bits(d).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+        fine = rows.groupBy(*groups, prefix(d).alias("_p")).agg(F.count(F.lit(1)).alias("_c"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
+        fine = materialize(fine, f"digit{d}")
+        rolled = fine.select("_p", "_c", "_lo", "_hi", each).select("_i.*", "_p", "_c", "_lo", "_hi").groupBy(*ids, "_p").agg(
+            F.sum("_c").alias("_c"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")
+        )
         # at most 65,536 bins in any window
-        w = Window.partitionBy(*g, "_q").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-        cum = hist.withColumn("_cum", F.sum("_c").over(w))
-        hit = targets.drop("_c").join(cum, [*g, "_q"]).filter((F.col("_cum") >= F.col("_r")) & (F.col("_cum") - F.col("_c") < F.col("_r")))
-        # _c: rows in the followed bin
-        targets = materialize(hit.select(*g, "permille", "n", (F.col("_r") - F.col("_cum") + F.col("_c")).alias("_r"), F.col("_p").alias("_q"), "_c"), f"digit{d}")
-        if digits == DIGITS and d < digits:
-            small = targets.filter(F.col("_c") <= LIST_ROWS)
-            lists = _followed(rows.withColumn("_q", bits(d)), small, [*g, "_q"]).groupBy(*g, "_q").agg(F.sort_array(F.collect_list("_k")).alias("_v"))
-            done.append(small.join(lists, [*g, "_q"]).select(*g, "permille", "n", F.element_at("_v", F.col("_r").cast("int")).alias("_q")))
-            targets = targets.filter(F.col("_c") > LIST_ROWS)
-    out = targets.select(*g, "permille", "n", F.shiftleft("_q", 64 - DIGIT * digits).alias("_q"))
-    for x in done:
-        out = out.unionByName(x)
-    lo = from_ordered_bits("_q")
-    hi = from_ordered_bits(F.col("_q") + F.lit((1 << (64 - DIGIT * digits)) - 1))
-    return out.join(names, g).select(*groups, "permille", "n", lo.alias("value"), lo.alias("lo"), hi.alias("hi"))
-
-
-def _followed(rows: DataFrame, targets: DataFrame, key: list[str]) -> DataFrame:
-    """Rows in followed bins. The list of bins is broadcast up to BROADCAST_ROWS, beyond that the semi-join is shuffled."""
-    bins = targets.select(*key).distinct()
-    return rows.join(F.broadcast(bins) if bins.count() <= BROADCAST_ROWS else bins, key, "left_semi")
+        bins = Window.partitionBy(*ids, "_q").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+        cum = rolled.withColumn("_q", F.shiftright("_p", DIGIT)).withColumn("_cum", F.sum("_c").over(bins))
+        if targets is None:
+            masked = lambda s, gs: F.struct(F.lit(s).alias("scope"), *[(F.col(g) if g in gs else F.lit(None).cast(dict(df.dtypes)[g])).alias(g) for g in groups], *_ids(s, gs))
+            names = fine.select(F.explode(F.array(*[masked(s, gs) for s, gs in of.items()])).alias("_x")).select("_x.*").distinct()
+            # the first digit has both signs, so one group is two windows: of negative and of other values
+            whole = rolled.groupBy(*ids).agg(F.sum("_c").alias("n"), F.coalesce(F.sum(F.when(F.col("_p") < 0, F.col("_c"))), F.lit(0)).alias("_neg"))
+            asked = whole.withColumn("permille", F.explode(F.array(*[F.lit(int(p)) for p in permilles])))
+            r = F.greatest(F.lit(1), F.floor((F.col("n") * F.col("permille") + 999) / 1000)).cast("long")
+            asked = asked.withColumn("_r", r).withColumn("_q", F.when(F.col("_r") <= F.col("_neg"), F.lit(-1)).otherwise(F.lit(0)).cast("long"))
+            targets = asked.select(*ids, "permille", "n", F.when(F.col("_q") < 0, F.col("_r")).otherwise(F.col("_r") - F.col("_neg")).alias("_r"), "_q")
+        hit = targets.join(cum, [*ids, "_q"]).filter((F.col("_cum") >= F.col("_r")) & (F.col("_cum") - F.col("_c") < F.col("_r")))
+        at = hit.withColumn("_r", F.col("_r") - F.col("_cum") + F.col("_c"))
+        first, last = (F.col("_lo") == F.col("_hi")) | (F.col("_r") == 1), F.col("_r") == F.col("_c")
+        got = at.select(*ids, "permille", "n", "_r", F.col("_p").alias("_q"), "_lo", "_hi", F.when(first, F.col("_lo")).when(last, F.col("_hi")).alias("_v"))
+        got = materialize(got, f"hits{d}")
+        done.append(got.filter("_v is not null").select(*ids, "permille", "n", F.col("_v").alias("_lo"), F.col("_v").alias("_hi")))
+        targets = got.filter("_v is null").select(*ids, "permille", "n", "_r", "_q", "_lo", "_hi")
+        if d == digits:
+            done.append(targets.select(*ids, "permille", "n", "_lo", "_hi"))
+            break
+        # the bins of the finest groups that some scope follows
+        open_bins = targets.select(*ids, F.col("_q").alias("_p")).distinct()
+        follow = fine.select(*groups, "_p", each).select(*groups, "_p", "_i.*").join(open_bins, [*ids, "_p"], "left_semi")
+        follow = materialize(follow.select(*_ids("fine", groups), "_p").distinct(), f"follow{d}")
+        n_bins = follow.count()
+        if not n_bins:
+            break
+        keyed = rows.select(*groups, "_k", *_ids("fine", groups), prefix(d).alias("_p"))
+        rows = materialize(keyed.join(F.broadcast(follow) if n_bins <= BROADCAST_ROWS else follow, [*ids, "_p"], "left_semi").select(*groups, "_k"), f"rows{d}")
+        targets = targets.drop("_lo", "_hi")
+    lo, hi = from_ordered_bits("_lo"), from_ordered_bits("_hi")
+    out = reduce(DataFrame.unionByName, done).join(names, ids)
+    return out.select(*(["scope"] if scopes else []), *groups, "permille", "n", lo.alias("value"), lo.alias("lo"), hi.alias("hi"))
 
 
 def histogram(df: DataFrame, groups: list[str], value: str, mantissa_bits: int = 8) -> DataFrame:

@@ -55,25 +55,21 @@ def call_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("rule_name", "day", *[quantiles.ordered(F.col(m)).alias(m) for m in ("seconds", "prompt_tokens")])
 
 
+def long_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = [F.struct(F.lit(m).alias("measure"), F.col(m).alias("k")) for m in ("seconds", "prompt_tokens")]
+    return call_measures(spark, sf_dir).select("rule_name", "day", F.explode(F.array(*one)).alias("v")).select("rule_name", "day", "v.*").filter("k is not null")
+
+
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per rule, per day, and per rule and day (scope): the columns that a scope does not group by are null."""
-    wide = call_measures(spark, sf_dir)
-    none = F.lit(None).cast("string")
-    scopes = (("rule", F.col("rule_name"), none), ("day", none, F.col("day")), ("rule_day", F.col("rule_name"), F.col("day")))
-    one = [
-        F.struct(F.lit(s).alias("scope"), r.alias("rule_name"), d.alias("day"), F.lit(m).alias("measure"), F.col(m).alias("k"))
-        for s, r, d in scopes for m in ("seconds", "prompt_tokens")
-    ]
-    long = wide.select(F.explode(F.array(*one)).alias("v")).select("v.*").filter("k is not null")
-    got = quantiles.select_ranks(long, ["scope", "rule_name", "day", "measure"], "k", PERMILLES)
+    scopes = {"rule": ["rule_name", "measure"], "day": ["day", "measure"], "rule_day": ["rule_name", "day", "measure"]}
+    got = quantiles.select_ranks(long_measures(spark, sf_dir), ["rule_name", "day", "measure"], "k", PERMILLES, scopes=scopes)
     return got.select("scope", "rule_name", "day", "measure", "permille", F.col("n").alias("n_values"), "value")
 
 
 def p2_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per rule from histograms of its days, merged: each exact percentile lies in [lo, hi], which differ by 2**-8 at most."""
-    one = [F.struct(F.lit(m).alias("measure"), F.col(m).alias("k")) for m in ("seconds", "prompt_tokens")]
-    long = call_measures(spark, sf_dir).select("rule_name", "day", F.explode(F.array(*one)).alias("v")).select("rule_name", "day", "v.*").filter("k is not null")
-    daily = materialize(quantiles.bit_histogram(long, ["rule_name", "day", "measure"], "k"), "daily")
+    daily = materialize(quantiles.bit_histogram(long_measures(spark, sf_dir), ["rule_name", "day", "measure"], "k"), "daily")
     merged = quantiles.merge_histograms(daily, ["rule_name", "measure"])
     return quantiles.histogram_percentiles(merged, ["rule_name", "measure"], PERMILLES)
 
@@ -276,6 +272,14 @@ SQL = {
           FROM v WHERE x IS NOT NULL AND NOT isnan(x))
         SELECT scope, rule_name, day, measure, p.permille::INTEGER AS permille, n AS n_values, x AS value
         FROM r JOIN (SELECT unnest({PERMILLES}) AS permille) p ON rn = greatest(1, (n * p.permille + 999) // 1000)""",
+    "p2_merged": f"""
+        WITH t AS (SELECT rule_name, 'seconds' AS measure, seconds AS x FROM throughput_qwen3_4b UNION ALL SELECT rule_name, 'prompt_tokens', CAST(prompt_tokens AS DOUBLE) FROM throughput_qwen3_4b),
+        r AS (SELECT *, row_number() OVER (PARTITION BY rule_name, measure ORDER BY x) AS rn, count(*) OVER (PARTITION BY rule_name, measure) AS n FROM t WHERE x IS NOT NULL AND NOT isnan(x)),
+        h AS (SELECT rule_name, measure, p.permille::INTEGER AS permille, n, x, CASE WHEN x > 0 THEN floor(log2(x)) ELSE 0 END AS g
+          FROM r JOIN (SELECT unnest({PERMILLES}) AS permille) p ON rn = greatest(1, (n * p.permille + 999) // 1000)),
+        e AS (SELECT *, CASE WHEN pow(2.0, g) > x THEN g - 1 WHEN pow(2.0, g + 1) <= x THEN g + 1 ELSE g END AS e FROM h)
+        SELECT rule_name, measure, permille, n, CASE WHEN x = 0 THEN 0.0 ELSE floor(x / pow(2.0, e - 8)) * pow(2.0, e - 8) END AS lo,
+          CASE WHEN x = 0 THEN {((1 << 44) - 1) * 2.0**-1074!r} ELSE (floor(x / pow(2.0, e - 8)) + 1) * pow(2.0, e - 8) - pow(2.0, e - 52) END AS hi FROM e""",
     "p4_found": _P4 + f"""
         SELECT s.sample_id, i.rule_id FROM shared_sample s JOIN ids i ON i.name = {PLAIN_SQL.format('s.rule_name')} WHERE i.n_ids >= 2""",
     "p6_found": f"""

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from alertmill.llm import copies, quantiles
 
@@ -28,8 +29,6 @@ def test_copies_match_brute_force(spark, rows, n, monkeypatch):
 
 
 def test_equal_fingerprints_of_other_values_are_kept_apart(spark, rows, monkeypatch):
-    from pyspark.sql import functions as F
-
     monkeypatch.setattr(copies, "fingerprint", lambda fields: [F.lit(1).cast("long").alias("_hi"), F.lit(1).cast("long").alias("_lo")])
     data = [(1, "a"), (2, "b"), (3, "a"), (4, "b"), (5, None), (6, None), (7, "c")]
     df = spark.createDataFrame(data, "id long, f string")
@@ -41,9 +40,9 @@ def rank_value(v, p):
     return v[max(1, math.ceil(len(v) * p / 1000)) - 1]
 
 
-@pytest.mark.parametrize("list_rows", [1, 4096])
-def test_percentiles_are_exact(spark, list_rows, monkeypatch):
-    monkeypatch.setattr(quantiles, "LIST_ROWS", list_rows)
+@pytest.mark.parametrize("broadcast_rows", [0, 500_000])
+def test_percentiles_are_exact(spark, broadcast_rows, monkeypatch):
+    monkeypatch.setattr(quantiles, "BROADCAST_ROWS", broadcast_rows)
     r = random.Random(1)
     draw = {"long": lambda: r.lognormvariate(0, 3) * r.choice([1, -1]), "same": lambda: 4.25, "odd": lambda: r.choice([0.0, -0.0, float("inf"), float("-inf"), float("nan"), None, 5e-324, 1e308, -3.0])}
     data = [(k, 1, f()) for k, f in draw.items() for _ in range(400)] + [(None, 1, 2.0), ("none", 1, None), ("nan", 1, float("nan")), ("one", 1, 7.5)]
@@ -59,6 +58,20 @@ def test_percentiles_are_exact(spark, list_rows, monkeypatch):
         assert r_["value"] == r_["lo"] == r_["hi"] == rank_value(by[r_["g"]], r_["permille"])
 
 
+def test_scopes_are_rolled_up_from_the_finest_groups(spark):
+    """Values that share three digits, so all levels are walked, in groups that follow different bins."""
+    r = random.Random(5)
+    data = [(r.choice(["a", "b", None]), r.choice(["x", "y", "z"]), 1.0 + r.randrange(300) * 2**-50 if r.random() < 0.7 else r.choice([-1, 1]) * r.random()) for _ in range(3000)]
+    df = spark.createDataFrame(data, "g string, day string, x double").select("g", "day", quantiles.ordered(F.col("x")).alias("k"))
+    scopes = {"g": ["g"], "day": ["day"], "both": ["g", "day"]}
+    got = {(x["scope"], x["g"], x["day"], x["permille"]): x["value"] for x in quantiles.select_ranks(df, ["g", "day"], "k", [1, 250, 500, 750, 999], scopes=scopes).collect()}
+    by = defaultdict(list)
+    for g, day, x in data:
+        for key in (("g", g, None), ("day", None, day), ("both", g, day)):
+            by[key].append(x)
+    assert got == {(*k, p): rank_value(v, p) for k, v in by.items() for p in (1, 250, 500, 750, 999)}
+
+
 def test_few_digits_bound_the_error(spark):
     v = np.random.default_rng(3).lognormal(0, 2, 2000)
     df = spark.createDataFrame([(1, float(x)) for x in v], "g int, x double")
