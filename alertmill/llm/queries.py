@@ -141,33 +141,31 @@ def published_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def published_overlap(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of the records of published, by similarity hashes."""
     members, codes, words = overlap.word_classes(published_sides(spark, sf_dir))
     return members, overlap.similar_classes(codes, words)
 
 
-def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = overlap.cross_split_pairs(*published_overlap(spark, sf_dir))
+def dryrun_overlap(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of dryrun_sample: the same uid is the same record, so an exact join does; no other links."""
     uids = table(spark, sf_dir, "dryrun_sample").select(F.col("sample_id").alias("id"), _side(F.col("split")).alias("side"), uid_form(F.col("uid")).alias("key"))
     members = materialize(overlap.equal_key_classes(uids.filter("side is not null")), "uids")
-    none = members.select(F.col("cls").alias("train_cls"), F.col("cls").alias("eval_cls")).limit(0)
-    same = overlap.cross_split_pairs(members, none)
-    return near.select(F.lit("published").alias("src"), "*").unionByName(same.select(F.lit("dryrun_sample").alias("src"), "*"))
+    return members, members.select(F.col("cls").alias("train_cls"), F.col("cls").alias("eval_cls")).limit(0)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p6_pairs(spark, sf_dir).select("src", "id_a", "id_b")
+    both = [("published", published_overlap), ("dryrun_sample", dryrun_overlap)]
+    return reduce(DataFrame.unionByName, [overlap.cross_split_pairs(*f(spark, sf_dir)).select(F.lit(n).alias("src"), "id_a", "id_b") for n, f in both])
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per table, evaluation split and source (the model; none in dryrun_sample): rows that also stand in train, and pairs."""
-    pairs = p6_pairs(spark, sf_dir)
-    both = pairs.select("src", F.explode(F.array("id_a", "id_b")).alias("id"))
-    rows = lambda name, i, source: table(spark, sf_dir, name).filter(_side(F.col("split")) == "eval").select(
-        F.lit(name).alias("src"), F.col(i).alias("id"), plain_form(F.col("split")).alias("split"), source.alias("source")
-    )
-    evals = rows("published", "pred_id", F.col("model")).unionByName(rows("dryrun_sample", "sample_id", F.lit("dryrun_sample")))
-    per_row = both.groupBy("src", "id").agg(F.count(F.lit(1)).alias("pairs"))
-    return per_row.join(evals, ["src", "id"]).groupBy("src", "split", "source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("pairs").alias("n_pairs"))
+    parts = []
+    for name, i, source, f in (("published", "pred_id", F.col("model"), published_overlap), ("dryrun_sample", "sample_id", F.lit("dryrun_sample"), dryrun_overlap)):
+        rows = table(spark, sf_dir, name).filter(_side(F.col("split")) == "eval").select(F.col(i).alias("id"), plain_form(F.col("split")).alias("split"), source.alias("source"))
+        per = overlap.overlap_counts(*f(spark, sf_dir)).join(rows, "id").groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_train").alias("n_pairs"))
+        parts.append(per.select(F.lit(name).alias("src"), "*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # -- 7: samples by target proportions ---------------------------------------------------------------------------------
@@ -255,6 +253,16 @@ _P7 = f"""
     n AS (SELECT s, l, count(*) AS a FROM f GROUP BY s, l),
     t AS (SELECT t.*, coalesce(n.a, 0) AS a, (SELECT count(DISTINCT uid) FROM f) AS frame FROM sample_target t
       LEFT JOIN n ON n.s = {PLAIN_SQL.format('t.stratum')} AND n.l = {PLAIN_SQL.format('t.label')})"""
+_P6 = f"""
+        WITH r AS (SELECT pred_id AS id, CASE WHEN lower(trim(split)) = 'train' THEN 't' ELSE 'e' END AS side,
+            unnest(list_distinct(regexp_extract_all(lower(concat_ws(' ', {", ".join(f"json_extract_string(record, '$.{f}')" for f in CONTENT_FIELDS)})), '[\\p{{L}}\\p{{N}}]+'))) AS w
+          FROM published WHERE lower(trim(split)) IN ('train', 'validation', 'test')),
+        n AS (SELECT id, count(*) AS n FROM r GROUP BY id),
+        c AS (SELECT a.id AS t, b.id AS e, count(*) AS common FROM r a JOIN r b ON a.w = b.w AND a.side = 't' AND b.side = 'e' GROUP BY a.id, b.id)
+        SELECT 'published' AS src, least(t, e) AS id_a, greatest(t, e) AS id_b FROM c JOIN n x ON x.id = t JOIN n y ON y.id = e
+        WHERE common * 4 >= 3 * (x.n + y.n - common)
+        UNION ALL SELECT 'dryrun_sample', least(a.sample_id, b.sample_id), greatest(a.sample_id, b.sample_id) FROM dryrun_sample a
+        JOIN dryrun_sample b ON {UID_SQL.format('a.uid')} = {UID_SQL.format('b.uid')} AND lower(trim(a.split)) = 'train' AND lower(trim(b.split)) IN ('validation', 'test')"""
 
 SQL = {
     "p1_found": f"""
@@ -282,16 +290,12 @@ SQL = {
           CASE WHEN x = 0 THEN {((1 << 44) - 1) * 2.0**-1074!r} ELSE (floor(x / pow(2.0, e - 8)) + 1) * pow(2.0, e - 8) - pow(2.0, e - 52) END AS hi FROM e""",
     "p4_found": _P4 + f"""
         SELECT s.sample_id, i.rule_id FROM shared_sample s JOIN ids i ON i.name = {PLAIN_SQL.format('s.rule_name')} WHERE i.n_ids >= 2""",
-    "p6_found": f"""
-        WITH r AS (SELECT pred_id AS id, CASE WHEN lower(trim(split)) = 'train' THEN 't' ELSE 'e' END AS side,
-            unnest(list_distinct(regexp_extract_all(lower(concat_ws(' ', {", ".join(f"json_extract_string(record, '$.{f}')" for f in CONTENT_FIELDS)})), '[\\p{{L}}\\p{{N}}]+'))) AS w
-          FROM published WHERE lower(trim(split)) IN ('train', 'validation', 'test')),
-        n AS (SELECT id, count(*) AS n FROM r GROUP BY id),
-        c AS (SELECT a.id AS t, b.id AS e, count(*) AS common FROM r a JOIN r b ON a.w = b.w AND a.side = 't' AND b.side = 'e' GROUP BY a.id, b.id)
-        SELECT 'published' AS src, least(t, e) AS id_a, greatest(t, e) AS id_b FROM c JOIN n x ON x.id = t JOIN n y ON y.id = e
-        WHERE common * 4 >= 3 * (x.n + y.n - common)
-        UNION ALL SELECT 'dryrun_sample', least(a.sample_id, b.sample_id), greatest(a.sample_id, b.sample_id) FROM dryrun_sample a
-        JOIN dryrun_sample b ON {UID_SQL.format('a.uid')} = {UID_SQL.format('b.uid')} AND lower(trim(a.split)) = 'train' AND lower(trim(b.split)) IN ('validation', 'test')""",
+    "p6_found": _P6,
+    "p6_report": f"""
+        WITH p AS ({_P6}),
+        x AS (SELECT 'published' AS src, pred_id AS id, lower(trim(split)) AS split, model AS source FROM published UNION ALL SELECT 'dryrun_sample', sample_id, lower(trim(split)), 'dryrun_sample' FROM dryrun_sample),
+        h AS (SELECT x.src, x.split, x.source, x.id, count(*) AS n FROM p JOIN x ON x.src = p.src AND x.id IN (p.id_a, p.id_b) AND x.split IN ('validation', 'test') GROUP BY ALL)
+        SELECT src, split, source, count(*) AS n_rows, sum(n)::BIGINT AS n_pairs FROM h GROUP BY src, split, source""",
     "p7_found": _P7 + """
         SELECT plan_id, stratum, label FROM t WHERE a * 1000000 < frame * target_permille * frame_permille OR a < min_rows""",
 }

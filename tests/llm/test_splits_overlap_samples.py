@@ -92,6 +92,33 @@ def test_overlap_recall_at_the_threshold(spark):
     assert overlap.similar_classes(codes, words).count() >= 797
 
 
+@pytest.mark.parametrize(("num", "den"), [(1, 2), (9, 10), (1, 1)])
+def test_blocks_and_radius_follow_the_threshold(spark, num, den):
+    docs = []
+    for g in range(150):
+        own = 20 * (den - num) // (den + num) if num < den else 0
+        common = [f"g{g}c{i}" for i in range(20 - own)]
+        while own and len(common) * den > num * (len(common) + 2 * own):
+            common.pop()
+        while own and len(common) * den < num * (len(common) + 2 * own):
+            common.append(f"g{g}x{len(common)}")
+        docs += [(2 * g, "train", common + [f"g{g}a{i}" for i in range(own)]), (2 * g + 1, "eval", common + [f"g{g}b{i}" for i in range(own)])]
+    members, codes, words = overlap.word_classes(spark.createDataFrame(docs, "id long, side string, words array<string>"), num, den)
+    assert overlap.overlap_counts(members, overlap.similar_classes(codes, words, num, den)).count() >= 149
+    with pytest.raises(ValueError):
+        overlap.Code.for_threshold(3, 2)
+
+
+def test_counts_equal_the_expanded_pairs(spark, rows):
+    r = random.Random(3)
+    docs = [(i, r.choice(["train", "eval"]), [f"w{r.randrange(3)}", *"abcdefgh"][: r.choice([1, 8, 9])]) for i in range(300)]
+    members, codes, words = overlap.word_classes(spark.createDataFrame(docs, "id long, side string, words array<string>"))
+    links = overlap.similar_classes(codes, words)
+    side = {i: s for i, s, _ in docs}
+    want = Counter(i for pair in rows(overlap.cross_split_pairs(members, links)) for i in pair if side[i] == "eval")
+    assert dict(rows(overlap.overlap_counts(members, links))) == want
+
+
 def test_equal_keys(spark, rows):
     df = spark.createDataFrame([(1, "train", "u"), (2, "eval", "u"), (3, "eval", "v"), (4, "train", None), (5, "eval", None), (6, "train", "u")], "id long, side string, key string")
     m = overlap.equal_key_classes(df)
