@@ -49,6 +49,17 @@ def _ids(kind: str, groups: list[str]) -> list[Column]:
     return [F.xxhash64(F.lit(seed), F.lit(kind), *parts).alias(f"_g{seed + 1}") for seed in (0, 1)]
 
 
+def _roll_up(fine: DataFrame, groups: list[str], scopes: dict[str, list[str]]) -> DataFrame:
+    """(ids, _p, _c, _lo, _hi): the histograms of every scope. That of all groups is there already, the others add up."""
+    cols = ["_p", "_c", "_lo", "_hi"]
+    parts = [fine.select(*_ids(s, gs), *cols) for s, gs in scopes.items() if set(gs) == set(groups)]
+    coarse = [F.struct(*_ids(s, gs)) for s, gs in scopes.items() if set(gs) != set(groups)]
+    if coarse:
+        added = fine.select(F.explode(F.array(*coarse)).alias("_i"), *cols).select("_i.*", *cols).groupBy("_g1", "_g2", "_p")
+        parts.append(added.agg(F.sum("_c").alias("_c"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def select_ranks(
     df: DataFrame, groups: list[str], bits_col: str, permilles: list[int], digits: int = DIGITS, scopes: dict[str, list[str]] | None = None
 ) -> DataFrame:
@@ -69,26 +80,25 @@ def select_ranks(
     ids = ["_g1", "_g2"]
     each = F.explode(F.array(*[F.struct(*_ids(s, gs)) for s, gs in of.items()])).alias("_i")
     prefix = lambda d: F.shiftright("_k", 64 - DIGIT * d)
+    # at most 65,536 bins in any window
+    bins = Window.partitionBy(*ids, "_q").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     targets, done, names = None, [], None
     for d in range(1, digits + 1):
         fine = rows.groupBy(*groups, prefix(d).alias("_p")).agg(F.count(F.lit(1)).alias("_c"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
         fine = materialize(fine, f"digit{d}")
-        rolled = fine.select("_p", "_c", "_lo", "_hi", each).select("_i.*", "_p", "_c", "_lo", "_hi").groupBy(*ids, "_p").agg(
-            F.sum("_c").alias("_c"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")
-        )
-        # at most 65,536 bins in any window
-        bins = Window.partitionBy(*ids, "_q").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-        cum = rolled.withColumn("_q", F.shiftright("_p", DIGIT)).withColumn("_cum", F.sum("_c").over(bins))
+        rolled = _roll_up(fine, groups, of)
         if targets is None:
             masked = lambda s, gs: F.struct(F.lit(s).alias("scope"), *[(F.col(g) if g in gs else F.lit(None).cast(dict(df.dtypes)[g])).alias(g) for g in groups], *_ids(s, gs))
             names = fine.select(F.explode(F.array(*[masked(s, gs) for s, gs in of.items()])).alias("_x")).select("_x.*").distinct()
-            # the first digit has both signs, so one group is two windows: of negative and of other values
-            whole = rolled.groupBy(*ids).agg(F.sum("_c").alias("n"), F.coalesce(F.sum(F.when(F.col("_p") < 0, F.col("_c"))), F.lit(0)).alias("_neg"))
-            asked = whole.withColumn("permille", F.explode(F.array(*[F.lit(int(p)) for p in permilles])))
-            r = F.greatest(F.lit(1), F.floor((F.col("n") * F.col("permille") + 999) / 1000)).cast("long")
-            asked = asked.withColumn("_r", r).withColumn("_q", F.when(F.col("_r") <= F.col("_neg"), F.lit(-1)).otherwise(F.lit(0)).cast("long"))
-            targets = asked.select(*ids, "permille", "n", F.when(F.col("_q") < 0, F.col("_r")).otherwise(F.col("_r") - F.col("_neg")).alias("_r"), "_q")
-        hit = targets.join(cum, [*ids, "_q"]).filter((F.col("_cum") >= F.col("_r")) & (F.col("_cum") - F.col("_c") < F.col("_r")))
+            # one shuffle, by group, serves the total and the running sum
+            all_bins = Window.partitionBy(*ids)
+            cum = rolled.withColumn("n", F.sum("_c").over(all_bins)).withColumn("_cum", F.sum("_c").over(all_bins.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)))
+            asked = cum.withColumn("permille", F.explode(F.array(*[F.lit(int(p)) for p in permilles])))
+            at = asked.withColumn("_r", F.greatest(F.lit(1), F.floor((F.col("n") * F.col("permille") + 999) / 1000)).cast("long"))
+        else:
+            cum = rolled.withColumn("_q", F.shiftright("_p", DIGIT)).withColumn("_cum", F.sum("_c").over(bins))
+            at = targets.join(cum, [*ids, "_q"])
+        hit = at.filter((F.col("_cum") >= F.col("_r")) & (F.col("_cum") - F.col("_c") < F.col("_r")))
         at = hit.withColumn("_r", F.col("_r") - F.col("_cum") + F.col("_c"))
         first, last = (F.col("_lo") == F.col("_hi")) | (F.col("_r") == 1), F.col("_r") == F.col("_c")
         got = at.select(*ids, "permille", "n", "_r", F.col("_p").alias("_q"), "_lo", "_hi", F.when(first, F.col("_lo")).when(last, F.col("_hi")).alias("_v"))

@@ -51,7 +51,7 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def call_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rule_name, day, seconds, prompt_tokens): the measures as ordered integers, null where there is no number."""
-    t = table(spark, sf_dir, "throughput_qwen3_4b").select("rule_name", F.to_date("called_at").cast("string").alias("day"), "seconds", "prompt_tokens")
+    t = table(spark, sf_dir, "throughput_qwen3_4b").select("rule_name", F.to_date("called_at").alias("day"), "seconds", "prompt_tokens")
     return t.select("rule_name", "day", *[quantiles.ordered(F.col(m)).alias(m) for m in ("seconds", "prompt_tokens")])
 
 
@@ -64,7 +64,7 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per rule, per day, and per rule and day (scope): the columns that a scope does not group by are null."""
     scopes = {"rule": ["rule_name", "measure"], "day": ["day", "measure"], "rule_day": ["rule_name", "day", "measure"]}
     got = quantiles.select_ranks(long_measures(spark, sf_dir), ["rule_name", "day", "measure"], "k", PERMILLES, scopes=scopes)
-    return got.select("scope", "rule_name", "day", "measure", "permille", F.col("n").alias("n_values"), "value")
+    return got.select("scope", "rule_name", F.col("day").cast("string").alias("day"), "measure", "permille", F.col("n").alias("n_values"), "value")
 
 
 def p2_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
