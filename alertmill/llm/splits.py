@@ -7,72 +7,91 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bind, materialize
+from ..session import materialize
 
 #: Components that one annealing task holds; it bounds a task's memory whatever the table's size.
 SHARD_COMPONENTS = 4096
-#: Distinct labels tracked one by one; labels beyond share buckets by hash, so no label is left out of the balance.
-LABEL_SLOTS = 64
 MOVES_PER_COMPONENT = 40
 
 
-def deviation(counts: np.ndarray, goal: np.ndarray) -> float:
-    """Size deviation plus label deviation of splits x labels counts."""
-    d = counts - goal
-    return float(np.abs(d.sum(1)).sum() + np.abs(d).sum())
+def anneal(vec: list[dict[int, float]], start: list[int], goal: np.ndarray, seed: int) -> list[int]:
+    """Move or exchange whole components; returns the best assignment met.
 
-
-def anneal(vec: np.ndarray, start: np.ndarray, goal: np.ndarray, seed: int) -> np.ndarray:
-    """Move or exchange whole components; returns the best assignment met. vec: components x labels, goal: splits x labels."""
+    vec: per component its rows of each label, start: their splits, goal: splits x labels. The energy is the size
+    deviation plus the label deviation; a step looks only at the labels of the components it moves.
+    """
     rng = np.random.default_rng(seed)
     k, m = goal.shape[0], len(vec)
-    now = start.copy()
-    counts = np.zeros_like(goal)
-    np.add.at(counts, now, vec)
-    off = counts - goal
-    cost = lambda rows: np.abs(rows.sum(-1)).sum() + np.abs(rows).sum()
-    energy = cost(off)
-    best, best_energy = now.copy(), energy
+    now, off = list(start), [(-row).tolist() for row in goal]
+    for v, s in zip(vec, start):
+        for label, n in v.items():
+            off[s][label] += n
+    size = [sum(row) for row in off]
+    energy = sum(abs(x) for x in size) + sum(abs(x) for row in off for x in row)
+    best, best_energy = list(now), energy
     steps = MOVES_PER_COMPONENT * m
     heat = max(1e-9, energy / 4)
     cool = (0.05 / max(heat, 0.05)) ** (1 / max(steps, 1))
-    picks, others, targets, luck = rng.integers(m, size=steps), rng.integers(m, size=steps), rng.integers(k, size=steps), rng.random(steps)
+    picks, others, targets, luck = (x.tolist() for x in (rng.integers(m, size=steps), rng.integers(m, size=steps), rng.integers(k, size=steps), rng.random(steps)))
     for i, j, to, u in zip(picks, others, targets, luck):
+        heat *= cool
         a = now[i]
         swap = u < 0.5
         b = now[j] if swap else to
-        heat *= cool
         if a == b:
             continue
-        change = vec[i] - vec[j] if swap else vec[i]
-        two = off[[a, b]]
-        after = np.stack([two[0] - change, two[1] + change])
-        delta = cost(after) - cost(two)
+        change = vec[i]
+        if swap:
+            change = dict(change)
+            for label, n in vec[j].items():
+                change[label] = change.get(label, 0.0) - n
+        from_, into, moved, delta = off[a], off[b], 0.0, 0.0
+        for label, n in change.items():
+            x, y = from_[label], into[label]
+            delta += abs(x - n) - abs(x) + abs(y + n) - abs(y)
+            moved += n
+        delta += abs(size[a] - moved) - abs(size[a]) + abs(size[b] + moved) - abs(size[b])
         if delta <= 0 or (u * 2 % 1) < np.exp(-delta / heat):
-            off[a], off[b] = after
+            for label, n in change.items():
+                from_[label] -= n
+                into[label] += n
+            size[a] -= moved
+            size[b] += moved
             now[i] = b
             if swap:
                 now[j] = a
             energy += delta
             if energy < best_energy - 1e-9:
-                best, best_energy = now.copy(), energy
+                best, best_energy = list(now), energy
     return best
 
 
-def _shard(share: np.ndarray, left: dict[int, np.ndarray], total: float, seed: int, turn: int, pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard of one replica; left is what the replica as a whole is off its targets, of which the shard takes its part."""
-    pdf = pdf.sort_values("c", kind="stable").reset_index(drop=True)
-    rep, shard = int(pdf["rep"].iloc[0]), int(pdf["shard"].iloc[0])
-    vec = np.stack(pdf["vec"].to_numpy())
-    start = pdf["at"].to_numpy(np.int64)
-    if rep in left:
-        here = np.zeros_like(left[rep])
-        np.add.at(here, start, vec)
-        goal = here - left[rep] * (vec.sum() / max(total, 1))
-    else:
-        goal = share[:, None] * vec.sum(0)
-    pdf["at"] = anneal(vec, start, goal, seed * 1_000_003 + rep * 10_007 + shard * 101 + turn).astype("int32")
-    return pdf[["c", "vec", "at", "rep"]]
+def _shard(seed: int, turn: int, comps: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+    """One shard of one replica. marks: per label of the shard its rows in all, and how far each split as a whole is off its
+    target, of which the shard takes the part that it holds of the label."""
+    comps = comps.sort_values("c", kind="stable").reset_index(drop=True)
+    marks = marks.sort_values("l").reset_index(drop=True)
+    at_label = {label: i for i, label in enumerate(marks["l"].tolist())}
+    vec = [{at_label[x["l"]]: float(x["n"]) for x in labels} for labels in comps["labels"]]
+    start = comps["at"].tolist()
+    off = np.stack([np.asarray(x, float) for x in marks["off"]]).T  # splits x labels
+    here = np.zeros_like(off)
+    for v, s in zip(vec, start):
+        for label, n in v.items():
+            here[s, label] += n
+    goal = here - off * (here.sum(0) / np.maximum(marks["total"].to_numpy(float), 1))
+    rep, shard = int(comps["rep"].iloc[0]), int(comps["shard"].iloc[0])
+    comps["at"] = np.asarray(anneal(vec, start, goal, seed * 1_000_003 + rep * 10_007 + shard * 101 + turn), dtype="int32")
+    return comps[["c", "labels", "at", "rep"]]
+
+
+def label_residuals(state: DataFrame, share: list[float]) -> DataFrame:
+    """(rep, l, off, total): per replica and label the rows in all, and by how many every split is off its share of them."""
+    long = state.select("rep", "at", F.explode("labels").alias("x")).groupBy("rep", "at", F.col("x.l").alias("l")).agg(F.sum("x.n").alias("n"))
+    counts = [F.coalesce(F.sum(F.when(F.col("at") == i, F.col("n"))), F.lit(0)) for i in range(len(share))]
+    per = long.groupBy("rep", "l").agg(F.sum("n").alias("total"), F.array(*counts).alias("_n"))
+    off = F.array(*[F.element_at("_n", i + 1) - F.col("total") * F.lit(s) for i, s in enumerate(share)])
+    return per.select("rep", "l", off.alias("off"), "total")
 
 
 def component_splits(
@@ -81,53 +100,43 @@ def component_splits(
     """(component, split): one split per component, proportions ``shares`` (thousandths that sum to 1000).
 
     Every component starts in a split by its hash. Components are dealt to shards of bounded size; shards of all replicas
-    anneal in parallel towards their part of the targets, a second round deals anew and also works off the deviation
-    that the first left overall. The replica with the least deviation is kept; the hashed start itself competes. Null
-    labels are a label. A component larger than a split's share is placed whole all the same: components are never cut.
-    An empty table gives no rows. The result depends on seed, not on partitioning.
+    anneal in parallel, each working off its part of the deviation that the replica has as a whole; a second round deals
+    anew. The replica with the least deviation is kept; the hashed start itself competes. Labels are any number of
+    values, each balanced on its own; null is a label. A component larger than a split's share is placed whole all the
+    same: components are never cut. An empty table gives no rows. The result depends on seed, not on partitioning.
     """
     names = list(shares)
-    share = np.array([shares[n] for n in names], float) / 1000
-    slots = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(LABEL_SLOTS).select(label).collect()
-    known = [r[0] for r in slots]
-    slot = F.lit(None).cast("int")
-    for i, v in enumerate(known):
-        slot = F.when(F.col(label).eqNullSafe(F.lit(v)), i).otherwise(slot)
-    n_slots = max(1, len(known))
-    slot = F.coalesce(slot, F.pmod(F.xxhash64(label), F.lit(n_slots)).cast("int"))
-    per = rows.groupBy(F.col(component).alias("c"), slot.alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    sums = [F.coalesce(F.sum(F.when(F.col("s") == i, F.col("n"))), F.lit(0)).cast("double") for i in range(n_slots)]
-    comps = materialize(per.groupBy("c").agg(F.array(*sums).alias("vec")), "comps")
-    n_comps = comps.count()
+    share = [shares[n] / 1000 for n in names]
+    value = F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("null")))
+    per = rows.groupBy(F.col(component).alias("c"), value.alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    # a component's list is as long as it has labels
+    comps = per.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("l", "n"))).alias("labels"))
     edges = np.cumsum([shares[n] for n in names])
     draw = F.pmod(F.xxhash64(F.lit(seed), "c"), F.lit(1000))
     first = F.lit(len(names) - 1)
     for i in reversed(range(len(names) - 1)):
         first = F.when(draw < int(edges[i]), i).otherwise(first)
-    hashed = comps.withColumn("at", first.cast("int"))
-    state = hashed.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicas))))
-    n_shards = max(1, -(-n_comps // SHARD_COMPONENTS))
-
-    def residual(df: DataFrame) -> tuple[dict[int, np.ndarray], np.ndarray]:
-        """Per replica counts minus targets, splits x labels (bounded), and the labels' totals."""
-        got = df.groupBy("rep", "at").agg(*[F.sum(F.element_at("vec", i + 1)).alias(f"v{i}") for i in range(n_slots)]).collect()
-        by: dict[int, np.ndarray] = {}
-        for r in got:
-            by.setdefault(r["rep"], np.zeros((len(names), n_slots)))[r["at"]] = [r[f"v{i}"] for i in range(n_slots)]
-        total = next(iter(by.values())).sum(0) if by else np.zeros(n_slots)
-        return {k: v - share[:, None] * total for k, v in by.items()}, total
-
-    carried: dict[int, np.ndarray] = {}
-    total = np.zeros(n_slots)
+    hashed = materialize(comps.withColumn("at", first.cast("int")), "comps")
+    n_shards = max(1, -(-hashed.count() // SHARD_COMPONENTS))
+    state = hashed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicas))))  # replica 0 stays as hashed
+    schema = ", ".join(f"{c} {t}" for c, t in state.dtypes)
     for turn in range(rounds):
-        dealt = state.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + turn), "c"), F.lit(n_shards)).cast("int"))
-
-        schema = f"c {dict(comps.dtypes)['c']}, vec array<double>, at int, rep int"
-        state = materialize(dealt.groupBy("rep", "shard").applyInPandas(bind(_shard, share, dict(carried), total.sum(), seed, turn), schema), "anneal")
-        carried, total = residual(state)
-    zero, _ = residual(hashed.withColumn("rep", F.lit(0)))
-    zeros = np.zeros((len(names), n_slots))
-    scores = {k: deviation(v, zeros) for k, v in (carried | zero).items()}
-    keep = min(scores, key=lambda k: (scores[k], k), default=0)
-    chosen = hashed if keep == 0 else state.filter(F.col("rep") == keep)
-    return chosen.select(F.col("c").alias(component), F.element_at(F.array(*[F.lit(n) for n in names]), F.col("at") + 1).alias("split"))
+        residuals = materialize(label_residuals(state, share), "residuals")
+        dealt = state.filter("rep > 0").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + turn), "c"), F.lit(n_shards)).cast("int"))
+        used = dealt.select("rep", "shard", F.explode("labels.l").alias("l")).distinct().join(residuals, ["rep", "l"])
+        used = used.select(F.col("rep").alias("_rep"), F.col("shard").alias("_shard"), "l", "off", "total")
+        moved = dealt.groupBy("rep", "shard").cogroup(used.groupBy("_rep", "_shard")).applyInPandas(_bound(seed, turn), schema)
+        state = materialize(moved.unionByName(state.filter("rep = 0").select(*moved.columns)), "anneal")
+    last = label_residuals(state, share)
+    spread = [F.abs(F.sum(F.element_at("off", i + 1))) for i in range(len(names))]
+    inside = F.sum(F.aggregate("off", F.lit(0.0), lambda acc, x: acc + F.abs(x)))
+    scores = last.groupBy("rep").agg(F.round(sum(spread, inside), 6).alias("s")).collect()  # one row a replica
+    keep = min(((r["s"], r["rep"]) for r in scores), default=(0, 0))[1]
+    return state.filter(F.col("rep") == keep).select(F.col("c").alias(component), F.element_at(F.array(*[F.lit(n) for n in names]), F.col("at") + 1).alias("split"))
+
+
+def _bound(seed: int, turn: int):  # noqa: ANN202
+    def run(comps: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        return _shard(seed, turn, comps, marks)
+
+    return run

@@ -50,6 +50,18 @@ def test_splits_keep_components_and_proportions(spark, monkeypatch):
     assert splits.component_splits(df.limit(0), "comp", "label", {"train": 800, "test": 200}).count() == 0
 
 
+def test_hundred_labels_are_balanced_one_by_one(spark):
+    r = random.Random(2)
+    data = [(f"c{c}", f"l{r.randrange(100)}") for c in range(4000) for _ in range(r.choice([1, 2, 3]))]
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(data)], "id long, comp string, label string")
+    shares = {"train": 800, "validation": 100, "test": 100}
+    got = {x["comp"]: x["split"] for x in splits.component_splits(df, "comp", "label", shares).collect()}
+    total, n = Counter(d[1] for d in data), Counter((got[d[0]], d[1]) for d in data)
+    assert len(total) == 100
+    off = [abs(n[s, v] - total[v] * p / 1000) for s, p in shares.items() for v in total]
+    assert max(off) < 4 and sum(off) / len(off) < 0.8  # in rows; 0.3 is what rounding alone leaves
+
+
 def record(r, words, drop, add):
     w = words[: len(words) - drop]
     return w + [f"new{r.randrange(10**9)}" for _ in range(add)]

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -92,6 +93,41 @@ def test_windows_keep_the_mixture():
         assert abs(share - shares[1]) < 0.08
 
 
+def shares_of(placed, source, first):
+    """Shares of the sources in the units of the first containers of every bucket."""
+    got = Counter()
+    for x in placed:
+        if x["container_id"] is not None and x["container_id"] % (1 << 24) < first:
+            got[source[x["id"]]] += x["n_units"]
+    return {k: v / sum(got.values()) for k, v in got.items()}
+
+
+def test_every_source_has_a_queue_and_its_target(spark):
+    """80 sources, targets on the ten smallest and none on the rest: the rest comes after them, and nothing is lost."""
+    r = random.Random(4)
+    source = {i: f"s{i % 80:02d}" for i in range(16_000)}
+    items = [(i, r.randrange(20, 60), s) for i, s in source.items()]
+    target = {f"s{k}": float(k - 69) for k in range(70, 80)} | {"s00": 0.0}
+    placed = packing.pack(spark.createDataFrame(items, "id long, n long, source string"), "id", "n", "source", 500, target).collect()
+    assert {x["id"] for x in placed} == set(source)
+    got = shares_of(placed, source, 16)
+    assert set(got) == {f"s{k}" for k in range(70, 80)}
+    for k in range(70, 80):
+        assert abs(got[f"s{k}"] - (k - 69) / 55) < 0.03
+
+
+def test_sizes_that_do_not_fit_stay_bounded(spark, monkeypatch):
+    """Items of 55 % of the capacity never share a container: each level closes most of them instead of handing them all up."""
+    monkeypatch.setattr(packing, "BUCKET_CONTAINERS", 8)
+    monkeypatch.setattr(packing, "FAN_IN", 2)
+    queues = {"a": [(550, i) for i in range(40)]}
+    closed, left, _ = packing.fill_windows(queues, {"a": 1.0}, {}, 1000, False, 4)
+    assert len(closed) == 36 and len(left) == 4
+    df = spark.createDataFrame([(i, 550, "a") for i in range(100)], "id long, n long, source string")
+    got = packing.pack(df, "id", "n", "source", 1000).collect()
+    assert len({x["container_id"] for x in got}) == 100
+
+
 TEXT = {
     "en": "I’ve used the café tray for weeks – it’s “lovely” and costs £20, near 25 °C.", "fr": "Après quatre semaines, la crème reste très agréable à côté de l’étui.",
     "de": "Größe laut Etikett: für schöne Tücher, natürlich äußerst leise.", "ru": "Подарила маме, говорит очень красиво и надёжно, модель удобная.",
