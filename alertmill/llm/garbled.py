@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, spread
 
-#: Slots of the hashed letter-pair table: a fixed 2**20 counts (4 MB), whatever the corpus.
-SLOTS = 1 << 20
+#: Letter pairs rarer than one in so many of the corpus count as unknown. The table of the others grows with the corpus
+#: and has at most so many rows (12 bytes each); up to so many pairs in all, every pair that occurs is in it.
+MOST_PAIRS = 1 << 24
 #: A repair must lower the cost of a token by this many nats, and by the share below of its cost.
 LEAST_DROP, LEAST_SHARE = 7.0, 0.12
-LAYERS = 3
 CAPITALS = 4.0
 #: Where the intended encoding accepts nearly any bytes, the mean cost of a pair must drop by this many nats too.
 LEAST_MEAN = 0.7
@@ -86,6 +87,8 @@ def _odd_places() -> re.Pattern[str]:
 
 _ODD = _odd_places()
 LOST = "�"
+#: Reasons: the text was restored, in whole or in part; or replacement characters show that letters are lost for good.
+ROUND_TRIP, LOST_LETTERS = "round_trip", "lost_letters"
 
 
 def encode(text: str, name: str) -> bytes | None:
@@ -139,11 +142,18 @@ def resolve(text: str) -> str:
     return _REFERENCE.sub(_character, text) if "&#" in text else text
 
 
-def pair_slots(text: str) -> np.ndarray:
-    """Slots of the adjacent character pairs of the text between two spaces; digits count as one character."""
-    cp = np.frombuffer((" " + text.translate(_DIGITS) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    mix = (cp[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (cp[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
-    return ((mix * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)).astype(np.int64)
+def letter_pairs(text: str) -> np.ndarray:
+    """The adjacent character pairs of the text between two spaces, each as one number; digits count as one character."""
+    cp = np.frombuffer((" " + text.translate(_DIGITS) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return (cp[:-1] << 21) | cp[1:]
+
+
+class PairTable(NamedTuple):
+    """Letter pairs in order with their counts, and the count of all pairs, rare ones included."""
+
+    pairs: np.ndarray
+    counts: np.ndarray
+    total: int
 
 
 @lru_cache(1 << 17)
@@ -161,23 +171,34 @@ def stretches(text: str, name: str) -> list[str]:
 class Repairer:
     """Token by token; cost of a token is the sum over its character pairs of -log of the pair's share of the corpus."""
 
-    def __init__(self, counts: np.ndarray):
-        total = float(max(counts.sum(), 1))
-        self.counts = counts
-        self.price = (np.log(total + 1) - np.log(counts + 0.3)).astype(np.float32)
+    def __init__(self, table: PairTable):
+        total = float(max(table.total, 1))
+        self.pairs = table.pairs
+        self.price = (np.log(total + 1) - np.log(table.counts + 0.3)).astype(np.float32)
+        self.unknown = float(np.log(min(total + 1, MOST_PAIRS)) - np.log(0.3))
         self.memo: dict[str, str] = {}
 
+    def _price(self, text: str) -> tuple[float, int, int]:
+        """(cost, pairs that the table has, pairs)."""
+        pairs = letter_pairs(text)
+        n = len(pairs)
+        if not len(self.pairs):
+            return self.unknown * n, 0, n
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        hit = self.pairs[at] == pairs
+        known = int(np.count_nonzero(hit))
+        return float(self.price[at[hit]].sum()) + self.unknown * (n - known), known, n
+
     def measure(self, text: str) -> tuple[float, float]:
         """(cost, share of the pairs that the corpus has at all).
 
         Capitals are rarer than the words they spell: a token costs no more than its small letters and a mark-up.
         """
-        slots = pair_slots(text)
-        cost = float(self.price[slots].sum())
+        cost, known, n = self._price(text)
         small = text.lower()
         if small != text:
-            cost = min(cost, float(self.price[pair_slots(small)].sum()) + CAPITALS)
-        return cost, np.count_nonzero(self.counts[slots]) / len(slots)
+            cost = min(cost, self._price(small)[0] + CAPITALS)
+        return cost, known / n
 
     def _candidates(self, token: str) -> Iterator[tuple[str, bool, bool]]:
         """Readings of the token, whether strict decoding alone is weak evidence for them, and whether it is proof."""
@@ -220,44 +241,55 @@ class Repairer:
         known = self.memo.get(token)
         if known is not None:
             return known
-        now = self._search(token, LAYERS)[0]
+        now = self._search(token, {})[0]
         if len(self.memo) > 200_000:
             self.memo.clear()
         self.memo[token] = now
         return now
 
-    def _search(self, now: str, layers: int) -> tuple[str, float]:
-        """(cheapest reading within so many layers, its cost with odd places)."""
+    def _search(self, now: str, seen: dict[str, tuple[str, float]]) -> tuple[str, float]:
+        """(cheapest reading over any number of layers, its cost with odd places).
+
+        It goes on while the cost drops. seen holds the answers of the texts met so far, so none is searched twice and a
+        circle of readings ends; inner layers are looked into where a reading is shorter, as each layer of UTF-8 makes it.
+        """
+        if now in seen:
+            return seen[now]
         price = self.measure(now)[0] + odd_cost(now)
+        seen[now] = now, price
         best, best_price, proven, deeper = now, price, False, False
         tried: set[str] = {now}
         controls = _CONTROL.search(now)
         for option, weak, proof in self._candidates(now):
-            if (option in tried and not proof) or (not controls and _CONTROL.search(option)):
+            inner = not weak and len(option) < len(now)
+            fresh = not controls and bool(_CONTROL.search(option))  # control characters may only be those of an inner layer
+            if (option in tried and not proof) or (fresh and not inner):
                 continue
             tried.add(option)
             p, known = self.measure(option)
             o = odd_cost(option)
             end, p = option, p + o
             # an inner layer still has odd places or is new to the corpus: it counts as what it leads to
-            if (o or known < LEAST_KNOWN) and not weak and layers > 1:
-                end, p = self._search(option, layers - 1)
+            if inner and (o or fresh or known < LEAST_KNOWN):
+                end, p = self._search(option, seen)
+                if fresh and _CONTROL.search(end):
+                    continue
             # fewer characters are cheaper in sum: where any bytes decode, the cost of each pair must drop as well
             likely = known >= LEAST_KNOWN or end != option or (not weak and sum(c > "\x7f" for c in option) >= SURE_CHARACTERS)
             if proof and (not proven or p < best_price):
                 best, best_price, proven, deeper = end, p, True, end != option
             elif not proven and likely and p < best_price and not (weak and p / (len(option) + 1) > price / (len(now) + 1) - LEAST_MEAN):
                 best, best_price, deeper = end, p, end != option
-        if best == now or (not proven and price - best_price < max(LEAST_DROP, LEAST_SHARE * price)):
-            return now, price
-        return (best, best_price) if deeper or layers == 1 else self._search(best, layers - 1)
+        if best != now and (proven or price - best_price >= max(LEAST_DROP, LEAST_SHARE * price)):
+            seen[now] = (best, best_price) if deeper else self._search(best, seen)
+        return seen[now]
 
-    def text(self, text: str | None) -> tuple[bool, str | None]:
-        """(is it garbled, its text as far as it can be restored). Numeric references are judged as what they stand for."""
+    def text(self, text: str | None) -> tuple[str | None, str | None]:
+        """(why it is garbled or null, its text as far as it can be restored). Numeric references are judged as what they stand for."""
         if not text or (text.isascii() and "&#" not in text):
-            return False, text
+            return None, text
         fixed = "".join(self._part(p) for p in _SPACE.split(text))
-        return fixed != text or lost_characters(resolve(text)), fixed
+        return ROUND_TRIP if fixed != text else LOST_LETTERS if lost_characters(resolve(text)) else None, fixed
 
     def _part(self, part: str) -> str:
         plain = resolve(part)
@@ -272,22 +304,28 @@ def lost_characters(text: str) -> bool:
     return LOST in text
 
 
-def pair_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """How often each slot occurs, copies damped; partitions send at most SLOTS sums, the driver gets SLOTS numbers.
+def pair_counts(docs: DataFrame, text: str = "text") -> PairTable:
+    """How often each letter pair occurs, copies damped. The driver gets MOST_PAIRS rows at most, by the share they must have.
 
-    All copies of a text count as COPIES of it at most, whatever share of the rows they are. Only hashes of texts that occur twice are joined, so texts stay where they are as long as
-    that list can be broadcast.
+    All copies of a text count as COPIES of it at most, whatever share of the rows they are. Only hashes of texts that
+    occur twice are joined, so texts stay where they are as long as that list can be broadcast.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(SLOTS)
+        pairs, counts = np.zeros(0, np.int64), np.zeros(0)
         some: dict[int, list[str]] = {}
         size = 0
 
         def add() -> None:
-            # texts joined by a space have the pairs that each has between two spaces
+            nonlocal pairs, counts
+            new, weights = [pairs], [counts]
             for n, texts in some.items():
-                np.add(table, np.bincount(pair_slots(" ".join(texts)), minlength=SLOTS) * (min(n, COPIES) / n), out=table)
+                # texts joined by a space have the pairs that each has between two spaces
+                k, c = np.unique(letter_pairs(" ".join(texts)), return_counts=True)
+                new.append(k)
+                weights.append(c * (min(n, COPIES) / n))
+            pairs, where = np.unique(np.concatenate(new), return_inverse=True)
+            counts = np.bincount(where, np.concatenate(weights), len(pairs))
             some.clear()
 
         for b in batches:
@@ -299,42 +337,41 @@ def pair_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
                     add()
                     size = 0
         add()
-        hit = np.flatnonzero(table)
-        yield pd.DataFrame({"slot": hit, "c": table[hit]})
+        yield pd.DataFrame({"pair": pairs, "c": counts})
 
     texts = docs.select(F.col(text).alias("t")).filter("t is not null")
     copied = materialize(texts.groupBy(F.xxhash64("t").alias("h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copied")
     weighed = texts.withColumn("h", F.xxhash64("t")).join(copied, "h", "left").select("t", F.coalesce("n", F.lit(1)).alias("n"))
-    rows = spread(weighed).mapInPandas(count, "slot long, c double")
-    out = np.zeros(SLOTS, np.int64)
-    got = rows.groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
+    table = materialize(spread(weighed).mapInPandas(count, "pair long, c double").groupBy("pair").agg(F.sum("c").alias("c")), "pairs")
+    total = table.agg(F.coalesce(F.sum("c"), F.lit(0.0))).first()[0]
+    got = table.filter(F.col("c") >= total / MOST_PAIRS).toPandas().sort_values("pair")
     # whole numbers but for the order of addition
-    out[got["slot"].to_numpy(np.int64)] = np.rint(got["c"].to_numpy(float)).astype(np.int64)
-    return out
+    counts = np.maximum(np.rint(got["c"].to_numpy(float)), 1).astype(np.int64)
+    return PairTable(got["pair"].to_numpy(np.int64), np.minimum(counts, 2**31 - 1).astype(np.int32), int(round(total)))
 
 
-def _repair_batches(counts: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    fix = Repairer(counts)
+def _repair_batches(table: PairTable, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fix = Repairer(table)
     for b in batches:
         done = [fix.text(t) for t in b["text"]]
-        yield pd.DataFrame({"id": b["id"], "garbled": [d[0] for d in done], "restored": [d[1] for d in done]})
+        yield pd.DataFrame({"id": b["id"], "garbled": [d[0] is not None for d in done], "reason": [d[0] for d in done], "restored": [d[1] for d in done]})
 
 
 def repair(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:
-    """(id, garbled, restored) for every record.
+    """(id, garbled, reason, restored) for every record.
 
     The cost is learnt from all texts, copies damped and suspect words left out: character pairs that the corpus rarely has are
     dear. Places that no writing has, and strict UTF-8, count whatever the corpus holds. A token (a run without
     white space) is re-encoded under each legacy encoding and strictly decoded as the intended one; high runs inside a
     token are tried alone, for texts that are garbled in part. The cheapest reading wins if the cost drops clearly, and
-    the search repeats on it for nested layers. A text with replacement characters is garbled though what they stood
-    for cannot be restored. Null and empty texts are not garbled and come back as they are.
+    the search repeats on it, for any number of nested layers, while the cost drops. reason is ``round_trip`` for these;
+    a text that only shows replacement characters is garbled too (``lost_letters``), though what they stood for cannot be
+    restored. Null and empty texts are not garbled and come back as they are.
     """
-    counts = pair_counts(docs, text)
-    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts)
+    shared = docs.sparkSession.sparkContext.broadcast(pair_counts(docs, text))
     fn = partial(_with_broadcast, shared)
     kind = dict(docs.dtypes)[id_col]
-    return spread(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).mapInPandas(fn, f"id {kind}, garbled boolean, restored string")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).mapInPandas(fn, f"id {kind}, garbled boolean, reason string, restored string")
 
 
 def _with_broadcast(shared, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # noqa: ANN001

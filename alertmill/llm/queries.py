@@ -224,7 +224,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return garbled.repair(table(spark, sf_dir, "documents"), "doc_id").select(F.col("id").alias("doc_id"), "garbled", "restored")
+    return garbled.repair(table(spark, sf_dir, "documents"), "doc_id").select(F.col("id").alias("doc_id"), "garbled", "reason", "restored")
 
 
 QUERIES = {
