@@ -183,8 +183,26 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """as_wanted and met are read off the sample that was drawn."""
     r = _sampled(spark, sf_dir)[2]
-    return r.select("plan_id", "stratum", "label", "n_available", F.round("wanted", 6).alias("wanted"), "n_drawn", "residual", "met")
+    return r.select("plan_id", "stratum", "label", "n_available", F.round("wanted", 6).alias("wanted"), "as_wanted", "met")
+
+
+def p7_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the drawn sample of each plan is off its total, strata and labels."""
+    return balanced.margin_residuals(_sampled(spark, sf_dir)[2])
+
+
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per plan: uids drawn twice, drawn rows that are not in the frame, and margins that are off by 1 or more."""
+    rows, sample, report = _sampled(spark, sf_dir)
+    frame = balanced.categories(rows, "uid", "stratum", "label")
+    twice = sample.groupBy("plan_id", "unit").agg((F.count(F.lit(1)) - 1).alias("n"))
+    strange = sample.join(frame, ["unit", "s", "l"], "left_anti").withColumn("n", F.lit(1).cast("long"))
+    total = balanced.margin_residuals(report).filter("margin = 'total'").withColumn("n", (F.abs("residual") >= 1).cast("long"))
+    cols = ("drawn_twice", "not_in_frame", "total_off")
+    parts = [d.select("plan_id", *[(F.col("n") if c == x else F.lit(0).cast("long")).alias(c) for c in cols]) for x, d in zip(cols, (twice, strange, total))]
+    return reduce(DataFrame.unionByName, parts).groupBy("plan_id").agg(*[F.sum(c).alias(c) for c in cols])
 
 
 def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +249,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_counts, p2_percentiles, p2_merged, p4_found, p4_splits, p4_balance, p6_found, p6_report,
-        p7_found, p7_report, p7_sample, p8_ids, p9_containers, p9_fill, p10_found, p10_restored,
+        p7_found, p7_report, p7_residuals, p7_invariants, p7_sample, p8_ids, p9_containers, p9_fill, p10_found, p10_restored,
     )
 }
 
@@ -296,6 +314,11 @@ SQL = {
         x AS (SELECT 'published' AS src, pred_id AS id, lower(trim(split)) AS split, model AS source FROM published UNION ALL SELECT 'dryrun_sample', sample_id, lower(trim(split)), 'dryrun_sample' FROM dryrun_sample),
         h AS (SELECT x.src, x.split, x.source, x.id, count(*) AS n FROM p JOIN x ON x.src = p.src AND x.id IN (p.id_a, p.id_b) AND x.split IN ('validation', 'test') GROUP BY ALL)
         SELECT src, split, source, count(*) AS n_rows, sum(n)::BIGINT AS n_pairs FROM h GROUP BY src, split, source""",
+    "p7_report": _P7 + """
+        SELECT plan_id, stratum, label, a AS n_available, round(least(a::DOUBLE, greatest(frame * target_permille * frame_permille / 1000000, min_rows::DOUBLE)), 6) AS wanted, true AS as_wanted,
+          NOT (a * 1000000 < frame * target_permille * frame_permille OR a < min_rows) AS met FROM t""",
+    "p7_invariants": """
+        SELECT DISTINCT plan_id, 0::BIGINT AS drawn_twice, 0::BIGINT AS not_in_frame, 0::BIGINT AS total_off FROM sample_target""",
     "p7_found": _P7 + """
         SELECT plan_id, stratum, label FROM t WHERE a * 1000000 < frame * target_permille * frame_permille OR a < min_rows""",
 }

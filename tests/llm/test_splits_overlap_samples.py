@@ -138,18 +138,54 @@ def test_equal_keys(spark, rows):
     assert rows(overlap.cross_split_pairs(m, none)) == [(1, 2), (2, 6)]
 
 
-def test_flight_keeps_category_sums_and_expectations():
+def open_records(p):
+    return (p > 0) & (p < 1)
+
+
+def test_equal_flight_keeps_sums_and_expectations():
     rng = np.random.default_rng(1)
-    p, cat = rng.random(400), rng.integers(0, 5, 400)
+    cat = rng.integers(0, 5, 400)
+    p = np.array([0.3, 0.5, 0.011, 0.99, 1 / 3])[cat]
     hits = np.zeros(400)
-    for i in range(600):
-        s = balanced.flight(p, cat, np.random.default_rng(i))
-        open_ = (s > 1e-6) & (s < 1 - 1e-6)
+    for i in range(2000):
+        s = balanced.equal_flight(p, cat, np.random.default_rng(i))
         for c in range(5):
-            assert s[cat == c].sum() == pytest.approx(p[cat == c].sum())
-            assert open_[cat == c].sum() <= 1
-        hits += balanced.landing(s, np.random.default_rng(i + 10_000))
-    assert np.abs(hits / 600 - p).max() < 0.1
+            assert s[cat == c].sum() == pytest.approx(p[cat == c].sum()) and open_records(s[cat == c]).sum() <= 1
+        hits += s
+    assert np.abs(hits / 2000 - p).max() < 0.05
+
+
+def test_flight_keeps_all_margins_and_expectations():
+    rng = np.random.default_rng(2)
+    s, l = rng.choice(["a", "b", "c"], 60), rng.choice(["x", "y"], 60)
+    x, p = balanced.margins(s, l), rng.random(60)
+    hits = np.zeros(60)
+    for i in range(1500):
+        f = balanced.flight(p, x, np.random.default_rng(i))
+        assert x.T @ f == pytest.approx(x.T @ p)
+        assert open_records(f).sum() <= 6  # as many as there are independent margins
+        land = balanced.landing(f, x, np.random.default_rng(i + 10_000))
+        assert not open_records(land).any() and abs(land.sum() - p.sum()) < 1
+        hits += land
+    assert np.abs(hits / 1500 - p).max() < 0.07
+
+
+def test_a_unit_of_two_categories_is_drawn_once(spark, rows):
+    frame = [(f"u{i}", "a", "x") for i in range(40)] + [(f"u{i}", "b", "x") for i in range(30, 60)] + [("u0", "rare", "x")]
+    df = balanced.categories(spark.createDataFrame(frame, "uid string, stratum string, label string"), "uid", "stratum", "label")
+    targets = spark.createDataFrame([(1, "a", "x", 500, 500, 1), (1, "b", "x", 400, 500, 1), (1, "rare", "x", 1, 500, 1)], "plan_id long, stratum string, label string, target_permille long, frame_permille long, min_rows long")
+    sample, report = balanced.sample_report(df, targets)
+    units = [r["unit"] for r in sample.collect()]
+    assert len(units) == len(set(units)) and "u0" in units
+    assert all(r["met"] and r["as_wanted"] for r in report.collect())
+
+
+def test_a_broken_flight_shows(spark, monkeypatch):
+    monkeypatch.setattr(balanced, "cube_sample", lambda drawable, seed: drawable.filter("p = 1").drop("p"))
+    df = spark.createDataFrame([(f"u{i}", "a", "x") for i in range(100)], "unit string, s string, l string")
+    targets = spark.createDataFrame([(1, "a", "x", 500, 500, 1)], "plan_id long, stratum string, label string, target_permille long, frame_permille long, min_rows long")
+    row = balanced.sample_report(df, targets)[1].first()
+    assert not row["met"] and not row["as_wanted"]
 
 
 def test_sample_meets_targets_and_reports_the_rest(spark, monkeypatch):
