@@ -20,6 +20,8 @@ from ..session import materialize, spread
 MOST_PAIRS = 1 << 24
 #: A repair must lower the cost of a token by this many nats, and by the share below of its cost.
 LEAST_DROP, LEAST_SHARE = 7.0, 0.12
+#: Layers that one step of the search looks ahead; it is a step's reach, steps go on while the cost drops.
+AHEAD = 3
 CAPITALS = 4.0
 #: Where the intended encoding accepts nearly any bytes, the mean cost of a pair must drop by this many nats too.
 LEAST_MEAN = 0.7
@@ -241,27 +243,29 @@ class Repairer:
         known = self.memo.get(token)
         if known is not None:
             return known
-        now = self._search(token, {})[0]
+        now, met = token, set()
+        while now not in met:
+            met.add(now)
+            now = self._search(now, AHEAD, {})[0]
         if len(self.memo) > 200_000:
             self.memo.clear()
         self.memo[token] = now
         return now
 
-    def _search(self, now: str, seen: dict[str, tuple[str, float]]) -> tuple[str, float]:
-        """(cheapest reading over any number of layers, its cost with odd places).
+    def _search(self, now: str, ahead: int, seen: dict[tuple[str, int], tuple[str, float]]) -> tuple[str, float]:
+        """(cheapest reading within so many layers, its cost with odd places).
 
-        It goes on while the cost drops. seen holds the answers of the texts met so far, so none is searched twice and a
-        circle of readings ends; inner layers are looked into where a reading is shorter, as each layer of UTF-8 makes it.
+        seen holds the answers of the texts met so far. Inner layers are looked into where a reading is shorter, as each
+        layer of UTF-8 makes it.
         """
-        if now in seen:
-            return seen[now]
+        if (now, ahead) in seen:
+            return seen[now, ahead]
         price = self.measure(now)[0] + odd_cost(now)
-        seen[now] = now, price
         best, best_price, proven, deeper = now, price, False, False
         tried: set[str] = {now}
         controls = _CONTROL.search(now)
         for option, weak, proof in self._candidates(now):
-            inner = not weak and len(option) < len(now)
+            inner = not weak and ahead > 1 and len(option) < len(now)
             fresh = not controls and bool(_CONTROL.search(option))  # control characters may only be those of an inner layer
             if (option in tried and not proof) or (fresh and not inner):
                 continue
@@ -271,7 +275,7 @@ class Repairer:
             end, p = option, p + o
             # an inner layer still has odd places or is new to the corpus: it counts as what it leads to
             if inner and (o or fresh or known < LEAST_KNOWN):
-                end, p = self._search(option, seen)
+                end, p = self._search(option, ahead - 1, seen)
                 if fresh and _CONTROL.search(end):
                     continue
             # fewer characters are cheaper in sum: where any bytes decode, the cost of each pair must drop as well
@@ -280,9 +284,11 @@ class Repairer:
                 best, best_price, proven, deeper = end, p, True, end != option
             elif not proven and likely and p < best_price and not (weak and p / (len(option) + 1) > price / (len(now) + 1) - LEAST_MEAN):
                 best, best_price, deeper = end, p, end != option
+        got = now, price
         if best != now and (proven or price - best_price >= max(LEAST_DROP, LEAST_SHARE * price)):
-            seen[now] = (best, best_price) if deeper else self._search(best, seen)
-        return seen[now]
+            got = (best, best_price) if deeper or ahead == 1 else self._search(best, ahead - 1, seen)
+        seen[now, ahead] = got
+        return got
 
     def text(self, text: str | None) -> tuple[str | None, str | None]:
         """(why it is garbled or null, its text as far as it can be restored). Numeric references are judged as what they stand for."""

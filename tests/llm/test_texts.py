@@ -238,11 +238,11 @@ def test_copies_hardly_add_to_the_letter_pairs(spark):
     assert b.total - a.total == 9 * (garbled.COPIES - 1) and a.pairs.tolist() == b.pairs.tolist()  # nine pairs
 
 
-@pytest.mark.parametrize("layers", [3, 4, 5, 6])
-def test_any_number_of_layers_is_undone(spark, layers):
+@pytest.mark.parametrize(("layers", "wrong"), [(3, ["latin_1", "latin_1", "mac_roman"]), (4, ["latin_1"]), (4, ["latin_1", "latin_1", "mac_roman"]), (5, ["latin_1"]), (7, ["latin_1"])])
+def test_any_number_of_layers_is_undone(spark, layers, wrong):
     bad = TEXT["fr"]
     for i in range(layers):
-        bad = bad.encode().decode(("latin_1", "latin_1", "mac_roman")[i % 3])
+        bad = bad.encode().decode(wrong[i % len(wrong)])
     rows = [(i * 100 + j, t) for i, t in enumerate(TEXT.values()) for j in range(60)] + [(9000, bad)]
     got = {r["id"]: r for r in garbled.repair(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
     assert got[9000]["garbled"] and got[9000]["reason"] == garbled.ROUND_TRIP and got[9000]["restored"] == TEXT["fr"]
