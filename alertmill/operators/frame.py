@@ -21,7 +21,8 @@ def build_frame(alerts: DataFrame, fields: tuple[str, ...] = CONTENT_FIELDS, kee
 
     Keys delivered with different labels are dropped, or with keep_conflicts returned alone (key, uid, n_duplicates). The
     row with the least row_index decides the rule. Only hashes and short columns are shuffled. rule_name null is a rule
-    of its own. Rows without a label take no part.
+    of its own. Rows without a label take no part. The rule types, a line a rule, are broadcast by AQE while they are small;
+    beyond that AQE splits the partitions of a rule that holds many keys.
     """
     keyed = alerts.filter("label is not null").select("row_index", "rule_name", "label", content_key(fields).alias("key"))
     per_key = keyed.groupBy("key").agg(

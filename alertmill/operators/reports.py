@@ -2,10 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import prefix_sums
+from ..session import materialize
+from .skew import join_hot_aware, prefix_sums
+
+
+def interpolated_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, one column per share): quantiles interpolated between the two ranks next to share * (n - 1).
+
+    Rows shrink to distinct values with counts, whose running sums over range partitions give the ranks: a group's values
+    are never gathered in one buffer. NaN and null are left out; a group without values has no row.
+    """
+    keys = by or ["_all"]
+    v = rows.withColumn("_all", F.lit(0)).filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counted = v.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    cum = prefix_sums(counted, keys, "_v", ["_c"])
+    sizes = materialize(cum.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_d")), "sizes")
+    ranked = join_hot_aware(cum, sizes, keys, "_d", null_safe=True)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_c_cum") > rank) & (F.col("_c_cum") - F.col("_c") <= rank), F.col("_v")))
+
+    where = {k: F.lit(q) * (F.col("_n") - 1) for k, q in shares.items()}
+    ends = [f(F.floor(w), F.ceil(w)).alias(f"_{k}_{i}") for k, w in where.items() for i, f in enumerate((lambda lo, hi: at(lo), lambda lo, hi: at(hi)))]
+    got = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *ends)
+    mixed = [(F.col(f"_{k}_0") + (F.col(f"_{k}_1") - F.col(f"_{k}_0")) * (w - F.floor(w))).alias(k) for k, w in where.items()]
+    return got.select(*by, *mixed)
 
 
 def latency_stats(rows: DataFrame, by: list[str], value: str, calls: int | None = None) -> DataFrame:
@@ -14,13 +40,13 @@ def latency_stats(rows: DataFrame, by: list[str], value: str, calls: int | None
     NaN and null are left out.
     """
     v = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    g = v.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"),
-        F.percentile(value, 0.95).alias("p95"),
-    )
+    g = v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    q = interpolated_quantiles(v, by, value, {"median": 0.5, "p95": 0.95})
+    both = g.join(q, reduce(lambda a, b: a & b, [g[c].eqNullSafe(q[c]) for c in by])) if by else g.crossJoin(q)  # one row each
+    out = both.select(*[g[c] for c in by], "n", "mean", "median", "least", "most", "p95")
     if calls:
-        g = g.withColumn("projected_hours", F.col("mean") * calls / 3600)
-    return g
+        out = out.withColumn("projected_hours", F.col("mean") * calls / 3600)
+    return out
 
 
 def rank_element(rows: DataFrame, value: str, position) -> DataFrame:  # noqa: ANN001
@@ -52,9 +78,10 @@ def over_limit(lengths: DataFrame, by: list[str], value: str, limit: int) -> Dat
 
 
 def value_types(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, value_type, n): null or the type of every value."""
+    """(column_name, value_type, n): null or the type of every value; of a variant column, the type that each value has."""
     kinds = dict(rows.dtypes)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.when(F.col(c).isNull(), "null").otherwise(F.lit(kinds[c])).alias("value_type")) for c in columns])
+    of = lambda c: F.lower(F.regexp_extract(F.schema_of_variant(c), r"^\w+", 0)) if kinds[c] == "variant" else F.lit(kinds[c])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.when(F.col(c).isNull(), "null").otherwise(of(c)).alias("value_type")) for c in columns])
     return rows.select(F.explode(pairs).alias("x")).groupBy("x.column_name", "x.value_type").agg(F.count(F.lit(1)).alias("n"))
 
 

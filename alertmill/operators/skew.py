@@ -87,6 +87,13 @@ def _runs(by: list[str], values: list[str], batches: Iterator[pa.RecordBatch]) -
         yield out(True)
 
 
+def number_runs(df: DataFrame, by: list[str]) -> DataFrame:
+    """df with _pos: 1-based position within stretches of equal by, in the order in which each partition holds its rows."""
+    extra = [("_part", T.IntegerType()), ("_run", T.LongType()), ("_pos", T.LongType()), ("_edge", T.BooleanType())]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in extra]])
+    return df.mapInArrow(bind(_runs, by, []), schema).drop("_part", "_run", "_edge")
+
+
 def _numbered(df: DataFrame, by: list[str], order: list[str], values: list[str], what: str) -> DataFrame:
     """df with _pos (1-based position within by) and <value>_cum (inclusive running sums), for keys of any size.
 
@@ -186,5 +193,4 @@ def prefix_sums(df: DataFrame, by: list[str], order: str, values: list[str]) ->
 def rank_within(df: DataFrame, by: str | None, order: list[str], name: str = "rank") -> DataFrame:
     """1-based position within by (of the whole table without it) in the given order, without a task per group."""
     keyed = df.withColumn("_all", F.lit(0)) if by is None else df
-    ranked = keyed_chunks(keyed, by or "_all", order).withColumnRenamed("_n", name)
-    return ranked.drop("_chunk", "_all") if by is None else ranked.drop("_chunk")
+    return _numbered(keyed, [by or "_all"], order, [], "ranks").withColumnRenamed("_pos", name).drop("_all")

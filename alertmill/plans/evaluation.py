@@ -580,8 +580,8 @@ def proj_length_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT i, seconds IS NOT NULL AND prompt_tokens IS NOT NULL AND NOT isnan(seconds) AS available,
   round(CASE WHEN seconds IS NOT NULL AND NOT isnan(seconds) AND prompt_tokens IS NOT NULL THEN exp(-seconds / 10) / (exp(-seconds / 10) + exp(-prompt_tokens / 1000)) END, 6) AS s,
-  CASE WHEN (seconds IS NULL OR isnan(seconds)) AND prompt_tokens IS NULL THEN 'both labels absent from the top list' WHEN prompt_tokens IS NULL THEN 'negative label absent from the top list'
-    WHEN seconds IS NULL OR isnan(seconds) THEN 'positive label absent from the top list' END AS reason FROM throughput_qwen3_4b""")
+  CASE WHEN (seconds IS NULL OR isnan(seconds)) AND prompt_tokens IS NULL THEN 'neither_listed' WHEN prompt_tokens IS NULL THEN 'negative_unlisted'
+    WHEN seconds IS NULL OR isnan(seconds) THEN 'positive_unlisted' END AS reason FROM throughput_qwen3_4b""")
 def proj_token_score(spark: SparkSession, d: str) -> DataFrame:
     """Token log-probabilities made up from latency and prompt length; the label texts share their first token."""
     t = table(spark, d, "throughput_qwen3_4b")

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _OWN_DIR = "alertmill.scratch.dir"
 
@@ -60,6 +61,11 @@ def materialize(df: DataFrame, what: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def table_as(written: DataFrame, spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """A table that materialize wrote, read with another schema of the same layout."""
+    return spark.read.schema(schema).parquet(*written.inputFiles()) if written.inputFiles() else spark.createDataFrame([], schema)
+
+
 def drop_tables(spark: SparkSession, since: int = 0) -> None:
     """Remove the tables written so far (from the since-th on): to be called once a query's result has been used."""
     while len(_TABLES) > since:

@@ -6,36 +6,37 @@ import hashlib
 import json
 import os
 import tempfile
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import valid_label
-from ..schema import FIELD_ORDER
+from ..operators.runlog import refuse_duplicates
+from ..operators.skew import number_runs
+from ..session import materialize
 
 _CORRUPT = "_corrupt_record"
 NULL_TEXT = r"\N"
 
 
-def read_array_file(spark: SparkSession, path: str, schema: T.StructType, sha256: str | None = None) -> DataFrame:
+def read_array_file(spark: SparkSession, path: str, schema: T.StructType, sha256: str | None = None, in_order: bool = False) -> DataFrame:
     """Rows of a file that is one JSON array, with row_index = position in it. A pinned hash must match, null or torn input raises.
 
-    One file is one array, so it is read whole; a dataset of many such files is read in parallel, file by file.
+    With in_order every object must have exactly the schema's fields, in its order. One file is one array, so it is read
+    whole; a dataset of many such files is read in parallel, file by file.
     """
     if sha256 is not None:
         got = file_hashes(spark, path).select("sha256").collect()
         if [r[0] for r in got] != [sha256]:
             raise ValueError(f"{path}: sha256 differs from the pin")
-    whole = spark.read.text(path, wholetext=True)
-    array = F.from_json("value", T.ArrayType(schema), {"mode": "FAILFAST"})
-    return whole.select(F.posexplode(array).alias("row_index", "r")).select("row_index", "r.*")
-
-
-def same_field_order(json_text: Column, extra: tuple[str, ...] = ()) -> Column:
-    """Whether the keys of a JSON object are exactly the alert's fields, in shipping order."""
-    return F.json_object_keys(json_text) == F.array(*[F.lit(f) for f in (*FIELD_ORDER, *extra)])
+    strict = {"mode": "FAILFAST"}
+    objects = F.from_json("value", T.ArrayType(T.StringType()), strict)
+    each = spark.read.text(path, wholetext=True).select(F.posexplode(objects).alias("row_index", "text"))
+    if in_order:
+        wrong = F.raise_error(F.concat(F.lit("fields differ from the pinned order in row "), F.col("row_index").cast("string"))).cast("string")
+        each = each.withColumn("text", F.when(F.json_object_keys("text") == F.array(*[F.lit(f) for f in schema.fieldNames()]), F.col("text")).otherwise(wrong))
+    return each.select("row_index", F.from_json("text", schema, strict).alias("r")).select("row_index", "r.*")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -79,30 +80,53 @@ def file_stem() -> Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
 
 
-def read_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad lines): nothing raises and nothing is written. A torn last line is one of the bad lines."""
+def numbered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, files): every line with file and line_no (from 1), and per file n_lines and torn: it ends without a newline.
+
+    Files may be split into blocks that different tasks read. Lines are counted within their block while they are read,
+    and only the counts of the blocks, a handful of numbers a file, are summed up across tasks. Lines end in a line feed.
+    """
+    where = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start", "file_size")]
+    read = spark.read.option("lineSep", "\n").text(path).select("value", *where)
+    counted = number_runs(read, ["file_path", "file_block_start"])
+    blocks = counted.groupBy("file_path", "file_block_start").agg(
+        F.max("_pos").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("file_size").alias("size")
+    )
+    blocks = materialize(blocks, "blocks")
+    before = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file_path", "file_block_start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    lines = counted.join(starts, ["file_path", "file_block_start"]).select(F.col("file_path").alias("file"), (F.col("_before") + F.col("_pos")).alias("line_no"), "value")
+    files = blocks.groupBy(F.col("file_path").alias("file")).agg(F.sum("n").alias("n_lines"), (F.sum("bytes") > F.max("size")).alias("torn"))
+    return lines, files
+
+
+def read_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(good rows, bad lines, files): nothing raises and nothing is written to the log.
+
+    Blank lines are skipped but counted. bad: file, line_no, value; files: file, n_lines, torn (the last line has no end).
+    """
     marked = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}).alias("r"))
+    lines, files = numbered_lines(spark, path)
+    parsed = lines.filter(F.trim("value") != "").withColumn("r", F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}))
     bad = F.col(f"r.{_CORRUPT}").isNotNull() | F.col("r").isNull()
-    return parsed.filter(~bad).select("r.*").drop(_CORRUPT), parsed.filter(bad).select("value")
+    return parsed.filter(~bad).select("r.*").drop(_CORRUPT), parsed.filter(bad).select("file", "line_no", "value"), files
 
 
-def recover_log(path: str, stamp: str) -> bool:
-    """Move the torn tail of a single append-only log file aside and cut it off. True if there was one.
+def recover_log(spark: SparkSession, path: str, schema: T.StructType, quarantine: str, on: str = "call_id") -> DataFrame:
+    """The calls of a log whose last lines may be torn; the torn ones are set aside in the folder ``quarantine``.
 
-    A file that ends in a newline is whole. The tail is kept beside the log as ``<name>.partial-<stamp>``.
+    Only an unfinished last line of a file may be bad: any other bad line raises, and so does a call that stands in the log
+    twice. The log itself is left alone; a session that goes on writes the returned rows to a log of its own.
     """
-    log = Path(path)
-    raw = log.read_bytes() if log.exists() else b""
-    if not raw or raw.endswith(b"\n"):
-        return False
-    keep = raw.rfind(b"\n") + 1
-    log.with_name(f"{log.name}.partial-{stamp}").write_bytes(raw[keep:])
-    with log.open("r+b") as f:
-        f.truncate(keep)
-        os.fsync(f.fileno())
-    return True
+    good, bad, files = read_tolerant(spark, path, schema)
+    last = files.filter("torn").select("file", F.col("n_lines").alias("line_no"))
+    worse = bad.join(last, ["file", "line_no"], "left_anti").limit(5).collect()
+    if worse:
+        raise ValueError(f"bad lines: {[(r['file'], r['line_no']) for r in worse]}")
+    tails = bad.join(last, ["file", "line_no"], "left_semi")
+    if not tails.isEmpty():
+        tails.write.mode("append").json(quarantine)
+    return refuse_duplicates(good, on)
 
 
 def append_durably(path: str, record: dict) -> None:
@@ -113,9 +137,24 @@ def append_durably(path: str, record: dict) -> None:
         os.fsync(f.fileno())
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of every file, computed where the files are read."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, sha256) of every file. Each is streamed in pieces by one task, so its size has no bound."""
+
+    def hashed(batches):  # noqa: ANN001, ANN202
+        from pyarrow import fs
+
+        for b in batches:
+            sums = []
+            for uri in b["path"]:
+                store, name = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri)
+                digest = hashlib.sha256()
+                with store.open_input_stream(name) as f:
+                    while piece := f.read(1 << 22):
+                        digest.update(piece)
+                sums.append(digest.hexdigest())
+            yield b[["path"]].assign(sha256=sums)
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(hashed, "path string, sha256 string")
 
 
 def sha256_text(text: str) -> str:

@@ -43,11 +43,11 @@ def test_token_score(spark):
     top = [(7, math.log(0.6)), (8, math.log(0.2))]
     s = score(spark, [(7, top)], [7], [8])
     assert s["available"] and s["s"] == pytest.approx(0.75)
-    assert score(spark, [], [7], [8])["reason"] == "fewer than k generated positions"
-    assert score(spark, [(7, top[:1])], [7], [8])["reason"] == "negative label absent from the top list"
-    assert score(spark, [(7, top[1:])], [7], [8])["reason"] == "positive label absent from the top list"
-    assert score(spark, [(7, [])], [7], [8])["reason"] == "both labels absent from the top list"
-    assert score(spark, [(9, top), (7, top)], [5, 7], [5, 8])["reason"] == "generated prefix differs from shared label prefix"
+    assert score(spark, [], [7], [8])["reason"] == "output_ends_early"
+    assert score(spark, [(7, top[:1])], [7], [8])["reason"] == "negative_unlisted"
+    assert score(spark, [(7, top[1:])], [7], [8])["reason"] == "positive_unlisted"
+    assert score(spark, [(7, [])], [7], [8])["reason"] == "neither_listed"
+    assert score(spark, [(9, top), (7, top)], [5, 7], [5, 8])["reason"] == "other_prefix"
     assert score(spark, [(5, top), (7, top)], [5, 7], [5, 8, 1])["available"]
 
 

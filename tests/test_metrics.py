@@ -150,7 +150,7 @@ def test_tfidf_query_scores_every_row_under_every_condition(spark, monkeypatch):
     got = evaluation.QUERIES["m4_tfidf"](spark, d).select("uid", "condition").collect()
     uids = {r["uid"] for r in frame(spark, d).collect()}
     assert sorted(map(tuple, got)) == sorted((u, c) for u in uids for c in "abc")
-    assert fits == [(1 << 16, 100, len(uids), 0)] * 15
+    assert fits == [(1 << 20, 100, len(uids), 0)] * 15
 
 
 def test_tfidf_cross_fit_learns_from_the_other_folds(spark):
