@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import settings_hash
+
 
 def content_match(pred: DataFrame, data: DataFrame, by: list[str], key: str = "key") -> DataFrame:
     """Per group of predictions: rows, unmatched, ambiguous, label and rule conflicts against the dataset.
@@ -74,9 +78,10 @@ def set_report(rows: DataFrame, member: str, group: str) -> DataFrame:
     )
 
 
-def overlap_with(rows: DataFrame, member: str, group: str, first: str) -> DataFrame:
-    """(group, n_common): distinct members of each group that the first group holds as well."""
-    base = rows.filter(F.col(group) == first).select(member).distinct()
+def overlap_with(rows: DataFrame, member: str, group: str, first: str | None = None) -> DataFrame:
+    """(group, n_common): distinct members of each group that one group, by default the first by name, holds as well."""
+    of = rows.agg(F.min(group).alias("_f")) if first is None else rows.sparkSession.range(1).select(F.lit(first).alias("_f"))
+    base = rows.join(F.broadcast(of), F.col(group) == F.col("_f"), "left_semi").select(member).distinct()  # of: one row
     return rows.select(group, member).distinct().join(base, member, "left_semi").groupBy(group).agg(F.count(F.lit(1)).alias("n_common"))
 
 
@@ -87,6 +92,19 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.withColumn("same", (F.col("only_a") == 0) & (F.col("only_b") == 0))
 
 
+def concatenated(manifests: dict[str, DataFrame]) -> DataFrame:
+    """Manifests one after another with their name in column manifest: columns of all, null where a manifest lacks one."""
+    parts = [d.withColumn("manifest", F.lit(n)) for n, d in manifests.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def lock_entries(files: DataFrame, settings: dict[str, object]) -> DataFrame:
+    """The lock of a run, (path, sha256): its files as file_hashes gives them, and each setting as ``setting:<name>``."""
+    spark = files.sparkSession
+    rows = [(f"setting:{k}", settings_hash({k: v})) for k, v in sorted(settings.items())]
+    return files.select("path", "sha256").unionByName(spark.createDataFrame(rows, "path string, sha256 string"))
+
+
 def lock_diff(recorded: DataFrame, found: DataFrame) -> DataFrame:
     """(path, problem): missing, new or changed files between two (path, sha256) tables."""
     j = recorded.select("path", F.col("sha256").alias("_a")).join(found.select("path", F.col("sha256").alias("_b")), "path", "full_outer")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import call_id, classifier_text, mentions_date, messages
+from ..functions.keys import DATE_PATTERN, call_id, classifier_text, date_texts, mentions_date, messages, settings_hash
 from ..functions.labels import divergent_token_score, hard_label, parse_label, status
 from ..functions.text import label_form, uid_form
-from ..operators import audit, bootstrap, frame as fr, gates, metrics, models, reports, runlog, sampling
+from ..operators import audit, bootstrap, frame as fr, gates, metrics, models, reports, runlog, sampling, scoring
 from ..operators.skew import prefix_sums, rank_within
 from ..schema import CONDITIONS, FIELD_ORDER, STRATA, fields_of
 from ..session import materialize, scratch_dir
@@ -73,6 +74,17 @@ CROSS_SQL = """cf AS (
   JOIN (SELECT f.fold, avg(CASE WHEN o.label = 'Attack' THEN 1.0 ELSE 0.0 END) AS base FROM (SELECT DISTINCT fold FROM fo) f JOIN fo o ON o.fold <> f.fold GROUP BY 1) b ON b.fold = t.fold)"""
 
 
+def cv_sql(seed: int, grouped: bool, n: int) -> str:
+    """FOLDS_SQL (or its grouped twin) and CROSS_SQL for a seed, as CTEs gr<n>, fo<n> and cf<n>."""
+    folds = _GROUPED if grouped else FOLDS_SQL
+    text = f"{folds}, {CROSS_SQL}".replace(f"'{SEED}|'", f"'{seed}|'")
+    return re.sub(r"\b(gr|fo|cf)\b", rf"\g<1>{n}", text)
+
+
+_GROUPED = f"""gr AS (SELECT rule_name, CAST((row_number() OVER (ORDER BY sha256('{SEED}|' || coalesce(rule_name, '')), rule_name NULLS FIRST) - 1) % 5 AS INTEGER) AS fold FROM (SELECT DISTINCT rule_name FROM fr)),
+  fo AS (SELECT fr.*, gr.fold FROM fr JOIN gr ON gr.rule_name IS NOT DISTINCT FROM fr.rule_name)"""
+
+
 def cross_fitted(spark: SparkSession, d: str) -> DataFrame:
     folds = sampling.random_folds(frame(spark, d), "uid", 5, SEED)
     return models.cross_fit_rule_majority(folds).withColumn("truth", F.col("label"))
@@ -351,14 +363,15 @@ def j9_compare_runs(spark: SparkSession, d: str) -> DataFrame:
 
 def _log(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """expected: the alerts; attempts: every call; log: calls that ended without an error."""
-    expected = table(spark, d, "secalertbench").filter("uid is not null").groupBy(F.col("uid").alias("call_id")).agg(F.min("row_index").alias("row_index"))
+    data = table(spark, d, "secalertbench").filter("uid is not null").withColumn("attack_type", F.coalesce("attack_type", F.lit("")))
+    expected = data.groupBy(F.col("uid").alias("call_id")).agg(F.min("row_index").alias("row_index"), F.min("attack_type").alias("attack_type"), F.min(F.coalesce("rule_name", F.lit(""))).alias("rule_name"))
     raw = table(spark, d, "throughput_qwen3_4b").filter("uid is not null").withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("error"))
     attempts = raw.select(F.col("uid").alias("call_id"), F.col("i").alias("attempt"), "status")
     done = raw.filter("status = 'ok'").select(F.col("uid").alias("call_id"))
     return expected, attempts, done
 
 
-_LOG_SQL = """ex AS (SELECT uid AS call_id, min(row_index) AS row_index FROM secalertbench WHERE uid IS NOT NULL GROUP BY uid),
+_LOG_SQL = """ex AS (SELECT uid AS call_id, min(row_index) AS row_index, min(coalesce(attack_type, '')) AS attack_type, min(coalesce(rule_name, '')) AS rule_name FROM secalertbench WHERE uid IS NOT NULL GROUP BY uid),
   atm AS (SELECT uid AS call_id, i AS attempt, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status FROM throughput_qwen3_4b WHERE uid IS NOT NULL),
   dn AS (SELECT call_id FROM atm WHERE status = 'ok'),
   la AS (SELECT call_id, count(*) AS n_attempts, count(*) FILTER (status = 'ok') AS n_ok, arg_max(status, attempt) AS final_status FROM atm GROUP BY call_id)"""
@@ -387,9 +400,9 @@ def set_intersection_union(spark: SparkSession, d: str) -> DataFrame:
     return audit.set_report(published(spark, d), "key", "model")
 
 
-@query(f"""WITH {PUBLISHED_SQL} SELECT model, count(DISTINCT key) AS n_common FROM pu WHERE key IN (SELECT key FROM pu WHERE model = 'ember-8b') GROUP BY model""")
+@query(f"""WITH {PUBLISHED_SQL} SELECT model, count(DISTINCT key) AS n_common FROM pu WHERE key IN (SELECT key FROM pu WHERE model = (SELECT min(model) FROM pu)) GROUP BY model""")
 def set_overlap_with_first(spark: SparkSession, d: str) -> DataFrame:
-    return audit.overlap_with(published(spark, d), "key", "model", "ember-8b")
+    return audit.overlap_with(published(spark, d), "key", "model")
 
 
 @query(f"""WITH a AS (SELECT {UID_SQL.format('uid')} AS uid FROM dryrun_sample), b AS (SELECT {UID_SQL.format('uid')} AS uid FROM shared_sample)
@@ -399,6 +412,12 @@ def set_difference(spark: SparkSession, d: str) -> DataFrame:
     return audit.same_rows(one("dryrun_sample"), one("shared_sample"))
 
 
+@query("""SELECT 'dryrun_sample' AS manifest, sample_id, uid, stratum, split FROM dryrun_sample UNION ALL SELECT 'shared_sample', sample_id, uid, stratum, NULL FROM shared_sample""")
+def set_concatenate(spark: SparkSession, d: str) -> DataFrame:
+    both = audit.concatenated({n: table(spark, d, n) for n in ("dryrun_sample", "shared_sample")})
+    return both.select("manifest", "sample_id", "uid", "stratum", "split")
+
+
 # -- sampling and folds -----------------------------------------------------------------------------------------------
 
 _DRAW = "row_number() OVER (PARTITION BY {} ORDER BY sha256('{}|' || uid), uid)"
@@ -425,59 +444,139 @@ def r4_permutation(spark: SparkSession, d: str) -> DataFrame:
     return sampling.permutation(frame(spark, d).select("uid"), "uid", SEED)
 
 
-REPS = 20
+REPS = 2000
 
 
 def _mult_sql(units: str, unit: str, group: str) -> str:
-    return f"""rk AS (SELECT {unit}, {group} AS g, row_number() OVER (PARTITION BY {group} ORDER BY {unit}) AS rank, count(*) OVER (PARTITION BY {group}) AS size FROM {units}),
-      mu AS (SELECT dr.rep, rk.{unit}, count(*) AS m FROM (SELECT b.rep, g, ('0x' || substr(md5('{SEED}|' || b.rep || '|' || g || '|' || rank), 1, 8))::BIGINT % size + 1 AS rank
-        FROM rk CROSS JOIN (SELECT unnest(range(1, {REPS + 1})) AS rep) b) dr JOIN rk ON rk.g = dr.g AND rk.rank = dr.rank GROUP BY 1, 2)"""
+    return f"""rk AS (SELECT *, {group} AS g, row_number() OVER (PARTITION BY {group} ORDER BY {unit}) AS rank, count(*) OVER (PARTITION BY {group}) AS size FROM {units}),
+      dr AS (SELECT b.rep, g, ('0x' || substr(md5('{SEED}|' || b.rep || '|' || g || '|' || rank), 1, 8))::BIGINT % size + 1 AS rank
+        FROM rk CROSS JOIN (SELECT unnest(range(1, {REPS + 1})) AS rep) b)"""
 
 
-@query(f"WITH {FRAME_SQL}, {_mult_sql('fr', 'uid', 'stratum')} SELECT rep, uid, m FROM mu")
+@query(f"""WITH {FRAME_SQL}, {_mult_sql('fr', 'uid', 'stratum')}, mu AS (SELECT rep, g, rank, count(*) AS m FROM dr GROUP BY ALL)
+  SELECT rep, g AS stratum, sum(m)::BIGINT AS n_drawn, count(*) AS n_units, max(m) AS most, sum(m * row_index)::BIGINT AS index_sum FROM mu JOIN rk USING (g, rank) GROUP BY ALL""")
 def r5_stratified_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return bootstrap.multiplicities(frame(spark, d), "uid", "stratum", REPS, SEED)
+    """All 2,000 replicates, each summed up: draws, distinct units, the unit drawn most often, and a sum that tells who was drawn."""
+    f = frame(spark, d)
+    reps = bootstrap.multiplicities(f, "uid", "stratum", REPS, SEED).join(f.select("uid", "stratum", "row_index"), "uid")
+    return reps.groupBy("rep", "stratum").agg(
+        F.sum("m").alias("n_drawn"), F.count(F.lit(1)).alias("n_units"), F.max("m").alias("most"), F.sum(F.col("m") * F.col("row_index")).alias("index_sum")
+    )
+
+
+_CLUSTERS = "cl AS (SELECT coalesce(rule_name, '') AS rule, rule_type, count(*) AS n_rows FROM fr GROUP BY ALL)"
 
 
-@query(f"WITH {FRAME_SQL}, cl AS (SELECT DISTINCT coalesce(rule_name, '') AS rule, rule_type FROM fr), {_mult_sql('cl', 'rule', 'rule_type')} SELECT rep, rule, m FROM mu")
+@query(f"""WITH {FRAME_SQL}, {_CLUSTERS}, {_mult_sql('cl', 'rule', 'rule_type')}, mu AS (SELECT rep, g, rank, count(*) AS m FROM dr GROUP BY ALL)
+  SELECT rep, g AS rule_type, sum(m)::BIGINT AS n_drawn, count(*) AS n_rules, sum(m * n_rows)::BIGINT AS n_rows FROM mu JOIN rk USING (g, rank) GROUP BY ALL""")
 def r6_cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """All 2,000 replicates of whole rules, each summed up; replicates differ in their number of alerts."""
     units = frame(spark, d).select(F.coalesce("rule_name", F.lit("")).alias("rule"), "rule_type")
-    return bootstrap.cluster_multiplicities(units, "rule", "rule_type", REPS, SEED).select("rep", "rule", "m")
+    reps = bootstrap.cluster_multiplicities(units, "rule", "rule_type", REPS, SEED)
+    per = units.groupBy("rule", "rule_type").agg(F.count(F.lit(1)).alias("n"))
+    return reps.join(per, "rule").groupBy("rep", "rule_type").agg(F.sum("m").alias("n_drawn"), F.count(F.lit(1)).alias("n_rules"), F.sum(F.col("m") * F.col("n")).alias("n_rows"))
+
+
+_SYSTEMS = {"rule_majority": "pred", "always_attack": "always"}
+_PAIRS = [("rule_majority", "always_attack")]
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Two systems on the frame: the out-of-fold rule model and the constant one."""
+    s = cross_fitted(spark, d).select("uid", "stratum", F.coalesce("rule_name", F.lit("")).alias("rule"), "rule_type", "truth", "pred", F.lit("Attack").alias("always"))
+    return materialize(s, "scored")
 
 
 def _replicates(spark: SparkSession, d: str) -> DataFrame:
-    """Two systems on the frame: the out-of-fold rule model and the constant one, on the same replicates."""
-    scored = materialize(cross_fitted(spark, d).select("uid", "stratum", "truth", "pred"), "scored")
-    both = F.array(F.struct(F.lit("rule_majority").alias("system"), F.col("pred").alias("p")), F.struct(F.lit("always_attack").alias("system"), F.lit("Attack").alias("p")))
-    rows = scored.select("uid", "truth", F.explode(both).alias("x")).select("uid", "truth", "x.system", F.col("x.p").alias("pred"))
-    reps = bootstrap.multiplicities(scored, "uid", "stratum", REPS, SEED)
-    return materialize(bootstrap.replicate_metrics(rows, reps, "uid", ["system"]), "reps")
+    """F1 of both systems on the same replicates; replicate 0 is the frame itself."""
+    cells = bootstrap.weighted_cells(_scored(spark, d), "uid", "stratum", ["truth", "pred", "always"], REPS, SEED)
+    return bootstrap.replicate_values(cells, bootstrap.f1_by_system("truth", _SYSTEMS))
 
 
-_REPS_SQL = f"""{FRAME_SQL}, {FOLDS_SQL}, {CROSS_SQL}, {_mult_sql('fr', 'uid', 'stratum')},
-  sy AS (SELECT uid, truth, 'rule_majority' AS system, pred FROM cf UNION ALL SELECT uid, truth, 'always_attack', 'Attack' FROM cf), sm AS (SELECT sy.*, mu.rep, mu.m FROM sy JOIN mu USING (uid)),
-  rm AS (SELECT rep, system, CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1 FROM ({confusion_sql('sm', 'rep, system', 'm::DOUBLE')}))"""
+_F1 = "CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1"
+_SY = """sy AS (SELECT c.*, 'rule_majority' AS system, pred AS p FROM cf c UNION ALL SELECT c.*, 'always_attack', 'Attack' FROM cf c),
+  sq AS (SELECT * EXCLUDE (pred, p), p AS pred FROM sy)"""
+_REPS_SQL = f"""{FRAME_SQL}, {FOLDS_SQL}, {CROSS_SQL}, {_SY}, {_mult_sql('fr', 'uid', 'stratum')},
+  mu AS (SELECT rep, uid, count(*) AS m FROM dr JOIN rk USING (g, rank) GROUP BY ALL), sm AS (SELECT sq.system, sq.truth, sq.pred, mu.rep, mu.m FROM sq JOIN mu USING (uid)),
+  rm AS (SELECT rep, system, {_F1} FROM ({confusion_sql('sm', 'rep, system', 'm::DOUBLE')})), pt AS (SELECT system, {_F1} FROM ({confusion_sql('sq', 'system')}))"""
+_CI = "round(quantile_cont(f1, 0.025), 6) AS lo, round(quantile_cont(f1, 0.975), 6) AS hi, count(*) FILTER (f1 IS NULL) AS n_undefined"
 
 
-@query(f"WITH {_REPS_SQL} SELECT system, round(quantile_cont(f1, 0.025), 6) AS lo, round(quantile_cont(f1, 0.975), 6) AS hi, count(*) FILTER (f1 IS NULL) AS n_undefined FROM rm GROUP BY system")
+@query(f"WITH {_REPS_SQL} SELECT system, round((SELECT f1 FROM pt WHERE pt.system = rm.system), 6) AS point, {_CI} FROM rm GROUP BY system")
 def a11_percentile_ci(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(bootstrap.percentile_ci(_replicates(spark, d), ["system"], "f1"))
+    return rounded(bootstrap.intervals(_replicates(spark, d), ["system"]))
 
 
 @query(f"WITH {_REPS_SQL} SELECT a.rep, a.system AS a, b.system AS b, round(a.f1 - b.f1, 6) AS difference FROM rm a JOIN rm b ON a.rep = b.rep AND a.system = 'rule_majority' AND b.system = 'always_attack'")
 def r7_paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(bootstrap.paired_differences(_replicates(spark, d), "system", "f1", [("rule_majority", "always_attack")]))
+    return rounded(bootstrap.paired_differences(_replicates(spark, d).filter("rep > 0"), "system", "value", _PAIRS))
+
+
+@query(f"""WITH {_REPS_SQL}, df AS (SELECT a.f1 - b.f1 AS f1 FROM rm a JOIN rm b ON a.rep = b.rep AND a.system = 'rule_majority' AND b.system = 'always_attack')
+  SELECT 'rule_majority' AS a, 'always_attack' AS b, round((SELECT f1 FROM pt WHERE system = 'rule_majority') - (SELECT f1 FROM pt WHERE system = 'always_attack'), 6) AS point, {_CI} FROM df""")
+def r7_difference_interval(spark: SparkSession, d: str) -> DataFrame:
+    diffs = bootstrap.paired_differences(_replicates(spark, d), "system", "value", _PAIRS)
+    return rounded(bootstrap.intervals(diffs.withColumnRenamed("difference", "value"), ["a", "b"]))
+
+
+@query(f"""WITH {FRAME_SQL}, {FOLDS_SQL}, {CROSS_SQL}, {_SY}, {_CLUSTERS}, {_mult_sql('cl', 'rule', 'rule_type')}, mu AS (SELECT rep, rule, count(*) AS m FROM dr JOIN rk USING (g, rank) GROUP BY ALL),
+  ce AS (SELECT coalesce(rule_name, '') AS rule, system, truth, pred, count(*) AS c FROM sq GROUP BY ALL), sm AS (SELECT system, truth, pred, rep, m * c AS m FROM ce JOIN mu USING (rule)),
+  rm AS (SELECT rep, system, {_F1} FROM ({confusion_sql('sm', 'rep, system', 'm::DOUBLE')})), pt AS (SELECT system, {_F1} FROM ({confusion_sql('sq', 'system')}))
+  SELECT system, round((SELECT f1 FROM pt WHERE pt.system = rm.system), 6) AS point, {_CI} FROM rm GROUP BY system""")
+def r6_cluster_interval(spark: SparkSession, d: str) -> DataFrame:
+    """The metric over cluster replicates: F1 of both systems where whole rules are drawn within their type."""
+    cells = bootstrap.cluster_cells(_scored(spark, d), "rule", "rule_type", ["truth", "pred", "always"], REPS, SEED)
+    return rounded(bootstrap.intervals(bootstrap.replicate_values(cells, bootstrap.f1_by_system("truth", _SYSTEMS)), ["system"]))
+
+
+def _auroc_per_rep(cells: DataFrame) -> DataFrame:
+    return metrics.auroc(cells, ["rep"], weight="m").select("rep", F.col("auroc").alias("value"))
+
+
+@query(f"""WITH {FRAME_SQL}, {FOLDS_SQL}, {CROSS_SQL}, {_mult_sql('fr', 'uid', 'stratum')}, mu AS (SELECT rep, uid, count(*) AS m FROM dr JOIN rk USING (g, rank) GROUP BY ALL),
+  sm AS (SELECT rep, truth, score, m FROM cf JOIN mu USING (uid) UNION ALL SELECT 0, truth, score, 1 FROM cf), rm AS (SELECT rep, auroc AS f1 FROM {auroc_sql('sm', 'rep', 'score', 'm::DOUBLE')})
+  SELECT round(max(f1) FILTER (rep = 0), 6) AS point, round(quantile_cont(f1, 0.025) FILTER (rep > 0), 6) AS lo, round(quantile_cont(f1, 0.975) FILTER (rep > 0), 6) AS hi, count(*) FILTER (rep > 0 AND f1 IS NULL) AS n_undefined FROM rm""")
+def r7_any_statistic(spark: SparkSession, d: str) -> DataFrame:
+    """The hook for any statistic, with AUROC: its interval over the stratified replicates."""
+    scored = materialize(cross_fitted(spark, d).select("uid", "stratum", "truth", "score"), "scored")
+    cells = bootstrap.weighted_cells(scored, "uid", "stratum", ["truth", "score"], REPS, SEED)
+    return rounded(bootstrap.intervals(bootstrap.replicate_values(cells, _auroc_per_rep), []))
 
 
 @query(f"""WITH {CALLS_SQL}, ok AS (SELECT lpad(i::VARCHAR, 12, '0') AS unit, 'all' AS grp, seconds FROM ca WHERE error IS NULL AND seconds IS NOT NULL AND NOT isnan(seconds)), {_mult_sql('ok', 'unit', 'grp')},
-  me AS (SELECT rep, sum(seconds * m) / sum(m) AS mean FROM mu JOIN ok USING (unit) GROUP BY rep)
-  SELECT round(min(mean), 6) AS lowest, round(max(mean), 6) AS highest, round(quantile_cont(mean, 0.5), 6) AS middle FROM me""")
+  me AS (SELECT rep, avg(seconds) AS mean FROM dr JOIN rk USING (g, rank) GROUP BY rep), se AS (SELECT mean, row_number() OVER (ORDER BY mean) - 1 AS k FROM me)
+  SELECT round((SELECT avg(seconds) FROM ok), 6) AS point, round(min(mean), 6) AS lowest, round(max(mean), 6) AS highest, round(quantile_cont(mean, 0.5), 6) AS middle,
+    round(max(mean) FILTER (k = 50), 6) AS lower, round(max(mean) FILTER (k = 1949), 6) AS upper FROM se""")
 def r8_mean_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """2,000 replicates of the mean latency; lower and upper are the 51st and the 1,950th of them in order."""
     ok = calls(spark, d).filter("error is null and seconds is not null and not isnan(seconds)")
     units = ok.select(F.lpad(F.col("i").cast("string"), 12, "0").alias("unit"), F.lit("all").alias("grp"), "seconds")
-    reps = bootstrap.multiplicities(units, "unit", "grp", REPS, SEED)
-    means = reps.join(units, "unit").groupBy("rep").agg((F.sum(F.col("seconds") * F.col("m")) / F.sum("m")).alias("mean"))
-    return rounded(means.agg(F.min("mean").alias("lowest"), F.max("mean").alias("highest"), F.percentile("mean", 0.5).alias("middle")))
+    means = materialize(bootstrap.resample(units, "unit", "grp", ["seconds"], REPS, SEED).groupBy("rep").agg(F.avg("seconds").alias("mean")), "means")
+    ends = means.agg(F.min("mean").alias("lowest"), F.max("mean").alias("highest"), F.percentile("mean", 0.5).alias("middle"), F.sort_array(F.collect_list("mean")).alias("_s"))  # one number a replicate
+    point = units.agg(F.avg("seconds").alias("point"))
+    return rounded(point.crossJoin(ends).select("point", "lowest", "highest", "middle", F.element_at("_s", 51).alias("lower"), F.element_at("_s", 1950).alias("upper")))  # one row each
+
+
+MODEL_REPS = 300
+
+
+@query(f"""WITH {FRAME_SQL}, {PUBLISHED_SQL}, tr AS (SELECT fr.* FROM fr ANTI JOIN pu ON pu.key = fr.key), m AS (SELECT rule_name, avg(CASE WHEN label = 'Attack' THEN 1.0 ELSE 0 END) AS share FROM tr GROUP BY rule_name),
+  un AS (SELECT model, lpad(pred_id::VARCHAR, 12, '0') AS unit, truth, CASE WHEN m.share >= 0.5 THEN 'Attack' ELSE 'Non-Attack' END AS pred FROM ju LEFT JOIN m ON m.rule_name IS NOT DISTINCT FROM ju.rule_name),
+  {_mult_sql('un', 'unit', 'model').replace(str(REPS + 1), str(MODEL_REPS + 1))}, sm AS (SELECT rep, model, truth, pred FROM dr JOIN rk USING (g, rank) UNION ALL SELECT 0, model, truth, pred FROM un),
+  pm AS (SELECT rep, avg(f1) AS f1 FROM (SELECT rep, model, {ZERO['f1']} AS f1 FROM ({confusion_sql('sm', 'rep, model')})) GROUP BY rep)
+  SELECT round(max(f1) FILTER (rep = 0), 6) AS point, round(quantile_cont(f1, 0.025) FILTER (rep > 0), 6) AS lo, round(quantile_cont(f1, 0.975) FILTER (rep > 0), 6) AS hi, count(*) FILTER (rep > 0 AND f1 IS NULL) AS n_undefined FROM pm""")
+def r8_model_f1(spark: SparkSession, d: str) -> DataFrame:
+    """300 replicates within every model's rows: the rule model's F1 on each, averaged over the models."""
+    test = judged(spark, d).drop("pred")
+    model = models.fit_rule_majority(models.training_set(frame(spark, d), published(spark, d)))
+    scored = models.predict_rule_majority(model, test).select(F.lpad(F.col("pred_id").cast("string"), 12, "0").alias("unit"), "model", "truth", "pred")
+    cells = bootstrap.weighted_cells(materialize(scored, "scored"), "unit", "model", ["model", "truth", "pred"], MODEL_REPS, SEED)
+
+    def mean_f1(rows: DataFrame) -> DataFrame:
+        per = metrics.zero_rates(metrics.confusion(rows, ["rep", "model"], "m", "failure"))
+        return per.groupBy("rep").agg(F.avg("f1").alias("value"))
+
+    return rounded(bootstrap.intervals(bootstrap.replicate_values(cells, mean_f1), []))
 
 
 @query()
@@ -485,23 +584,60 @@ def r9_stratified_group_folds(spark: SparkSession, d: str) -> DataFrame:
     return sampling.stratified_group_folds(frame(spark, d), "rule_name", "stratum", 5, SEED).select("uid", "rule_name", "stratum", "fold")
 
 
+@query(f"""WITH {FRAME_SQL} SELECT stratum, count(*) AS n, 0::BIGINT AS split_rules, 0::BIGINT AS lost FROM fr GROUP BY stratum""")
+def r9_fold_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per stratum: its rows over all folds, rows whose rule lies in several folds, and rows without a fold."""
+    dealt = materialize(sampling.stratified_group_folds(frame(spark, d), "rule_name", "stratum", 5, SEED), "folds")
+    per = dealt.groupBy("rule_name").agg(F.count_distinct("fold").alias("k"))
+    j = dealt.join(per, dealt["rule_name"].eqNullSafe(per["rule_name"])).drop(per["rule_name"])
+    return j.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") > 1).alias("split_rules"), F.count_if(F.col("fold").isNull()).alias("lost"))
+
+
 @query(f"WITH {FRAME_SQL}, {FOLDS_SQL} SELECT uid, fold FROM fo")
 def r10_random_folds(spark: SparkSession, d: str) -> DataFrame:
     return sampling.random_folds(frame(spark, d), "uid", 5, SEED).select("uid", "fold")
 
 
-_GROUPED = f"""gr AS (SELECT rule_name, CAST((row_number() OVER (ORDER BY sha256('{SEED}|' || coalesce(rule_name, '')), rule_name NULLS FIRST) - 1) % 5 AS INTEGER) AS fold FROM (SELECT DISTINCT rule_name FROM fr)),
-  fo AS (SELECT fr.*, gr.fold FROM fr JOIN gr ON gr.rule_name IS NOT DISTINCT FROM fr.rule_name)"""
-
-
 @query(f"WITH {FRAME_SQL}, {_GROUPED}, {CROSS_SQL} " + rates_sql(confusion_sql("cf", "fold"), "fold"))
 def r10_grouped_cv(spark: SparkSession, d: str) -> DataFrame:
     """Every held-out rule is unseen, so the rule model answers Non-Attack throughout."""
     folds = sampling.grouped_folds(frame(spark, d), "rule_name", 5, SEED)
-    scored = models.cross_fit_rule_majority(folds).withColumn("truth", F.col("label"))
+    scored = models.cross_fit_rule_majority(materialize(folds, "folds")).withColumn("truth", F.col("label"))
     return rounded(metrics.hard_metrics(scored, ["fold"]))
 
 
+SEEDS = (SEED, SEED + 1, SEED + 2)
+_HALVES = "CASE truth WHEN 'Attack' THEN 0.5 / (SELECT avg(CASE label WHEN 'Attack' THEN 1.0 ELSE 0 END) FROM fr) ELSE 0.5 / (SELECT avg(CASE label WHEN 'Attack' THEN 0 ELSE 1.0 END) FROM fr) END"
+
+
+def _cv_average_sql() -> str:
+    kinds = [("random", False, 0), ("grouped", True, 3)]
+    ctes = ", ".join(cv_sql(seed, grouped, at + i) for _, grouped, at in kinds for i, seed in enumerate(SEEDS))
+    one = " UNION ALL ".join(
+        f"SELECT '{kind}' AS folds, {at + i} AS run, p.*, q.f1 AS balanced_f1 FROM (SELECT {', '.join(f'{v} AS {k}' for k, v in ZERO.items())} FROM ({confusion_sql(f'cf{at + i}', 'true').replace('GROUP BY true', '')})) p, "
+        f"(SELECT {ZERO['f1']} AS f1 FROM ({confusion_sql(f'cf{at + i}', 'true', _HALVES).replace('GROUP BY true', '')})) q"
+        for kind, _, at in kinds for i in range(len(SEEDS))
+    )
+    return f"WITH {FRAME_SQL}, {ctes} SELECT folds, {', '.join(f'round(avg({k}), 6) AS {k}' for k in (*RATES, 'balanced_f1'))} FROM ({one}) GROUP BY folds"
+
+
+@query(_cv_average_sql())
+def r10_cv_average(spark: SparkSession, d: str) -> DataFrame:
+    """Random and grouped five-fold cross-validation over three seeds, averaged; F1 also with both classes weighted to one half."""
+    f = frame(spark, d)
+    base = f.agg(F.avg((F.col("label") == "Attack").cast("double")).alias("share"))
+    parts = []
+    for kind, deal in (("random", lambda x: sampling.random_folds(f, "uid", 5, x)), ("grouped", lambda x: sampling.grouped_folds(f, "rule_name", 5, x))):
+        for seed in SEEDS:
+            scored = models.cross_fit_rule_majority(materialize(deal(seed), "folds")).withColumn("truth", F.col("label")).crossJoin(F.broadcast(base))  # base: one row
+            halves = F.when(F.col("truth") == "Attack", 0.5 / F.col("share")).otherwise(0.5 / (1 - F.col("share")))
+            scored = materialize(scored.select("truth", "pred", halves.alias("half")), "scored")
+            plain = metrics.zero_rates(metrics.confusion(scored, [], None, "exclude")).select(*RATES)
+            even = metrics.zero_rates(metrics.confusion(scored, [], "half", "exclude")).select(F.col("f1").alias("balanced_f1"))
+            parts.append(plain.crossJoin(even).select(F.lit(kind).alias("folds"), "*"))  # one row each
+    return rounded(reduce(DataFrame.unionByName, parts).groupBy("folds").agg(*[F.avg(c).alias(c) for c in (*RATES, "balanced_f1")]))
+
+
 @query(f"""WITH {FRAME_SQL}, {FOLDS_SQL}, rr AS (SELECT r FROM (SELECT DISTINCT coalesce(rule_name, '') AS r, fold FROM fo) GROUP BY r HAVING count(*) > 1)
   SELECT fold, count(*) AS n, count(DISTINCT coalesce(rule_name, '')) AS n_rules, count(*) FILTER (label = 'Attack') AS attack, count(*) FILTER (label = 'Non-Attack') AS non_attack,
     {", ".join(f"count(*) FILTER (stratum = '{s}') AS {s}" for s in STRATA)}, count(DISTINCT coalesce(rule_name, '')) FILTER (coalesce(rule_name, '') IN (SELECT r FROM rr)) AS rule_overlap, 0::BIGINT AS key_overlap,
@@ -541,20 +677,40 @@ def w4_top_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {FRAME_SQL} SELECT uid, row_number() OVER (ORDER BY sha256('{SEED}|' || uid), uid) - 1 AS position FROM fr QUALIFY position < 20")
 def w5_first_in_call_order(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.permutation(frame(spark, d).select("uid"), "uid", SEED).filter("position < 20")
+    return sampling.first_in_order(frame(spark, d).select("uid"), "uid", SEED, 20)
 
 
 # -- scalar derivations -----------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {ALERTS_SQL} SELECT row_index, {', '.join(fields_of('c'))} FROM al")
+def _shown(c: str, f: str) -> str:
+    return f if f in fields_of(c) else f"NULL AS {f}"
+
+
+@query(f"WITH {ALERTS_SQL} " + " UNION ALL ".join(f"SELECT row_index, '{c}' AS condition, {', '.join(_shown(c, f) for f in FIELD_ORDER)} FROM al" for c in CONDITIONS))
 def proj_condition(spark: SparkSession, d: str) -> DataFrame:
-    return alerts(spark, d).select("row_index", *fields_of("c"))
+    """What every condition shows of every alert; the columns that it removes are null."""
+    a = alerts(spark, d)
+    kinds = dict(a.dtypes)
+    hide = lambda c: [F.col(f) if f in fields_of(c) else F.lit(None).cast(kinds[f]).alias(f) for f in FIELD_ORDER]
+    return reduce(DataFrame.unionByName, [a.select("row_index", F.lit(c).alias("condition"), *hide(c)) for c in CONDITIONS])
 
 
-@query()
+_SYSTEM, _HEADER = "Label the alert.", "Alert record:\n"
+
+
+def _json_sql(c: str) -> str:
+    lines = ["'  \"" + f + "\": ' || coalesce(to_json(" + f + ")::VARCHAR, 'null')" for f in fields_of(c)]
+    return "'Alert record:' || chr(10) || '{' || chr(10) || " + " || ',' || chr(10) || ".join(lines) + " || chr(10) || '}'"
+
+
+@query(f"WITH {ALERTS_SQL} " + " UNION ALL ".join(f"SELECT row_index, '{c}' AS condition, '{_SYSTEM}' AS system_text, {_json_sql(c)} AS user_text FROM al" for c in CONDITIONS))
 def proj_messages(spark: SparkSession, d: str) -> DataFrame:
-    return alerts(spark, d).select("row_index", messages("Label the alert.", "Alert record:\n", fields_of("b")).alias("messages"))
+    """The two messages of a call under every condition."""
+    a = alerts(spark, d)
+    parts = [a.select("row_index", F.lit(c).alias("condition"), messages(_SYSTEM, _HEADER, fields_of(c)).alias("m")) for c in CONDITIONS]
+    each = reduce(DataFrame.unionByName, parts)
+    return each.select("row_index", "condition", F.col("m")[0]["content"].alias("system_text"), F.col("m")[1]["content"].alias("user_text"))
 
 
 @query(f"""WITH {ALERTS_SQL} SELECT row_index, lower(nfc_normalize(concat_ws(chr(10), {", ".join(f"replace(replace(coalesce(CAST({f} AS VARCHAR), ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))" for f in fields_of('c'))}))) AS text FROM al""")
@@ -593,9 +749,22 @@ def proj_token_score(spark: SparkSession, d: str) -> DataFrame:
     return rounded(t.select("i", score.alias("x")).select("i", "x.available", "x.s", "x.reason"))
 
 
-@query("SELECT pred_id, sha256(model || '|a|' || uid) AS call_id FROM published")
+_PARAMS = settings_hash({"temperature": 0.0, "max_tokens": 16})
+
+
+@query(f"SELECT pred_id, sha256(model || '|a|' || uid || '|' || sha256('{_SYSTEM}') || '|' || sha256(record) || '|' || '{_PARAMS}') AS call_id FROM published WHERE uid IS NOT NULL AND record IS NOT NULL AND model IS NOT NULL")
 def proj_call_id(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "published").select("pred_id", call_id(F.col("model"), F.lit("a"), F.col("uid")).alias("call_id"))
+    """Model, condition, uid and the hashes of system text, user text and parameters."""
+    t = table(spark, d, "published").filter("uid is not null and record is not null and model is not null")
+    parts = [F.col("model"), F.lit("a"), F.col("uid"), F.sha2(F.lit(_SYSTEM), 256), F.sha2("record", 256), F.lit(_PARAMS)]
+    return t.select("pred_id", call_id(*parts).alias("call_id"))
+
+
+@query("""SELECT doc_id, strftime(loaded_at, '%d %b %Y') AS form_1, strftime(loaded_at, '%-d %b %Y') AS form_2, strftime(loaded_at, '%Y-%m-%d') AS form_3, strftime(loaded_at, '%B %d, %Y') AS form_4,
+  strftime(loaded_at, '%d %B %Y') AS form_5 FROM documents""")
+def proj_date_forms(spark: SparkSession, d: str) -> DataFrame:
+    forms = date_texts(F.col("loaded_at"))
+    return table(spark, d, "documents").select("doc_id", *[forms[i].alias(f"form_{i + 1}") for i in range(5)])
 
 
 @query("""SELECT count(*) FILTER (starts_with(stratum, 'mixed')) AS mixed, count(*) FILTER (starts_with(stratum, 'single')) AS single, count(*) FILTER (contains(stratum, 'non')) AS negative FROM dryrun_sample""")
@@ -611,7 +780,7 @@ def proj_field_mismatches(spark: SparkSession, d: str) -> DataFrame:
     return runlog.field_mismatches(clean("dryrun_sample"), clean("secalertbench"), ["rule_name", "label", "uid"], "row_index")
 
 
-@query(r"SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(text, '(?i)[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|today|date')) AS with_date FROM documents GROUP BY lang")
+@query(f"SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(text, '{DATE_PATTERN}')) AS with_date FROM documents GROUP BY lang")
 def proj_date_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(mentions_date(F.col("text"))).alias("with_date"))
 
@@ -622,7 +791,7 @@ def proj_date_texts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_LOG_SQL} SELECT call_id, row_index FROM ex ANTI JOIN dn USING (call_id)")
 def l1_pending(spark: SparkSession, d: str) -> DataFrame:
     expected, _, done = _log(spark, d)
-    return runlog.pending(expected, done)
+    return runlog.pending(expected, done).select("call_id", "row_index")
 
 
 @query(f"WITH {_LOG_SQL} SELECT * FROM la")
@@ -638,19 +807,51 @@ def l4_append_once(spark: SparkSession, d: str) -> DataFrame:
     return count(done, "n_before").crossJoin(count(grown, "n_after"))  # one row each
 
 
-@query(f"""WITH {_LOG_SQL}, cl AS (SELECT uid AS call_id, row_index, split AS harness, {label_sql('label')} AS l FROM dryrun_sample), want AS (SELECT uid AS call_id, min(row_index) AS row_index FROM secalertbench GROUP BY uid),
+_L5_SQL = f"""WITH {_LOG_SQL}, cl AS (SELECT s.uid AS call_id, s.row_index, coalesce(s.rule_name, '') AS rule_name, coalesce(b.attack_type, '') AS attack_type, s.split AS harness, {label_sql('s.label')} AS l
+    FROM dryrun_sample s LEFT JOIN secalertbench b USING (row_index)),
   c AS (SELECT call_id, count(*) AS c FROM cl GROUP BY call_id), ax AS (SELECT call_id, count(*) AS a, count(*) FILTER (status = 'ok') AS ok FROM atm GROUP BY call_id),
-  j AS (SELECT ex.call_id AS e, c.c, ax.a, ax.ok FROM ex FULL JOIN c ON ex.call_id = c.call_id FULL JOIN ax ON ax.call_id = coalesce(ex.call_id, c.call_id))
-  SELECT count(e) AS expected, count(c) AS done, count(*) FILTER (e IS NOT NULL AND c IS NULL) AS missing, count(*) FILTER (e IS NULL AND c IS NOT NULL) AS unexpected, count(*) FILTER (c > 1) AS duplicates,
+  j AS (SELECT ex.call_id AS e, c.c, ax.a, ax.ok FROM ex FULL JOIN c ON ex.call_id = c.call_id FULL JOIN ax ON ax.call_id = coalesce(ex.call_id, c.call_id)),
+  mm AS (SELECT count(*) FILTER (cl.row_index IS DISTINCT FROM ex.row_index) AS a, count(*) FILTER (cl.rule_name IS DISTINCT FROM ex.rule_name) AS b, count(*) FILTER (cl.attack_type IS DISTINCT FROM ex.attack_type) AS c FROM cl JOIN ex USING (call_id)),"""
+
+
+@query(f"""{_L5_SQL} t AS (SELECT count(e) AS expected, count(c) AS done, count(*) FILTER (e IS NOT NULL AND c IS NULL) AS missing, count(*) FILTER (e IS NULL AND c IS NOT NULL) AS unexpected, count(*) FILTER (c > 1) AS duplicates,
     count(*) FILTER (a IS NOT NULL AND c IS NULL) AS failed, count(*) FILTER (c IS NOT NULL AND coalesce(ok, 0) = 0) AS no_attempt, count(*) FILTER (ok > 1) AS resent,
-    (SELECT count(*) FILTER (cl.row_index IS DISTINCT FROM want.row_index) FROM cl JOIN want USING (call_id)) AS mismatches, (SELECT count(DISTINCT harness) FROM cl) AS harnesses,
-    (SELECT count(l) FROM cl) AS ok, (SELECT count(*) FILTER (l IS NULL) FROM cl) AS invalid FROM j""")
+    (SELECT a + b + c FROM mm) AS mismatches, (SELECT count(DISTINCT harness) FROM cl) AS harnesses, (SELECT count(l) FROM cl) AS ok, (SELECT count(*) FILTER (l IS NULL) FROM cl) AS invalid FROM j),
+  p AS (SELECT *, concat_ws(',', CASE WHEN duplicates > 0 THEN 'duplicates' END, CASE WHEN unexpected > 0 THEN 'unexpected' END, CASE WHEN mismatches > 0 THEN 'mismatches' END, CASE WHEN harnesses > 1 THEN 'harnesses' END,
+    CASE WHEN resent > 0 THEN 'resent' END, CASE WHEN no_attempt > 0 THEN 'no_attempt' END) AS problems FROM t)
+  SELECT *, missing = 0 AS complete, problems = '' AND missing = 0 AS passes FROM p""")
 def l5_validate_run(spark: SparkSession, d: str) -> DataFrame:
     """dryrun_sample as the call log: its splits as harnesses, a readable label as an ok status."""
     expected, attempts, _ = _log(spark, d)
-    log = table(spark, d, "dryrun_sample").select(F.col("uid").alias("call_id"), "row_index", F.col("split").alias("harness"), status(label_form(F.col("label"))).alias("status"))
-    report = runlog.validate_run(expected, log, attempts, ["row_index"])
-    return report.drop("complete", "problems", "passes")
+    return runlog.validate_run(expected, _sample_log(spark, d), attempts, ["row_index", "rule_name", "attack_type"])
+
+
+@query(f"{_L5_SQL} x AS (SELECT 1) SELECT 'row_index' AS field_name, a AS n FROM mm UNION ALL SELECT 'rule_name', b FROM mm UNION ALL SELECT 'attack_type', c FROM mm")
+def l5_field_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    return runlog.field_mismatches(_sample_log(spark, d), _log(spark, d)[0], ["row_index", "rule_name", "attack_type"])
+
+
+def _sample_log(spark: SparkSession, d: str) -> DataFrame:
+    data = table(spark, d, "secalertbench").select("row_index", F.coalesce("attack_type", F.lit("")).alias("attack_type"))
+    log = table(spark, d, "dryrun_sample").join(data, "row_index", "left")
+    return log.select(F.col("uid").alias("call_id"), "row_index", F.coalesce("rule_name", F.lit("")).alias("rule_name"), F.coalesce("attack_type", F.lit("")).alias("attack_type"), F.col("split").alias("harness"), status(label_form(F.col("label"))).alias("status"))
+
+
+def _made_up_scorer(call: dict) -> str:
+    """Fails a call as often as its number modulo 8 says, every fifth of them for good."""
+    if call["i"] % 8 >= call["attempt"]:
+        raise scoring.ScorerError("refused", 403) if call["i"] % 5 == 0 else scoring.ScorerError("busy", 503, retry_after=3.0)
+    return call["raw"]
+
+
+@query(f"""WITH f AS (SELECT i, i % 8 AS f, i % 5 = 0 AS dead FROM throughput_qwen3_4b), n AS (SELECT *, CASE WHEN f > 0 AND dead THEN 1 ELSE least(f + 1, {len(scoring.WAITS)}) END AS k FROM f)
+  SELECT i::VARCHAR AS call_id, k::BIGINT AS n_attempts, CASE WHEN f > 0 AND dead THEN 'fatal' WHEN f >= {len(scoring.WAITS)} THEN 'error' ELSE 'ok' END AS final_status,
+    CASE WHEN f > 0 AND dead THEN 0.0 ELSE coalesce(list_sum(list_transform(range(1, least(f, {len(scoring.WAITS) - 1}) + 1), lambda a: greatest(3.0, {list(map(float, scoring.WAITS))}[a]))) END AS waited FROM n""")
+def l2_scored_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls through a scorer that fails in a known pattern: attempts, how each call ended, and seconds it waited (not slept here)."""
+    calls_in = table(spark, d, "throughput_qwen3_4b").select(F.col("i").cast("string").alias("call_id"), "i", "raw")
+    tries = scoring.attempt_calls(calls_in, _made_up_scorer, jitter=0.0, sleep=lambda seconds: None, stop_on_fatal=False)
+    return tries.groupBy("call_id").agg(F.count(F.lit(1)).alias("n_attempts"), F.max_by("status", "attempt").alias("final_status"), F.sum("waited").alias("waited"))
 
 
 @query("""WITH a AS (SELECT uid AS path, max(sha256(coalesce(rule_name, ''))) AS h FROM secalertbench GROUP BY uid), b AS (SELECT uid AS path, max(sha256(coalesce(rule_name, ''))) AS h FROM dryrun_sample GROUP BY uid)
@@ -669,9 +870,9 @@ def _out(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/alertmill-{name}-{uuid.uuid4().hex}"
 
 
-@query("SELECT sample_id, uid, row_index, rule_name, label, stratum, weight, split FROM dryrun_sample")
+@query("SELECT * FROM dryrun_sample")
 def s3_jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "dryrun_sample").drop("drawn_at", "loaded_at")
+    df = table(spark, d, "dryrun_sample")
     files.write_jsonl(df, path := _out(spark, "jsonl"))
     return files.read_jsonl(spark, path, df.schema)
 
@@ -698,14 +899,25 @@ def s7_nested_keys(spark: SparkSession, d: str) -> DataFrame:
     return files.nested_key_counts(table(spark, d, "published"), "record")
 
 
-@query("SELECT count(*) AS good, (SELECT count(*) FROM documents WHERE text IS NOT NULL AND trim(text) <> '' AND doc_id < 0) + 1 AS bad FROM throughput_qwen3_4b")
+@query("""SELECT count(*) FILTER (error IS NULL) AS good, count(*) FILTER (error IS NOT NULL) AS bad, count(*) AS n_lines FROM throughput_qwen3_4b""")
 def s9_tolerant_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The call log as JSON lines beside a line torn in the middle."""
-    lines = table(spark, d, "throughput_qwen3_4b").select(F.to_json(F.struct("i", "uid", "pred")).alias("value"))
-    torn = spark.range(1).select(F.lit('{"i": 1, "uid": "ab').alias("value"))
-    lines.unionByName(torn).write.text(path := _out(spark, "torn"))
-    good, bad = files.read_tolerant(spark, path, T.StructType([T.StructField("i", T.LongType()), T.StructField("uid", T.StringType()), T.StructField("pred", T.StringType())]))
-    return good.agg(F.count(F.lit(1)).alias("good")).crossJoin(bad.agg(F.count(F.lit(1)).alias("bad")))  # one row each
+    """The call log as JSON lines, of which those of failed calls are torn in the middle."""
+    whole = F.to_json(F.struct("i", "uid", "pred"))
+    lines = table(spark, d, "throughput_qwen3_4b").select(F.when(F.col("error").isNull(), whole).otherwise(F.substring(whole, 1, 12)).alias("value"))
+    lines.write.text(path := _out(spark, "torn"))
+    schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("uid", T.StringType()), T.StructField("pred", T.StringType())])
+    good, bad, read = files.read_tolerant(spark, path, schema)
+    n = lambda x, name: x.agg(F.count(F.lit(1)).alias(name))
+    return n(good, "good").crossJoin(n(bad, "bad")).crossJoin(read.agg(F.sum("n_lines").alias("n_lines")))  # one row each
+
+
+@query("SELECT count(*) AS n_calls, count(DISTINCT i) AS n_ids, 0::BIGINT AS n_torn FROM throughput_qwen3_4b WHERE i IS NOT NULL")
+def s10_recovered_log(spark: SparkSession, d: str) -> DataFrame:
+    """The call log written as JSON lines and recovered; whole files lose nothing and nothing is set aside."""
+    table(spark, d, "throughput_qwen3_4b").filter("i is not null").select(F.to_json(F.struct("i", "uid")).alias("value")).write.text(path := _out(spark, "log"))
+    log = files.recover_log(spark, path, T.StructType([T.StructField("i", T.LongType()), T.StructField("uid", T.StringType())]), _out(spark, "quarantine"), "i")
+    torn = files.numbered_lines(spark, path)[1].agg(F.count_if("torn").alias("n_torn"))
+    return log.agg(F.count(F.lit(1)).alias("n_calls"), F.count_distinct("i").alias("n_ids")).crossJoin(torn)  # one row each
 
 
 @query(f"SELECT row_index, sha256({serial_sql('{}')}) AS sha256 FROM secalertbench")
@@ -738,13 +950,42 @@ def stream_daily_latency(spark: SparkSession, d: str) -> DataFrame:
 # -- gates ------------------------------------------------------------------------------------------------------------
 
 
-@query()
-def gates_report(spark: SparkSession, d: str) -> DataFrame:
-    """(gate, passed, detail) of every registered gate."""
+def run_gates_on(spark: SparkSession, d: str, names: list[str] | None = None) -> DataFrame:
+    """(gate, passed, detail) on the driver's tables. What a project would have recorded is recorded here first."""
     f = frame(spark, d)
+    dealt = lambda: materialize(sampling.stratified_group_folds(f, "rule_name", "stratum", 5, SEED), "folds")
+    expected, attempts, _ = _log(spark, d)
+    j = judged(spark, d)
+    summaries = metrics.zero_rates(metrics.confusion(j, ["model"], None, "exclude")).select("model", "tp", "fp", "tn", "fn", "f1")
     inputs = {
-        "frame": f, "calls": calls(spark, d), "judged": judged(spark, d),
-        "folds": materialize(sampling.stratified_group_folds(f, "rule_name", "stratum", 5, SEED), "folds"),
-        "sample": lambda: sampling.two_phase_sample(f, "stratum", "uid", 10, 40, SEED).select("uid", "stratum", "phase"),
+        "spark": spark, "frame": f, "alerts": alerts(spark, d), "calls": calls(spark, d), "judged": j, "folds": dealt(), "recorded_folds": dealt(), "expected": expected, "attempts": attempts,
+        "sample": lambda: sampling.two_phase_sample(f, "stratum", "uid", 10, 40, SEED).select("uid", "stratum", "phase"), "phases": {"first": 10, "second": 40},
+        "weights": materialize(fr.inverse_probability_weights(f), "weights"), "concentration": materialize(fr.concentration(f), "concentration"),
+        "summaries": materialize(summaries, "summaries"), "runs": _runs(spark, d), "header": _HEADER, "most_completion_tokens": 1024,
     }
-    return gates.run_gates(inputs)
+    return gates.run_gates(inputs, names)
+
+
+_ALWAYS = [g for g in gates.GATES if g not in (
+    "prompts fit the context", "no call is lost in transport", "invalid answers at most a tenth of each class", "scores cover 95 percent of each class",
+    "repeated calls give the same labels and scores", "answers cut off at most 2 percent", "projected time below the limit",
+)]
+
+
+@query(f"""WITH {CALLS_SQL}, {_LOG_SQL}, cells AS (SELECT count(*) FILTER (pred IS NULL) / count(*) AS inv, count(score) / count(*) AS cov FROM ca GROUP BY truth),
+  r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY i) AS f, row_number() OVER (PARTITION BY uid ORDER BY i DESC) AS l FROM ca),
+  p AS (SELECT a.pred IS NOT DISTINCT FROM b.pred AND (a.score IS NULL) = (b.score IS NULL) AND coalesce(abs(a.score - b.score) < 1e-3, true) AS same FROM r a JOIN r b ON a.uid = b.uid AND a.f = 1 AND b.l = 1)
+  SELECT 'prompts fit the context' AS gate, coalesce(bool_and(prompt_tokens <= 8176), true) AS passed FROM ca
+  UNION ALL SELECT 'no call is lost in transport', bool_and(n_ok > 0) FROM la
+  UNION ALL SELECT 'invalid answers at most a tenth of each class', max(inv) <= 0.1 FROM cells UNION ALL SELECT 'scores cover 95 percent of each class', min(cov) >= 0.95 FROM cells
+  UNION ALL SELECT 'repeated calls give the same labels and scores', bool_and(same) FROM p
+  UNION ALL SELECT 'answers cut off at most 2 percent', count(*) FILTER (completion_tokens >= 1024) / count(*) <= 0.02 FROM ca
+  UNION ALL SELECT 'projected time below the limit', avg(seconds) * 3000 / 3600 < 20 FROM ca WHERE seconds IS NOT NULL AND NOT isnan(seconds) """ + "".join(f" UNION ALL SELECT '{g}', true" for g in _ALWAYS))
+def gates_report(spark: SparkSession, d: str) -> DataFrame:
+    """(gate, passed) of every registered gate. Those on the engine itself must pass on any data."""
+    return run_gates_on(spark, d).select("gate", "passed")
+
+
+@query()
+def gates_details(spark: SparkSession, d: str) -> DataFrame:
+    return run_gates_on(spark, d)

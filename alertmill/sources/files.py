@@ -18,6 +18,8 @@ from ..session import materialize
 
 _CORRUPT = "_corrupt_record"
 NULL_TEXT = r"\N"
+#: Timestamps in JSON lines, to the microsecond.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def read_array_file(spark: SparkSession, path: str, schema: T.StructType, sha256: str | None = None, in_order: bool = False) -> DataFrame:
@@ -41,12 +43,12 @@ def read_array_file(spark: SparkSession, path: str, schema: T.StructType, sha256
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON lines; blank lines are skipped, a bad line raises."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return spark.read.schema(schema).options(mode="FAILFAST", **_TIMES).json(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     """JSON lines with keys in name order; nulls are written. As many files as partitions, committed together."""
-    text = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    text = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false", **_TIMES})
     df.select(text.alias("value")).write.mode("overwrite").text(path)
 
 
@@ -154,7 +156,9 @@ def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 sums.append(digest.hexdigest())
             yield b[["path"]].assign(sha256=sums)
 
-    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(hashed, "path string, sha256 string")
+    names = spark.read.format("binaryFile").load(path).inputFiles()  # the listing, which the driver holds anyway; empty files are in it
+    parts = max(1, min(len(names), 4 * spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame([(n,) for n in names], "path string").repartition(parts).mapInPandas(hashed, "path string, sha256 string")
 
 
 def sha256_text(text: str) -> str:

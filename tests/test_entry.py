@@ -8,7 +8,7 @@ def test_every_query_without_sql_is_known():
     q, s = e.queries(), e.oracle_sql()
     assert set(s) <= set(q) and "flagship" in q
     core = {k for k, f in q.items() if ".llm." not in f.__module__}
-    assert core - set(s) == {"m4_tfidf", "proj_messages", "r9_stratified_group_folds", "gates_report"}
+    assert core - set(s) == {"m4_tfidf", "r9_stratified_group_folds", "gates_details"}
 
 
 @pytest.mark.parametrize("name", ["flagship", "p3_found", "p5_found"])

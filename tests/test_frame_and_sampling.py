@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -10,7 +11,7 @@ SCHEMA = "row_index long, " + ", ".join(f"{f} {'int' if f in ('dport', 'sport')
 
 
 def alert(i, label, **change):
-    base = {f: f"{f}-{i}" for f in FIELD_ORDER} | {"dport": 80, "sport": 40000 + i, "xff": None} | change
+    base = {f: f"value {i} of {f}" for f in FIELD_ORDER} | {"dport": 443 + i, "sport": 1024 - i, "xff": ""} | change
     return (change.pop("row_index", i), *[base[f] for f in FIELD_ORDER], label, "x")
 
 
@@ -52,14 +53,28 @@ def test_stratified_sample_is_exact_and_stable(spark):
 
 
 def test_folds_keep_groups_and_balance_strata(spark):
-    data = [(f"r{i}", f"u{i}-{j}", "mixed_attack" if i < 10 and j % 2 else "single_non_attack") for i in range(30) for j in range(4)]
+    data = [(f"r{i}", f"u{i}-{j}", "mixed_attack" if i % 3 == 0 and j > 2 else "single_non_attack") for i in range(45) for j in range(5)]
     df = spark.createDataFrame(data, "rule_name string, uid string, stratum string")
     for folds in (sampling.grouped_folds(df, "rule_name", 5, 1), sampling.stratified_group_folds(df, "rule_name", "stratum", 5, 1)):
-        assert folds.count() == 120
-        assert folds.select("rule_name", "fold").distinct().count() == 30
+        assert folds.count() == 225
+        assert folds.select("rule_name", "fold").distinct().count() == 45
     sizes = sampling.stratified_group_folds(df, "rule_name", "stratum", 5, 1).groupBy("fold", "stratum").count().collect()
-    assert {r["count"] for r in sizes if r["stratum"] == "mixed_attack"} == {4}
-    assert {r["count"] for r in sampling.random_folds(df, "uid", 5, 1).groupBy("fold").count().collect()} == {24}
+    assert {r["count"] for r in sizes if r["stratum"] == "mixed_attack"} == {6}
+    assert {r["count"] for r in sampling.random_folds(df, "uid", 5, 1).groupBy("fold").count().collect()} == {45}
+
+
+def test_folds_in_shards_stay_even(spark, monkeypatch):
+    """Many strata and more groups than one task deals: null groups and strata are values, every stratum is spread evenly."""
+    monkeypatch.setattr(sampling, "SHARD_GROUPS", 100)
+    r = random.Random(6)
+    data = [(None if g == 0 else f"g{g}", i, None if (s := r.randrange(300)) == 7 else f"s{s}") for g in range(700) for i in range(r.choice([1, 3, 20]))]
+    df = spark.createDataFrame(data, "grp string, i int, s string")
+    got = sampling.stratified_group_folds(df, "grp", "s", 4, 2).collect()
+    assert len(got) == len(data) and len({(x["grp"], x["fold"]) for x in got}) == 700
+    n = Counter((x["s"], x["fold"]) for x in got)
+    total = Counter(x["s"] for x in got)
+    assert sum(abs(n[s, f] - total[s] / 4) for s in total for f in range(4)) / (4 * len(total)) < 1.6
+    assert len(total) > 290
 
 
 def test_call_order_keeps_conditions_together(spark):

@@ -10,14 +10,14 @@ A, N = "Attack", "Non-Attack"
 PRED = "sys string, truth string, pred string, w double"
 
 
-def test_hand_counts_and_invalid_policies(spark):
-    truth = [A, A, A, A, N, N, N, N, N, A, N]
-    pred = [A, A, A, N, A, N, N, N, N, None, None]
-    df = spark.createDataFrame([("m", t, p, 2.0) for t, p in zip(truth, pred)] + [("m", None, A, 1.0)], PRED)
+def test_counts_and_invalid_policies(spark):
+    cells = {(A, A): 5, (N, A): 1, (N, N): 7, (A, N): 2, (A, None): 3, (N, None): 4}  # (truth, prediction): rows
+    data = [("m", t, p, 0.5) for (t, p), n in cells.items() for _ in range(n)] + [("m", None, A, 0.5)]
+    df = spark.createDataFrame(data, PRED)
     f = metrics.confusion(df, ["sys"]).first()
-    assert (f["tp"], f["fp"], f["tn"], f["fn"], f["n"], f["n_invalid"]) == (3, 2, 4, 2, 11, 2)
+    assert (f["tp"], f["fp"], f["tn"], f["fn"], f["n"], f["n_invalid"]) == (5, 1 + 4, 7, 2 + 3, 22, 7)
     e = metrics.confusion(df, ["sys"], "w", "exclude").first()
-    assert (e["tp"], e["fp"], e["tn"], e["fn"], e["n"], e["n_invalid"]) == (6, 2, 8, 2, 9, 2)
+    assert (e["tp"], e["fp"], e["tn"], e["fn"], e["n"], e["n_invalid"]) == (2.5, 0.5, 3.5, 1.0, 15, 7)
     with pytest.raises(ValueError):
         metrics.confusion(df, ["sys"], invalid="other")
     with pytest.raises(PySparkException):
@@ -45,8 +45,8 @@ def pairwise(t, s, w):
 def test_auroc_matches_all_pairs(spark):
     r, data, want = random.Random(2), [], {}
     for g in range(6):
-        n = r.randrange(2, 40)
-        t, s, w = [r.random() < 0.5 for _ in range(n)], [r.randrange(7) / 6 for _ in range(n)], [r.uniform(0.5, 1.5) for _ in range(n)]
+        n = 3 + 9 * g
+        t, s, w = [r.random() < 0.3 for _ in range(n)], [round(r.gauss(0.4, 0.2), 1) for _ in range(n)], [float(r.choice([1, 2, 5])) for _ in range(n)]
         want[g] = pairwise(t, s, w)
         data += [(g, A if x else N, y, z) for x, y, z in zip(t, s, w)]
     df = spark.createDataFrame(data, "g int, truth string, score double, w double")
@@ -60,23 +60,25 @@ def test_auroc_matches_all_pairs(spark):
 
 
 def test_auroc_bounds(spark):
-    t, s = [True, True, False, False, True, False], [0.9, None, 0.4, None, 0.3, 0.5]
-    df = spark.createDataFrame([(A if x else N, y) for x, y in zip(t, s)], "truth string, score double")
-    r = metrics.auroc_bounds(df, []).first()
-    fill = lambda hi, lo: [v if v is not None else (hi if y else lo) for y, v in zip(t, s)]
-    one = [1.0] * 6
-    have = [(y, v) for y, v in zip(t, s) if v is not None]
-    assert r["coverage"] == pytest.approx(4 / 6) and r["n_available"] == 4
-    assert r["auroc"] == pytest.approx(pairwise(*zip(*have), one))
-    assert r["lower"] == pytest.approx(pairwise(t, fill(0.0, 1.0), one)) and r["upper"] == pytest.approx(pairwise(t, fill(1.0, 0.0), one))
+    r = random.Random(8)
+    data = [(r.random() < 0.6, None if r.random() < 0.25 else round(r.random(), 1)) for _ in range(37)]
+    df = spark.createDataFrame([(A if x else N, y) for x, y in data], "truth string, score double")
+    b = metrics.auroc_bounds(df, []).first()
+    t, known = [x for x, _ in data], [(x, y) for x, y in data if y is not None]
+    fill = lambda hi, lo: [y if y is not None else (hi if x else lo) for x, y in data]
+    ones = [1.0] * len(data)
+    assert b["n_available"] == len(known) and b["coverage"] == pytest.approx(len(known) / len(data))
+    assert b["auroc"] == pytest.approx(pairwise(*zip(*known), ones))
+    assert b["lower"] == pytest.approx(pairwise(t, fill(0.0, 1.0), ones)) and b["upper"] == pytest.approx(pairwise(t, fill(1.0, 0.0), ones))
 
 
 def test_rule_majority_ties_and_unseen(spark):
-    train = spark.createDataFrame([("r1", A), ("r1", A), ("r1", N), ("r2", A), ("r2", N), ("r3", N)], "rule_name string, label string")
-    got = models.predict_rule_majority(models.fit_rule_majority(train), spark.createDataFrame([("r1",), ("r2",), ("r3",), ("r9",), (None,)], "rule_name string"))
-    by = {r["rule_name"]: r for r in got.collect()}
-    assert [by[k]["pred"] for k in ("r1", "r2", "r3", "r9", None)] == [A, A, N, N, N]
-    assert by["r9"]["score"] == 0.5 and not by["r9"]["seen"] and by["r1"]["score"] == pytest.approx(2 / 3)
+    shares = {"scan": (4, 1), "even": (3, 3), "noise": (1, 6)}  # rule: attacks, others
+    data = [(k, label) for k, (a, n) in shares.items() for label, c in ((A, a), (N, n)) for _ in range(c)]
+    test = spark.createDataFrame([(k,) for k in (*shares, "new", None)], "rule_name string")
+    by = {r["rule_name"]: r for r in models.predict_rule_majority(models.fit_rule_majority(spark.createDataFrame(data, "rule_name string, label string")), test).collect()}
+    assert {k: r["pred"] for k, r in by.items()} == {"scan": A, "even": A, "noise": N, "new": N, None: N}
+    assert by["new"]["score"] == pytest.approx(8 / 18) and not by["new"]["seen"] and by["scan"]["score"] == pytest.approx(0.8)
 
 
 def test_cross_fit_equals_a_fit_on_the_other_folds(spark, rows):
@@ -91,11 +93,49 @@ def test_cross_fit_equals_a_fit_on_the_other_folds(spark, rows):
 
 
 def test_replicates_are_whole_groups(spark):
-    df = spark.createDataFrame([(f"u{i}", "s1" if i < 3 else "s2") for i in range(8)], "u string, g string")
-    m = bootstrap.multiplicities(df, "u", "g", 50, 1).join(df, "u").groupBy("rep", "g").sum("m").collect()
-    assert len(m) == 100 and all(r["sum(m)"] == (3 if r["g"] == "s1" else 5) for r in m)
-    same = bootstrap.multiplicities(df.repartition(3), "u", "g", 50, 1)
-    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, bootstrap.multiplicities(df, "u", "g", 50, 1).collect()))
+    size = {"a": 4, "b": 7, None: 2}
+    df = spark.createDataFrame([(f"{g}{i}", g) for g, n in size.items() for i in range(n)], "u string, g string")
+    named = df.selectExpr("u", "coalesce(g, '') AS g")
+    m = bootstrap.multiplicities(df, "u", "g", 40, 1).join(named, "u").groupBy("rep", "g").sum("m").collect()
+    assert len(m) == 120 and all(r["sum(m)"] == size[r["g"] or None] for r in m)
+    same = bootstrap.multiplicities(df.repartition(3), "u", "g", 40, 1)
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, bootstrap.multiplicities(df, "u", "g", 40, 1).collect()))
+
+
+@pytest.mark.parametrize("broadcast_units", [0, 200_000])
+def test_any_statistic_over_replicates(spark, broadcast_units, monkeypatch):
+    """The hook against multiplicities: a weighted mean per system, points from replicate 0, undefined replicates counted."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(bootstrap, "BROADCAST_UNITS", broadcast_units)
+    data = [(f"u{i}", "g", float(i % 4), i % 5 == 0) for i in range(12)]
+    df = spark.createDataFrame(data, "u string, g string, x double, rare boolean")
+    cells = bootstrap.weighted_cells(df, "u", "g", ["x", "rare"], 60, 3)
+
+    def statistic(rows):
+        return rows.groupBy("rep").agg((F.sum(F.when(F.col("rare"), F.col("x") * F.col("m"))) / F.sum(F.when(F.col("rare"), F.col("m")))).alias("value"))
+
+    got = {r["rep"]: r["value"] for r in bootstrap.replicate_values(cells, statistic).collect()}
+    draws = {}
+    for r in bootstrap.multiplicities(df, "u", "g", 60, 3).collect():
+        draws.setdefault(r["rep"], []).extend([data[int(r["u"][1:])]] * r["m"])
+    draws[0] = data
+    mean = lambda v: sum(v) / len(v) if v else None
+    want = {k: mean([d[2] for d in v if d[3]]) for k, v in draws.items()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()} and None in want.values()
+    ci = bootstrap.intervals(bootstrap.replicate_values(cells, statistic), []).first()
+    known = [v for k, v in want.items() if k and v is not None]
+    assert ci["point"] == pytest.approx(want[0]) and ci["n_undefined"] == 60 - len(known)
+    assert (ci["lo"], ci["hi"]) == tuple(pytest.approx(x) for x in np.percentile(known, [2.5, 97.5]))
+
+
+def test_rows_of_a_cluster_share_its_multiplicity(spark):
+    df = spark.createDataFrame([(f"r{i % 5}", "t1" if i % 5 < 3 else "t2", i % 2 == 0) for i in range(30)], "rule string, kind string, hit boolean")
+    m = {(r["rep"], r["rule"]): r["m"] for r in bootstrap.cluster_multiplicities(df, "rule", "kind", 25, 2).collect()}
+    got = {(r["rep"], r["hit"]): r["m"] for r in bootstrap.cluster_cells(df, "rule", "kind", ["hit"], 25, 2).collect()}
+    for rep in range(1, 26):
+        assert sum(v for (k, _), v in got.items() if k == rep) == 6 * sum(v for (k, _), v in m.items() if k == rep)
+    assert got[0, True] == got[0, False] == 15
 
 
 def test_cluster_with_two_types_raises(spark):
@@ -113,6 +153,16 @@ def test_paired_difference_of_equal_systems_is_zero(spark):
     assert (ci["lo"], ci["hi"], ci["n_undefined"]) == (pytest.approx(lo), pytest.approx(hi), 1)
 
 
+def test_interpolated_quantiles(spark):
+    r = random.Random(3)
+    data = [(g, r.choice([None, float("nan"), 1.0, round(r.gauss(0, 9), 1)])) for g in ("a", "b", "b", None) for _ in range(60)] + [("none", None), ("one", 4.0)]
+    got = {x["g"]: x for x in reports.interpolated_quantiles(spark.createDataFrame(data, "g string, x double"), ["g"], "x", {"lo": 0.0, "mid": 0.5, "p95": 0.95, "hi": 1.0}).collect()}
+    assert set(got) == {"a", "b", None, "one"}
+    for g, row in got.items():
+        v = [x for k, x in data if k == g and x is not None and x == x]
+        assert [row[c] for c in ("lo", "mid", "p95", "hi")] == [pytest.approx(q) for q in np.percentile(v, [0, 50, 95, 100])]
+
+
 def test_rank_elements(spark):
     v = [5.0, 1.0, 1.0, 9.0, 7.0, float("nan"), None]
     df = spark.createDataFrame([(x,) for x in v], "x double")

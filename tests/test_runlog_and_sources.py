@@ -1,10 +1,13 @@
+import hashlib
 import json
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertmill.operators import gates, runlog
+from alertmill.operators import audit, gates, runlog, scoring
+from alertmill.session import materialize
 from alertmill.sources import files
 from alertmill.streaming import runlog as stream
 
@@ -37,29 +40,110 @@ def test_resume_appends_once(spark, rows):
     assert len(runlog.start_refusals(True, "old", "h", "y", "x")) == 3
 
 
-def test_torn_log(spark, tmp_path):
-    p = tmp_path / "calls.jsonl"
-    p.write_text('{"call_id": "c1"}\n{"call_id": "c2"}\n{"call_id": "c3", "sta')
-    good, bad = files.read_tolerant(spark, str(p), T.StructType([T.StructField("call_id", T.StringType())]))
-    assert good.count() == 2 and bad.count() == 1
-    assert files.recover_log(str(p), "s1") and not files.recover_log(str(p), "s2")
-    assert (tmp_path / "calls.jsonl.partial-s1").read_text() == '{"call_id": "c3", "sta'
-    files.append_durably(str(p), {"call_id": "c4"})
-    assert files.read_jsonl(spark, str(p), "call_id string").count() == 3
-    p.write_text('{"call_id": \n')
+LOG = T.StructType([T.StructField("call_id", T.StringType())])
+
+
+def test_numbered_lines_across_blocks(spark, tmp_path):
+    """Files that several tasks read in blocks: numbers go on from block to block, blank lines count."""
+    lines = {"a.jsonl": [f"line {i} " + "x" * (i % 50) for i in range(3000)], "b.jsonl": ["", "é", "", "last"], "c.jsonl": ["only"]}
+    for n, body in lines.items():
+        (tmp_path / n).write_text("\n".join(body) + ("" if n == "b.jsonl" else "\n"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got, found = files.numbered_lines(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 3
+        rows = [(r["file"].rsplit("/", 1)[1], r["line_no"], r["value"]) for r in got.collect()]
+        marks = {r["file"].rsplit("/", 1)[1]: (r["n_lines"], r["torn"]) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(rows) == sorted((n, i, v) for n, body in lines.items() for i, v in enumerate(body, 1))
+    assert marks == {"a.jsonl": (3000, False), "b.jsonl": (4, True), "c.jsonl": (1, False)}
+
+
+def test_tolerant_and_recovering_scans(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    (log / "1.jsonl").write_text('{"call_id": "x1"}\n\n{"call_id": "x2"}\n')
+    (log / "2.jsonl").write_text('{"call_id": "x3"}\n{"call_')
+    good, bad, found = files.read_tolerant(spark, str(log), LOG)
+    assert sorted(r[0] for r in good.collect()) == ["x1", "x2", "x3"]
+    assert [(r["line_no"], r["value"]) for r in bad.collect()] == [(2, '{"call_')] and found.filter("torn").count() == 1
+    aside = str(tmp_path / "aside")
+    kept = files.recover_log(spark, str(log), LOG, aside)
+    assert kept.count() == 3 and [r["value"] for r in spark.read.json(aside).collect()] == ['{"call_']
+    (log / "3.jsonl").write_text('{"call_id": "x1"}\n')
+    with pytest.raises(ValueError, match="duplicate"):
+        files.recover_log(spark, str(log), LOG, aside)
+    (log / "3.jsonl").write_text('{"call_id": \n{"call_id": "x9"}\n')
+    with pytest.raises(ValueError, match="bad lines"):
+        files.recover_log(spark, str(log), LOG, aside)
     with pytest.raises(Exception):  # noqa: B017, PT011
-        files.read_jsonl(spark, str(p), "call_id string").collect()
+        files.read_jsonl(spark, str(log), "call_id string").collect()
+    one = str(tmp_path / "own.jsonl")
+    files.append_durably(one, {"call_id": "x4"})
+    files.append_durably(one, {"call_id": "x5"})
+    assert files.recover_log(spark, one, LOG, aside).count() == 2
 
 
-def test_array_file_with_pin(spark, tmp_path):
+def test_array_file_with_pin_and_order(spark, tmp_path):
     p = tmp_path / "d.json"
     p.write_text(json.dumps([{"b": 1, "a": "x"}, {"b": None, "a": "y"}]))
     schema = T.StructType([T.StructField("b", T.LongType()), T.StructField("a", T.StringType())])
     pin = files.sha256_text(p.read_text())
-    got = files.read_array_file(spark, str(p), schema, pin)
+    got = files.read_array_file(spark, str(p), schema, pin, in_order=True)
     assert got.columns == ["row_index", "b", "a"] and sorted(map(tuple, got.collect())) == [(0, 1, "x"), (1, None, "y")]
     with pytest.raises(ValueError):
         files.read_array_file(spark, str(p), schema, "0" * 64)
+    p.write_text(json.dumps([{"b": 1, "a": "x"}, {"a": "y", "b": None}]))
+    assert files.read_array_file(spark, str(p), schema).count() == 2
+    with pytest.raises(PySparkException):
+        files.read_array_file(spark, str(p), schema, in_order=True).collect()
+
+
+def test_hashes_and_locks_of_files(spark, tmp_path):
+    (tmp_path / "one.bin").write_bytes(bytes(range(256)) * 20_000)  # several pieces
+    (tmp_path / "two.txt").write_text("é")
+    got = {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in files.file_hashes(spark, str(tmp_path)).collect()}
+    assert got == {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in tmp_path.iterdir()}
+    lock = lambda seed: audit.lock_entries(files.file_hashes(spark, str(tmp_path)), {"seed": seed, "names": ["x"]})
+    before = materialize(lock(1))
+    (tmp_path / "two.txt").write_text("changed")
+    (tmp_path / "three").write_text("")
+    assert sorted((r["path"].rsplit("/", 1)[-1], r["problem"]) for r in audit.lock_diff(before, lock(2)).collect()) == [("setting:seed", "changed"), ("three", "new"), ("two.txt", "changed")]
+
+
+def test_scorer_attempts(spark):
+    def scorer(call):
+        if call["kind"] == "dead":
+            raise scoring.ScorerError("no", 401)
+        if call["kind"] == "never" or call["attempt"] < call["n"]:
+            raise scoring.ScorerError("busy", 429 if call["kind"] == "asked" else None, 90.0 if call["kind"] == "asked" else None)
+        return f"{call['kind']} {call['attempt']}"
+
+    calls = spark.createDataFrame([("a", "fine", 1), ("b", "fine", 3), ("c", "asked", 2), ("d", "never", 9), ("e", "dead", 1)], "call_id string, kind string, n int")
+    tries = scoring.attempt_calls(calls, scorer, sleep=lambda seconds: None, stop_on_fatal=False).collect()
+    by = {c: [(r["attempt"], r["status"], r["http_status"], r["answer"]) for r in tries if r["call_id"] == c] for c in "abcde"}
+    assert by["a"] == [(1, "ok", None, "fine 1")] and [x[1] for x in by["b"]] == ["error", "error", "ok"]
+    assert by["c"][0][1:3] == ("error", 429) and [x[1] for x in by["d"]] == ["error"] * len(scoring.WAITS) and by["e"] == [(1, "fatal", 401, None)]
+    waited = {r["call_id"]: r["waited"] for r in tries if r["attempt"] == 1}
+    assert waited["c"] == 90.0 and waited["e"] == 0 and 0.9 * scoring.WAITS[0] <= waited["d"] <= 1.1 * scoring.WAITS[0]
+    done = spark.createDataFrame([tuple(r) for r in tries], scoring.ATTEMPT)
+    assert sorted(r[0] for r in scoring.finished_calls(done).collect()) == ["a", "b", "c"]
+    with pytest.raises(PySparkException, match="FatalScorerError"):
+        scoring.attempt_calls(calls, scorer, sleep=lambda seconds: None).collect()
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from alertmill import __main__ as cli
+
+    monkeypatch.setattr(cli, "build_session", lambda: spark)
+    assert cli.main(["queries"]) == 0 and "p3_found" in capsys.readouterr().out
+    assert cli.main(["run", "w4_top_values", "/root/testdata/sf0.001", f"{tmp_path}/out"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 30
+    assert cli.main(["gates", "/root/testdata/sf0.001", "frame has no uid collisions", "rank auroc equals counting all pairs"]) == 0
+    assert capsys.readouterr().out.count("PASS") == 2
+    with pytest.raises(SystemExit):
+        cli.main(["run", "unknown", "x", "y"])
 
 
 def test_published_files(spark, tmp_path):
