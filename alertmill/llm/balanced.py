@@ -142,8 +142,14 @@ def candidates(frame: DataFrame, sizes: DataFrame) -> DataFrame:
     Equal targets that a plan states twice count once, with the larger number.
     """
     wish = sizes.filter("wanted > 0 and plan_id is not null").groupBy("plan_id", "s", "l").agg(F.max("wanted").alias("wanted"), F.max("n_available").alias("_n"))
-    asked = frame.join(wish, ["s", "l"]).select("plan_id", "unit", F.struct((F.col("wanted") / F.col("_n")).alias("need"), "s", "l").alias("_c"))
-    one = materialize(asked.groupBy("plan_id", "unit").agg(F.max("_c").alias("_c")).select("plan_id", "unit", "_c.s", "_c.l"), "candidates")
+    per_unit = frame.groupBy("unit").agg(F.count(F.lit(1)).alias("_k"), F.min("s").alias("s"), F.min("l").alias("l"))
+    per_unit = materialize(per_unit, "units")
+    plain = per_unit.filter("_k = 1").select("unit", "s", "l").join(wish, ["s", "l"]).select("plan_id", "unit", "s", "l")
+    # only units of several categories are decided plan by plan
+    several = frame.join(per_unit.filter("_k > 1").select("unit"), "unit", "left_semi").join(wish, ["s", "l"])
+    asked = several.select("plan_id", "unit", F.struct((F.col("wanted") / F.col("_n")).alias("need"), "s", "l").alias("_c"))
+    chosen = asked.groupBy("plan_id", "unit").agg(F.max("_c").alias("_c")).select("plan_id", "unit", "_c.s", "_c.l")
+    one = materialize(plain.unionByName(chosen), "candidates")
     left = one.groupBy("plan_id", "s", "l").agg(F.count(F.lit(1)).alias("_left")).join(wish, ["plan_id", "s", "l"])
     per = left.select("plan_id", "s", "l", F.least(F.lit(1.0), F.col("wanted") / F.col("_left")).alias("p"))
     return one.join(per, ["plan_id", "s", "l"]).select("plan_id", "s", "l", "unit", "p")
