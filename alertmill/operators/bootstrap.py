@@ -39,12 +39,12 @@ def resample(units: DataFrame, unit: str, group: str, columns: list[str], replic
     return draws.join(F.broadcast(look_up) if few else look_up, [group, "rank"]).select("rep", *columns)
 
 
-def multiplicities(units: DataFrame, unit: str, group: str, replicates: int, seed: int) -> DataFrame:
-    """(rep, unit, m): how often each unit is drawn in each replicate; units that are not drawn have no row."""
-    draws, ranked = _draws(units, unit, group, [], replicates, seed)
+def multiplicities(units: DataFrame, unit: str, group: str, replicates: int, seed: int, columns: list[str] | None = None) -> DataFrame:
+    """(rep, unit, m, columns of the unit): how often each unit is drawn in each replicate; units not drawn have no row."""
+    draws, ranked = _draws(units, unit, group, columns or [], replicates, seed)
     counted = draws.groupBy("rep", group, "rank").agg(F.count(F.lit(1)).alias("m"))
     few = ranked.count() <= BROADCAST_UNITS
-    return counted.join(F.broadcast(ranked) if few else ranked, [group, "rank"]).select("rep", unit, "m")
+    return counted.join(F.broadcast(ranked) if few else ranked, [group, "rank"]).select("rep", unit, "m", *(columns or []))
 
 
 def cluster_multiplicities(units: DataFrame, cluster: str, cluster_type: str, replicates: int, seed: int) -> DataFrame:

@@ -19,13 +19,13 @@ from ..session import bind, materialize
 HOT_FRACTION = 1 / 1024
 
 
-def join_hot_aware(rows: DataFrame, groups: DataFrame, keys: list[str], count_col: str, total: int | None = None, null_safe: bool = False) -> DataFrame:
+def join_hot_aware(rows: DataFrame, groups: DataFrame, keys: list[str], count_col: str, total: int | None = None, null_safe: bool = False, hint: str | None = None) -> DataFrame:
     """Inner join of rows with groups (unique on keys, count_col = rows of the key) without a hot reducer.
 
     Groups with at least HOT_FRACTION of the total rows (by default the sum of count_col) - by that definition no more than
     1/HOT_FRACTION of them - are broadcast; all others go through a shuffled join, in which no key then exceeds
-    HOT_FRACTION of the rows. Null keys never match, as in any equi-join, unless null_safe. rows is read twice and groups
-    three times: pass scans or written tables.
+    HOT_FRACTION of the rows. Null keys never match, as in any equi-join, unless null_safe. hint is a join hint for the
+    shuffled groups. rows is read twice and groups three times: pass scans or written tables.
     """
     share = groups.agg((F.sum(count_col) * HOT_FRACTION).alias("_t")) if total is None else groups.sparkSession.range(1).select(F.lit(total * HOT_FRACTION).alias("_t"))
     marked = groups.crossJoin(F.broadcast(share))  # share: one row
@@ -38,7 +38,7 @@ def join_hot_aware(rows: DataFrame, groups: DataFrame, keys: list[str], count_co
         renamed = b.withColumnsRenamed({k: f"_{k}_2" for k in keys})
         return a.join(renamed, reduce(lambda x, y: x & y, [a[k].eqNullSafe(renamed[f"_{k}_2"]) for k in keys]), how).drop(*[f"_{k}_2" for k in keys])
 
-    rest = join(join(rows, hot.select(*keys), "left_anti"), cold)
+    rest = join(join(rows, hot.select(*keys), "left_anti"), cold.hint(hint) if hint else cold)
     return join(rows, hot).unionByName(rest)
 
 

@@ -458,7 +458,7 @@ def _mult_sql(units: str, unit: str, group: str) -> str:
 def r5_stratified_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """All 2,000 replicates, each summed up: draws, distinct units, the unit drawn most often, and a sum that tells who was drawn."""
     f = frame(spark, d)
-    reps = bootstrap.multiplicities(f, "uid", "stratum", REPS, SEED).join(f.select("uid", "stratum", "row_index"), "uid")
+    reps = bootstrap.multiplicities(f, "uid", "stratum", REPS, SEED, ["stratum", "row_index"])
     return reps.groupBy("rep", "stratum").agg(
         F.sum("m").alias("n_drawn"), F.count(F.lit(1)).alias("n_units"), F.max("m").alias("most"), F.sum(F.col("m") * F.col("row_index")).alias("index_sum")
     )
@@ -846,7 +846,7 @@ def _made_up_scorer(call: dict) -> str:
 
 @query(f"""WITH f AS (SELECT i, i % 8 AS f, i % 5 = 0 AS dead FROM throughput_qwen3_4b), n AS (SELECT *, CASE WHEN f > 0 AND dead THEN 1 ELSE least(f + 1, {len(scoring.WAITS)}) END AS k FROM f)
   SELECT i::VARCHAR AS call_id, k::BIGINT AS n_attempts, CASE WHEN f > 0 AND dead THEN 'fatal' WHEN f >= {len(scoring.WAITS)} THEN 'error' ELSE 'ok' END AS final_status,
-    CASE WHEN f > 0 AND dead THEN 0.0 ELSE coalesce(list_sum(list_transform(range(1, least(f, {len(scoring.WAITS) - 1}) + 1), lambda a: greatest(3.0, {list(map(float, scoring.WAITS))}[a]))) END AS waited FROM n""")
+    CASE WHEN f > 0 AND dead THEN 0.0 ELSE coalesce(list_sum(list_transform(range(1, least(f, {len(scoring.WAITS) - 1}) + 1), lambda a: greatest(3.0, {list(map(float, scoring.WAITS))}[a]))), 0.0) END AS waited FROM n""")
 def l2_scored_calls(spark: SparkSession, d: str) -> DataFrame:
     """Calls through a scorer that fails in a known pattern: attempts, how each call ended, and seconds it waited (not slept here)."""
     calls_in = table(spark, d, "throughput_qwen3_4b").select(F.col("i").cast("string").alias("call_id"), "i", "raw")
