@@ -29,26 +29,30 @@ def formal_copies(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     df holds the fields in the form in which they are compared; null equals only null, '' only ''. Ids are unique. The
     grouping moves 24 bytes a record. Only records in fingerprint groups of two or more are then compared value by value
     with the group's first record; records that fail (equal fingerprints, other values) are grouped by the values
-    themselves, so a collision costs time, not truth. Groups of any size are handled: the hot ones are broadcast as one
+    themselves, so a collision costs time, not truth. Joins hash and never sort. Groups of any size are handled: the hot ones are broadcast as one
     row each, and comparisons of a large group are spread over replicas of its first record.
     """
     key = ["_hi", "_lo"]
     thin = materialize(df.select(F.col(id_col).alias("_id"), *fingerprint(fields)), "copies")
     groups = thin.groupBy(*key).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     groups = materialize(groups, "groups")
-    tagged = join_hot_aware(thin, groups, key, "_n", thin.count()).select("_id", "_first", "_n")
+    # every build side below holds ids and counts, or one record a group and slot
+    tagged = materialize(join_hot_aware(thin, groups, key, "_n", thin.count(), hint="shuffle_hash").select("_id", "_first", "_n"), "tagged")
     values = df.select(F.col(id_col).alias("_id"), F.struct(*fields).alias("_v"))
-    full = tagged.join(values, "_id").withColumn("_slots", F.ceil(F.col("_n") / VERIFY_ROWS).cast("int"))
+    full = values.join(tagged.hint("shuffle_hash"), "_id").withColumn("_slots", F.ceil(F.col("_n") / VERIFY_ROWS).cast("int"))
     full = materialize(full, "values")
     firsts = full.filter("_id = _first").select(
         "_first", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1)).alias("_slot"), F.col("_v").alias("_fv")
     )
     rest = full.filter("_id <> _first").withColumn("_slot", F.pmod(F.xxhash64("_id"), F.col("_slots")).cast("int"))
-    checked = rest.join(firsts, ["_first", "_slot"]).withColumn("_same", F.col("_v").eqNullSafe(F.col("_fv")))
+    checked = rest.join(firsts.hint("shuffle_hash"), ["_first", "_slot"]).withColumn("_same", F.col("_v").eqNullSafe(F.col("_fv")))
+    checked = materialize(checked.select("_id", "_first", "_same", F.when(~F.col("_same"), F.col("_v")).alias("_v")), "checked")
     good = checked.filter("_same").select(F.col("_first").alias("first_id"), F.col("_id").alias("copy_id"))
     failed = checked.filter("not _same").select("_id", "_v")
-    again = failed.groupBy("_v").agg(F.min("_id").alias("first_id"))
-    late = failed.join(again, "_v").filter("_id <> first_id").select("first_id", F.col("_id").alias("copy_id"))
+    if failed.isEmpty():
+        return good
+    again = materialize(failed.groupBy("_v").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("_n")), "again")
+    late = join_hot_aware(failed, again, ["_v"], "_n").filter("_id <> first_id").select("first_id", F.col("_id").alias("copy_id"))
     return good.unionByName(late)
 
 
