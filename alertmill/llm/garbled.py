@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
@@ -40,7 +41,8 @@ _HIGH = re.compile(r"[^\x00-\x7f]+")
 _EAST = re.compile("[\u2e80-\u9fff]")
 _CONTROL = re.compile(r"[\x00-\x1f\x7f-\x9f]")
 _REFERENCE = re.compile(r"&#(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));?")
-_DIGITS = str.maketrans("123456789", "000000000")
+#: A run without white space that holds a character beyond ASCII or a numeric reference.
+_TOKEN = re.compile(r"[^ \t\r\n]*?(?:[^\x00-\x7f]|&#)[^ \t\r\n]*")
 
 #: Fixed values: (encoding the text was wrongly decoded with, encodings it may really be in). "sloppy" is cp1252 whose
 #: undefined bytes are the control characters of the same number, so it covers latin-1 as well.
@@ -63,8 +65,8 @@ WRONG_TO_TRUE: dict[str, tuple[str, ...]] = {
 #: Single-byte readings of UTF-8 whose high runs are repaired one by one inside a token.
 _RUN_WISE = ("sloppy", "latin_1", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866")
 #: Lead and continuation byte of UTF-8 in some single-byte reading, or a character that only damage leaves.
-_SLOPPY_DECODE = {b: bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 256)}
-_SLOPPY_ENCODE = {c: b for b, c in _SLOPPY_DECODE.items()}
+_SLOPPY = "".join(chr(b) if b < 128 else bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(256))
+_SLOPPY_MAP = {ord(c): b for b, c in enumerate(_SLOPPY)}
 
 
 def _odd_places() -> re.Pattern[str]:
@@ -95,24 +97,20 @@ ROUND_TRIP, LOST_LETTERS = "round_trip", "lost_letters"
 
 def encode(text: str, name: str) -> bytes | None:
     try:
-        if name == "sloppy":
-            return bytes(ord(c) if c < "\x80" else _SLOPPY_ENCODE[c] for c in text)
-        return text.encode(name)
-    except (UnicodeEncodeError, KeyError):
+        return codecs.charmap_encode(text, "strict", _SLOPPY_MAP)[0] if name == "sloppy" else text.encode(name)
+    except UnicodeEncodeError:
         return None
 
 
 def decode(raw: bytes, name: str) -> str | None:
     try:
-        if name == "sloppy":
-            return "".join(chr(b) if b < 128 else _SLOPPY_DECODE[b] for b in raw)
-        return raw.decode(name)
+        return codecs.charmap_decode(raw, "strict", _SLOPPY)[0] if name == "sloppy" else raw.decode(name)
     except UnicodeDecodeError:
         return None
 
 
 def odd_cost(text: str) -> float:
-    return ODD_PLACE * sum(1 for _ in _ODD.finditer(text))
+    return ODD_PLACE * len(_ODD.findall(text))
 
 
 def evidence(text: str) -> str:
@@ -135,7 +133,7 @@ def evidence(text: str) -> str:
 def _character(m: re.Match) -> str:
     n = int(m[1], 16) if m[1] else int(m[2])
     if 0x80 <= n < 0xA0:
-        return _SLOPPY_DECODE[n]  # as browsers read these numbers
+        return _SLOPPY[n]  # as browsers read these numbers
     return chr(n) if 0 < n < 0xD800 or 0xDFFF < n < 0x110000 else m[0]
 
 
@@ -146,7 +144,8 @@ def resolve(text: str) -> str:
 
 def letter_pairs(text: str) -> np.ndarray:
     """The adjacent character pairs of the text between two spaces, each as one number; digits count as one character."""
-    cp = np.frombuffer((" " + text.translate(_DIGITS) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    cp = np.frombuffer((" " + text + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    cp[(cp > 48) & (cp < 58)] = 48
     return (cp[:-1] << 21) | cp[1:]
 
 
@@ -163,9 +162,13 @@ def _has(name: str, c: str) -> bool:
     return encode(c, name) is not None
 
 
+#: The characters beyond ASCII of each single-byte encoding.
+_CAN = {n: re.compile("[" + re.escape("".join(c for b in range(128, 256) if (c := decode(bytes([b]), n)))) + "]") for n in _RUN_WISE}
+
+
 def stretches(text: str, name: str) -> list[str]:
     """The text cut where characters that the encoding has meet those that it lacks, if it is of a script without spaces."""
-    if not _EAST.search(text) or not any(c > "\x7f" and _has(name, c) for c in text):
+    if not _EAST.search(text) or (name in _CAN and not _CAN[name].search(text)) or not any(c > "\x7f" and _has(name, c) for c in text):
         return [text]
     return ["".join(g) for _, g in groupby(text, lambda c: c < "\x80" or _has(name, c))]
 
@@ -204,10 +207,11 @@ class Repairer:
 
     def _candidates(self, token: str) -> Iterator[tuple[str, bool, bool]]:
         """Readings of the token, whether strict decoding alone is weak evidence for them, and whether it is proof."""
+        one_run = _HIGH.fullmatch(token)
         for wrong, trues in WRONG_TO_TRUE.items():
-            if wrong in _RUN_WISE:
-                yield _HIGH.sub(lambda m: self._run(m.group(), wrong), token), False, False
             raw = encode(token, wrong)
+            if wrong in _RUN_WISE and (raw is None or not one_run):  # a single run is read below
+                yield _HIGH.sub(lambda m: self._run(m.group(), wrong), token), False, False
             if raw is not None:
                 # two-byte characters of the East Asian encodings are often two bytes of UTF-8 too, seldom three
                 least = "\x7f" if wrong in _RUN_WISE else "\u07ff"
@@ -294,7 +298,7 @@ class Repairer:
         """(why it is garbled or null, its text as far as it can be restored). Numeric references are judged as what they stand for."""
         if not text or (text.isascii() and "&#" not in text):
             return None, text
-        fixed = "".join(self._part(p) for p in _SPACE.split(text))
+        fixed = _TOKEN.sub(lambda m: self._part(m.group()), text)
         return ROUND_TRIP if fixed != text else LOST_LETTERS if lost_characters(resolve(text)) else None, fixed
 
     def _part(self, part: str) -> str:
