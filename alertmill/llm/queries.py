@@ -126,6 +126,17 @@ def p4_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("split", "stratum", "n_rows", F.round(F.col("t") * share[F.col("split")], 3).alias("n_target"))
 
 
+def p4_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, rows without a split, linked rules in several splits, and splits that are off their proportion by over 1 percent of the rows."""
+    rows = materialize(_split_rows(spark, sf_dir).select("sample_id", "comp", "split"), "split_rows")
+    torn = rows.groupBy("comp").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("torn"))
+    total = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("split").isNull()).alias("unassigned"))
+    share = F.create_map(*[x for k, v in SHARES.items() for x in (F.lit(k), F.lit(v / 1000))])
+    per = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total))  # total: one row
+    off = per.agg(F.count_if(F.abs(F.col("n") / F.col("n_rows") - share[F.col("split")]) > 0.01).alias("off_proportion"))
+    return total.crossJoin(torn).crossJoin(off)  # one row each
+
+
 # -- 6: overlap between splits ----------------------------------------------------------------------------------------
 
 
@@ -237,6 +248,24 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("used").agg(F.count(F.lit(1)).alias("n_containers"))
 
 
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents placed, documents not wholly placed once, containers over the capacity, and whether over 97 percent of the room is used."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = materialize(tokens.encode_corpus(docs, "doc_id").select("doc_id", F.size("ids").alias("n_tokens")), "sizes")
+    placed = materialize(packing.pack(sizes.join(docs.select("doc_id", "source"), "doc_id"), "doc_id", "n_tokens", "source", CAPACITY), "placed")
+    whole = placed.groupBy("doc_id").agg(F.sum("n_units").alias("n"), F.count_distinct("part").alias("k"), F.count(F.lit(1)).alias("c"))
+    wrong = (F.col("n_tokens") != F.coalesce("n", F.lit(-1))) | (F.col("k") != F.col("c")) | ((F.col("n_tokens") <= CAPACITY) & (F.col("c") > 1))
+    items = sizes.join(whole, "doc_id", "left").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.coalesce(wrong, F.lit(True))).alias("wrong"))
+    box = placed.filter("container_id is not null").groupBy("container_id").agg(F.sum("n_units").alias("u"))
+    room = box.agg(F.count_if(F.col("u") > CAPACITY).alias("over"), (F.sum("u") / (F.count(F.lit(1)) * CAPACITY) > 0.97).alias("well_filled"))
+    return items.crossJoin(room)  # one row each
+
+
+def p8_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by whether they have ids: null and empty texts have none."""
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", (F.size("ids") == 0).alias("no_ids"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.repair(table(spark, sf_dir, "documents"), "doc_id").filter("garbled").select(F.col("id").alias("doc_id"))
 
@@ -248,8 +277,8 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_counts, p2_percentiles, p2_merged, p4_found, p4_splits, p4_balance, p6_found, p6_report,
-        p7_found, p7_report, p7_residuals, p7_invariants, p7_sample, p8_ids, p9_containers, p9_fill, p10_found, p10_restored,
+        p1_found, p1_counts, p2_percentiles, p2_merged, p4_found, p4_splits, p4_balance, p4_invariants, p6_found, p6_report,
+        p7_found, p7_report, p7_residuals, p7_invariants, p7_sample, p8_ids, p8_empty, p9_containers, p9_fill, p9_invariants, p10_found, p10_restored,
     )
 }
 
@@ -308,6 +337,9 @@ SQL = {
           CASE WHEN x = 0 THEN {((1 << 44) - 1) * 2.0**-1074!r} ELSE (floor(x / pow(2.0, e - 8)) + 1) * pow(2.0, e - 8) - pow(2.0, e - 52) END AS hi FROM e""",
     "p4_found": _P4 + f"""
         SELECT s.sample_id, i.rule_id FROM shared_sample s JOIN ids i ON i.name = {PLAIN_SQL.format('s.rule_name')} WHERE i.n_ids >= 2""",
+    "p4_invariants": "SELECT count(*) AS n_rows, 0::BIGINT AS unassigned, 0::BIGINT AS torn, 0::BIGINT AS off_proportion FROM shared_sample",
+    "p8_empty": "SELECT doc_id, text IS NULL OR text = '' AS no_ids FROM documents",
+    "p9_invariants": "SELECT count(*) AS n_docs, 0::BIGINT AS wrong, 0::BIGINT AS over, true AS well_filled FROM documents",
     "p6_found": _P6,
     "p6_report": f"""
         WITH p AS ({_P6}),
