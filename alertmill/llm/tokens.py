@@ -26,12 +26,12 @@ EDGES, AGREE = 8, 3
 
 
 class Tokenizer(NamedTuple):
-    """encode: texts -> ids without special tokens. split: text -> ends of the pieces that the tokenizer never joins.
+    """encode: texts -> arrays of ids without special tokens. split: text -> ends of the pieces that the tokenizer never joins.
 
     split is None where the tokenizer has no such pieces or rewrites the text first; then only whole texts are shared.
     """
 
-    encode: Callable[[list[str]], list[list[int]]]
+    encode: Callable[[list[str]], list[np.ndarray]]
     split: Callable[[str], list[int]] | None
 
 
@@ -75,12 +75,13 @@ def _read(path: str) -> Tokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         ranked = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         pattern = regex.compile(public_tokenizers.PATTERN)
-        return Tokenizer(lambda texts: [ranked.encode_ordinary(t) for t in texts], lambda t: _covering([m.span() for m in pattern.finditer(t)], len(t)))
+        # without special tokens in the encoding there are none to allow or forbid
+        return Tokenizer(lambda texts: [ranked.encode_to_numpy(t, disallowed_special=()).view(np.int32) for t in texts], lambda t: _covering([m.span() for m in pattern.finditer(t)], len(t)))
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return Tokenizer(lambda texts: model.encode(texts, num_threads=1), None)
+        return Tokenizer(lambda texts: [np.array(i, np.int32) for i in model.encode(texts, num_threads=1)], None)
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer as Json
 
@@ -90,16 +91,21 @@ def _read(path: str) -> Tokenizer:
     own = [t for t in model.get_added_tokens_decoder().values() if not t.special]
     plain = model.normalizer is None and pre is not None and not own and pre.pre_tokenize_str("a")[0][0] == "a"
     split = (lambda t: _covering([span for _, span in pre.pre_tokenize_str(t)], len(t))) if plain else None
-    return Tokenizer(lambda texts: [e.ids for e in model.encode_batch(texts, add_special_tokens=False)], split)
+    return Tokenizer(lambda texts: [np.array(e.ids, np.int32) for e in model.encode_batch(texts, add_special_tokens=False)], split)
 
 
-def encode_all(path: str, texts: list[str]) -> list[list[int]]:
+def encode_once(path: str, texts: list[str]) -> list[np.ndarray]:
     """Token ids of each text, without special tokens; each distinct text is encoded once."""
     once = list(dict.fromkeys(texts))
     ids = dict(zip(once, load(path).encode(once))) if once else {}
     return [ids[t] for t in texts]
 
 
+def encode_all(path: str, texts: list[str]) -> list[list[int]]:
+    """encode_once as plain lists."""
+    return [ids.tolist() for ids in encode_once(path, texts)]
+
+
 def cut(data: bytes, starts: np.ndarray) -> list[list[int]]:
     """Ends of the content-defined chunks of the UTF-8 texts that lie one after another in data, the text's end included.
 
@@ -185,14 +191,14 @@ class Shared(NamedTuple):
 def encode_chunk(path: str, text: str) -> Shared:
     """The ids of a chunk and its usable boundaries, checked against the ids of its parts."""
     tok = load(path)
-    ids = tok.encode([text])[0]
+    ids = tok.encode([text])[0].tolist()
     ends = tok.split(text)[:-1] if tok.split else []
     if len(ends) < 2 * EDGES:
         return Shared(ids, [], [], [], [])
     heads, tails = ends[:EDGES], ends[-EDGES:]
     marks = [0, *heads, *tails, len(text)]
     parts = tok.encode([text[x:y] for x, y in zip(marks, marks[1:])])
-    if [i for p in parts for i in p] != ids:
+    if [i for p in parts for i in p.tolist()] != ids:
         return Shared(ids, [], [], [], [])
     before = np.cumsum([len(p) for p in parts]).tolist()
     return Shared(ids, heads, before[:EDGES], tails, before[EDGES : 2 * EDGES])
@@ -275,8 +281,11 @@ def _assemble(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                     last, at = e, at + n
                 todo[i] = join_parts(path, todo[i][0], spans)
         strings = [x for parts_ in todo for x in parts_ if isinstance(x, str)]
-        enc = iter(encode_all(path, strings))
-        done = pa.array([[t for x in parts_ for t in (next(enc) if isinstance(x, str) else x)] for parts_ in todo], pa.list_(pa.int32()))
+        enc = iter(encode_once(path, strings))
+        ids = [[next(enc) if isinstance(x, str) else np.array(x, np.int32) for x in parts_] for parts_ in todo]
+        ends_at = np.cumsum([0, *[sum(map(len, x)) for x in ids]]).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, np.int32), *[y for x in ids for y in x]])
+        done = pa.ListArray.from_arrays(pa.array(ends_at), pa.array(flat))
         order = np.arange(len(whole))
         order[need] = len(whole) + np.arange(len(need))
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.concat_arrays([whole, done]).take(pa.array(order))], ["id", "ids"])
