@@ -43,6 +43,14 @@ def uid_collisions(frame: DataFrame) -> DataFrame:
     return frame.groupBy("uid").agg(F.count_distinct("key").alias("n_keys")).filter("n_keys > 1")
 
 
+def refuse_collisions(frame: DataFrame) -> DataFrame:
+    """The frame as it is, or an error if two keys share a uid."""
+    worst = uid_collisions(frame).limit(5).collect()
+    if worst:
+        raise ValueError(f"uids of several keys: {[r['uid'] for r in worst]}")
+    return frame
+
+
 def duplicate_stats(alerts: DataFrame, fields: tuple[str, ...] = CONTENT_FIELDS) -> DataFrame:
     """One row: keys that occur more than once, and rows in such groups."""
     g = alerts.groupBy(content_key(fields).alias("key")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")

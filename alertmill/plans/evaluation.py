@@ -296,6 +296,15 @@ def m5_always_attack(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.hard_metrics(models.always_attack(judged(spark, d)), ["model"]))
 
 
+@query(" UNION ALL ".join(
+    f"SELECT doc_id, {n} AS n, greatest(length(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r][ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) - {n - 1}, 0) AS n_grams FROM documents WHERE text IS NOT NULL" for n in (3, 4, 5)))
+def m1_gram_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Character 3-, 4- and 5-grams of every text."""
+    grams = models.with_char_ngrams(table(spark, d, "documents").filter("text is not null").select("doc_id", "text"))
+    each = grams.select("doc_id", F.explode(F.array(*[F.lit(n) for n in (3, 4, 5)])).alias("n"), "grams")
+    return each.select("doc_id", "n", F.size(F.filter("grams", lambda g: F.length(g) == F.col("n"))).alias("n_grams"))
+
+
 @query()
 def m4_tfidf(spark: SparkSession, d: str) -> DataFrame:
     """Hashed n-gram TF-IDF and logistic regression per condition, each of five folds of rules scored by the fit on the others."""
@@ -434,9 +443,12 @@ def r2_two_phase(spark: SparkSession, d: str) -> DataFrame:
     return sampling.two_phase_sample(frame(spark, d), "stratum", "uid", 10, 40, SEED).select("uid", "stratum", "phase")
 
 
-@query(f"WITH {FRAME_SQL} SELECT uid, label FROM fr QUALIFY {_DRAW.format('label', SEED)} <= 100")
+@query(f"""WITH {FRAME_SQL}, s AS (SELECT uid, label FROM fr QUALIFY {_DRAW.format('label', SEED)} <= 100)
+  SELECT uid, label, row_number() OVER (ORDER BY sha256('{SEED + 1}|' || uid), uid) - 1 AS position FROM s""")
 def r3_class_balanced(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.stratified_sample(frame(spark, d), "label", "uid", 100, SEED, strict=False).select("uid", "label")
+    """As many of each class, then all of them shuffled."""
+    drawn = sampling.stratified_sample(frame(spark, d), "label", "uid", 100, SEED, strict=False).select("uid", "label")
+    return sampling.permutation(drawn, "uid", SEED + 1)
 
 
 @query(f"WITH {FRAME_SQL} SELECT uid, row_number() OVER (ORDER BY sha256('{SEED}|' || uid), uid) - 1 AS position FROM fr")
@@ -884,14 +896,51 @@ def s14_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return files.read_csv(spark, path, df.schema)
 
 
+def _one_file_each(df: DataFrame, name: str) -> str:
+    """A folder with one file <name>.json of the column value for each value of name: how published results are shipped."""
+    spark = df.sparkSession
+    df.repartition(name).write.partitionBy(name).text(path := _out(spark, "parts"))
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(fs_path(out := _out(spark, "files")))
+    for folder in fs.listStatus(fs_path(path)):
+        if folder.isDirectory():
+            part = next(f for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+            fs.rename(part.getPath(), fs_path(f"{out}/{folder.getPath().getName().split('=', 1)[1]}.json"))
+    return out
+
+
 @query("SELECT model, count(*) AS n, count(*) FILTER (llm_label IN ('Attack', 'Non-Attack')) AS n_valid FROM published GROUP BY model")
 def s6_files_by_stem(spark: SparkSession, d: str) -> DataFrame:
-    """One folder of JSON lines per model, read back with the model taken from the path."""
-    df = table(spark, d, "published").select("pred_id", "model", "llm_label")
-    df.write.partitionBy("model").json(path := _out(spark, "bymodel"))
-    back = spark.read.schema("pred_id long, llm_label string").option("recursiveFileLookup", True).json(path)
-    named = back.withColumn("model", F.regexp_extract(F.input_file_name(), "model=([^/]+)/", 1))
-    return named.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("llm_label").isin("Attack", "Non-Attack")).alias("n_valid"))
+    """One file of JSON lines per model, read back with the model taken from the file's name."""
+    lines = table(spark, d, "published").select("model", F.to_json(F.struct("pred_id", "llm_label")).alias("value"))
+    back = spark.read.schema("pred_id long, llm_label string").json(_one_file_each(lines, "model")).withColumn("model", files.file_stem())
+    return back.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("llm_label").isin("Attack", "Non-Attack")).alias("n_valid"))
+
+
+@query(f"""WITH {PUBLISHED_SQL}, v AS (SELECT model, count(*) AS n, count(*) FILTER (llm_label IN ('Attack', 'Non-Attack')) AS n_valid, count(DISTINCT json_extract_string(record, '$.uri')) AS n_uris FROM published GROUP BY model)
+  SELECT v.*, tp AS reported_tp, fn AS reported_fn FROM v JOIN ({confusion_sql('ju', 'model', '1.0', 'exclude')}) USING (model)""")
+def s5_published_files(spark: SparkSession, d: str) -> DataFrame:
+    """One file per model with its results and the summary of its metrics, read back."""
+    record = T.StructType([T.StructField(f, T.StringType()) for f in FIELD_ORDER])
+    t = table(spark, d, "published").withColumn("record", F.from_json("record", record))
+    results = t.groupBy("model").agg(F.collect_list(F.struct("record", "true_label", "llm_label")).alias("results"))  # a file is one object
+    cells = metrics.confusion(judged(spark, d), ["model"], None, "exclude").select("model", *[F.col(c).cast("long").alias(c.upper()) for c in ("tp", "fp", "tn", "fn")])
+    made = results.join(cells, "model").select("model", F.struct("results", F.struct(F.struct(F.struct("TP", "FP", "TN", "FN").alias("confusion_matrix")).alias("metrics")).alias("summary")).alias("o"))
+    rows, summaries = files.read_published(spark, _one_file_each(made.select("model", F.to_json("o").alias("value")), "model"), record)
+    per = rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count("llm_label").alias("n_valid"), F.count_distinct("record.uri").alias("n_uris"))
+    return per.join(summaries.select("model", F.col("confusion_matrix.TP").cast("double").alias("reported_tp"), F.col("confusion_matrix.FN").cast("double").alias("reported_fn")), "model")
+
+
+@query(f"SELECT (row_number() OVER (ORDER BY row_index) - 1)::INTEGER AS row_index, {', '.join(FIELD_ORDER)}, label FROM secalertbench")
+def s1_array_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The alerts as one JSON array in one file, scanned with its hash pinned and its field order checked."""
+    t = table(spark, d, "secalertbench")
+    objects = F.to_json(F.struct(*FIELD_ORDER, "label"), {"ignoreNullFields": "false"})
+    array = t.agg(F.array_sort(F.collect_list(F.struct("row_index", objects.alias("o")))).alias("a"))  # the file is one value
+    array.select(F.concat(F.lit("["), F.array_join("a.o", ","), F.lit("]")).alias("value")).coalesce(1).write.text(path := _out(spark, "array"))
+    schema = T.StructType([t.schema[f] for f in (*FIELD_ORDER, "label")])
+    return files.read_array_file(spark, f"{path}/part-*", schema, files.file_hashes(spark, f"{path}/part-*").first()["sha256"], in_order=True)
 
 
 @query("SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(record)) AS key FROM published) GROUP BY key")

@@ -31,6 +31,13 @@ def test_frame_drops_conflicts_and_counts_copies(spark):
     assert tuple(frame.duplicate_stats(df.filter("label is not null")).first()) == (2, 4)
 
 
+def test_collisions_are_refused(spark):
+    ok = spark.createDataFrame([("u1", "k1"), ("u2", "k2")], "uid string, key string")
+    assert frame.refuse_collisions(ok) is ok
+    with pytest.raises(ValueError, match="u1"):
+        frame.refuse_collisions(ok.union(spark.createDataFrame([("u1", "k9")], ok.schema)))
+
+
 def test_null_and_shifted_fields_have_different_keys(spark):
     df = spark.createDataFrame([alert(0, A, parameter=None, uri="x"), alert(0, A, parameter="x", uri=None), alert(0, A, parameter="", uri="x")], SCHEMA)
     from alertmill.functions.keys import content_key
