@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -66,8 +67,10 @@ def with_char_ngrams(df: DataFrame, text: str = "text", low: int = 3, high: int
     return df.withColumn("_chars", chars).withColumn(name, F.concat(*[grams(n) for n in range(low, high + 1)])).drop("_chars")
 
 
-#: Fixed value: width of the hashed feature space.
-N_FEATURES = 1 << 20
+#: Width of the hashed feature space. A fit's blocks of rows cost time in proportion to it, however few features they have.
+N_FEATURES = 1 << 16
+#: Fits that run side by side: each is a row of small jobs that leave cores idle.
+PARALLEL_FITS = 5
 
 
 def sublinear_counts(df: DataFrame, text: str = "text", n_features: int = N_FEATURES) -> DataFrame:
@@ -124,8 +127,9 @@ def cross_fit_tfidf(rows: DataFrame, fold: str = "fold", text: str = "text", lab
     """
     folds = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]
     counted = sublinear_counts(rows, text, n_features)
-    scored = [tfidf_logistic(counted.filter(F.col(fold) != k), counted.filter(F.col(fold) == k), text, label, n_features, **fit) for k in folds]
-    return reduce(DataFrame.unionByName, scored)
+    one = lambda k: tfidf_logistic(counted.filter(F.col(fold) != k), counted.filter(F.col(fold) == k), text, label, n_features, **fit)
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return reduce(DataFrame.unionByName, list(pool.map(one, folds)))
 
 
 def cross_fit_rule_majority(rows: DataFrame, fold: str = "fold", rule: str = "rule_name", label: str = "label") -> DataFrame:
