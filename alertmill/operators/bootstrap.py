@@ -24,7 +24,9 @@ def _draws(units: DataFrame, unit: str, group: str, columns: list[str], replicat
     named = units.select(unit, F.coalesce(group, F.lit("")).alias(group), *[c for c in columns if c not in (unit, group)])
     ranked = materialize(rank_within(named, group, [unit], "rank"), "ranked")
     sizes = materialize(ranked.groupBy(group).agg(F.count(F.lit(1)).alias("size")), "sizes")
-    places = join_hot_aware(ranked.select(group, "rank"), sizes, [group], "size")
+    # a few thousand rows become millions of draws: they are dealt to all cores first, which AQE would not do for their size
+    cores = max(units.sparkSession.sparkContext.defaultParallelism, int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    places = join_hot_aware(ranked.select(group, "rank"), sizes, [group], "size").repartition(cores, "rank")
     draws = places.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     text = F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col(group), F.col("rank").cast("string"))
     to = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.col("size") + 1
