@@ -936,11 +936,9 @@ def s5_published_files(spark: SparkSession, d: str) -> DataFrame:
 def s1_array_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """The alerts as one JSON array in one file, scanned with its hash pinned and its field order checked."""
     t = table(spark, d, "secalertbench")
-    objects = F.to_json(F.struct(*FIELD_ORDER, "label"), {"ignoreNullFields": "false"})
-    array = t.agg(F.array_sort(F.collect_list(F.struct("row_index", objects.alias("o")))).alias("a"))  # the file is one value
-    array.select(F.concat(F.lit("["), F.array_join("a.o", ","), F.lit("]")).alias("value")).coalesce(1).write.text(path := _out(spark, "array"))
+    files.write_array_file(t.select("row_index", *FIELD_ORDER, "label"), "row_index", path := f"{_out(spark, 'array')}.json")
     schema = T.StructType([t.schema[f] for f in (*FIELD_ORDER, "label")])
-    return files.read_array_file(spark, f"{path}/part-*", schema, files.file_hashes(spark, f"{path}/part-*").first()["sha256"], in_order=True)
+    return files.read_array_file(spark, path, schema, files.file_hashes(spark, path).first()["sha256"], in_order=True)
 
 
 @query("SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(record)) AS key FROM published) GROUP BY key")

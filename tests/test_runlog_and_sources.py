@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import json
 
@@ -100,6 +101,77 @@ def test_array_file_with_pin_and_order(spark, tmp_path):
         files.read_array_file(spark, str(p), schema, in_order=True).collect()
 
 
+def _array_rows(n):
+    texts = ['],[{"', "\\", '\\"', "it's, é \\\\\"", "}" * 40, "x" * 300, "\n\t", ""]
+    return [{"b": i if i % 7 else None, "a": texts[i % len(texts)] * (i % 3 + 1)} for i in range(n)]
+
+
+def test_array_file_is_read_in_blocks(spark, tmp_path):
+    """Blocks that begin anywhere, in strings and behind backslashes, give the rows that a read of the whole file gives."""
+    schema = T.StructType([T.StructField("b", T.LongType()), T.StructField("a", T.StringType())])
+    made = _array_rows(200)
+    for name, text in {"dense": json.dumps(made), "wide file": json.dumps(made, indent=2, ensure_ascii=False) + "\n" * 99}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        with gzip.open(tmp_path / f"{name}.json.gz", "wt") as f:
+            f.write(text)
+    whole = [(i, r["b"], r["a"]) for i, r in enumerate(made)]
+    for path in ("dense.json", "wide file.json", "dense.json.gz"):
+        for block in (97, 1000, files.BLOCK):
+            got = files.read_array_file(spark, f"{tmp_path}/{path}", schema, in_order=True, block=block)
+            assert sorted(map(tuple, got.collect())) == whole
+    read = files.read_array_file(spark, f"{tmp_path}/*", schema, block=1000)  # positions of each file
+    assert sorted(map(tuple, read.collect())) == sorted(whole * 4)
+    parts = files.read_array_file(spark, f"{tmp_path}/dense.json", schema, block=97).select(F.spark_partition_id()).distinct().count()
+    assert parts > 1
+
+
+DAMAGED = [
+    lambda t: t[:-1], lambda t: t[:-2], lambda t: t[:700], lambda t: t[1:], lambda t: t + t, lambda t: t + " x", lambda t: "x" + t, lambda t: "", lambda t: "null", lambda t: t[1:-1], lambda t: t[:-1] + "}",
+    lambda t: t.replace("}, {", "} {"), lambda t: t.replace("}, {", "}, , {"), lambda t: t.replace("}, {", "} 1, {"), lambda t: t[:-1] + ",]", lambda t: t.replace('{"b"', "{'b'"),
+]
+
+
+def test_damaged_array_files_raise(spark, tmp_path):
+    p, schema = tmp_path / "d.json", T.StructType([T.StructField("b", T.LongType()), T.StructField("a", T.StringType())])
+    sound = json.dumps(_array_rows(30))
+    assert len(list(files._elements(iter([sound.encode()]), 0, False, 0, 0, -1))) == 30
+    for damage in DAMAGED:
+        with pytest.raises(ValueError):
+            list(files._elements(iter([damage(sound).encode()] if damage(sound) else []), 0, False, 0, 0, -1))
+    for damage in DAMAGED[::3]:
+        p.write_text(damage(sound))
+        with pytest.raises((ValueError, PySparkException)):
+            files.read_array_file(spark, str(p), schema, block=300).collect()
+
+
+def test_array_file_is_written_row_by_row(spark, tmp_path):
+    """One file with all rows in order, written by several tasks; no task and no value holds the array."""
+    df = spark.createDataFrame([(i if i else None, f'"{i}\n', None if i % 2 else "é") for i in range(500)], "at long, b string, a string").repartition(7)
+    files.write_array_file(df, "at", str(tmp_path / "w.json"))
+    got = json.loads((tmp_path / "w.json").read_text())
+    assert [list(o) for o in got] == [["b", "a"]] * 500  # the null at the end
+    assert [(o["b"], o["a"]) for o in got] == [(f'"{i}\n', None if i % 2 else "é") for i in [*range(1, 500), 0]]
+    assert [x.name for x in tmp_path.iterdir() if not x.name.startswith(".")] == ["w.json"]
+    files.write_array_file(df.limit(0), "at", str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text()) == []
+    assert files.read_array_file(spark, str(tmp_path / "none.json"), df.select("b", "a").schema).count() == 0
+
+
+def test_array_round_trip_holds_no_whole_file(spark, tmp_path):
+    """The rows are in no aggregate, and the file is read by several tasks."""
+    from alertmill.plans.evaluation import s1_array_round_trip
+
+    one = spark.read.parquet("/root/testdata/sf0.01/secalertbench.parquet")
+    step = one.agg(F.max("row_index") + 1).first()[0]
+    more = one.crossJoin(spark.range(8)).withColumn("row_index", F.col("row_index") + F.col("id") * step).drop("id")
+    more.write.parquet(f"{tmp_path}/secalertbench.parquet")
+    got = s1_array_round_trip(spark, str(tmp_path))
+    assert "wholetext" not in (plan := got._jdf.queryExecution().toString()).lower() and "collect_list" not in plan
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+    fields = got.columns[1:]
+    assert got.exceptAll(more.select(F.col("row_index").cast("int").alias("row_index"), *fields)).isEmpty() and got.count() == more.count()
+
+
 def test_hashes_and_locks_of_files(spark, tmp_path):
     (tmp_path / "one.bin").write_bytes(bytes(range(256)) * 20_000)  # several pieces
     (tmp_path / "two.txt").write_text("é")
